@@ -111,8 +111,8 @@ FROM sized GROUP BY conv_id
 # positions come from splitting at the matches: the text between them and they themselves add up
 _SPANS = r"""
   SELECT doc_id, {order} AS o, '{kind}' AS kind, s AS "start", s + length(m) AS "end", regexp_extract(m, '{pattern}', {group}) AS g FROM (
-    SELECT doc_id, unnest(list_transform(range(1, len(found) + 1), i -> found[i])) AS m,
-           unnest(list_transform(range(1, len(found) + 1), i -> CAST(list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], x -> length(x))), 0) AS BIGINT))) AS s
+    SELECT doc_id, unnest(list_transform(range(1, len(found) + 1), lambda i: found[i])) AS m,
+           unnest(list_transform(range(1, len(found) + 1), lambda i: CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT))) AS s
     FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS gaps FROM t)
   )
 """
@@ -144,8 +144,8 @@ OP8 = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, html, sha1(html) AS h FROM p),
 f AS (SELECT h, max(page_id) AS response FROM d GROUP BY h),
-bits AS (SELECT page_id, h, list_reduce(list_transform(range(1, 41), i -> substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(h, CAST(i AS INT), 1)) - 1) + 1, 4)), (a, b) -> a || b) AS b FROM d),
-b32 AS (SELECT page_id, list_reduce(list_transform(range(0, 32), g -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), j -> CASE WHEN substr(b, CAST(5 * g + j + 1 AS INT), 1) = '1' THEN 16 >> CAST(j AS INT) ELSE 0 END)) AS INT), 1)), (a, b) -> a || b) AS payload_digest FROM bits)
+bits AS (SELECT page_id, h, list_reduce(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(h, CAST(i AS INT), 1)) - 1) + 1, 4)), lambda a, b: a || b) AS b FROM d),
+b32 AS (SELECT page_id, list_reduce(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda j: CASE WHEN substr(b, CAST(5 * g + j + 1 AS INT), 1) = '1' THEN 16 >> CAST(j AS INT) ELSE 0 END)) AS INT), 1)), lambda a, b: a || b) AS payload_digest FROM bits)
 SELECT d.page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN d.page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN d.page_id = response THEN NULL ELSE response END AS refers_to
