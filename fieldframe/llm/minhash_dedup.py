@@ -172,6 +172,21 @@ def _confirmed(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, k: int,
     return written(read.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long").distinct(), "links")
 
 
+def _own_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id and own: how many of its shingles no other of these documents has."""
+
+    def run(batches):
+        for pdf in batches:
+            for i, j in common.in_pieces(pdf, ["text"]):
+                part = pdf.iloc[i:j]
+                h, at = common.shingles(part["text"], k)
+                yield pd.DataFrame({"h": h.view(np.int64), "doc_id": np.repeat(part["doc_id"].to_numpy(), np.diff(at))})
+
+    held = texts.select("doc_id", "text").mapInPandas(run, "h long, doc_id long")
+    lone = held.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("held")).where("held = 1")
+    return lone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = HYPERMINHASH) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, n_copies.
 
@@ -182,8 +197,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     Equal sets are one class, named by its smallest doc_id (n_copies rows have it), and
     only classes are compared. In each band's bucket all classes are first paired with the
     most central one; buckets that then still hold several components pair their smaller
-    components with all others. So a group of n near copies costs about n comparisons, and
-    no proposed link between different components goes untested.
+    components with all others, less the pairs that the shingles which one document alone
+    has make impossible. So a group of n near copies costs about n comparisons, and no
+    proposed link between different components goes untested.
 
     A null or blank text has no shingles and is linked with nothing. A row without
     doc_id is kept, its component_id is null. Rows with one doc_id and one text are
@@ -213,8 +229,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     sized = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("held"))
     mixed = sized.groupBy("band").agg(F.max_by("component", "held").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_ = written(named.join(mixed.select("band", "main"), "band"), "open")
-    minor = open_.where("component <> main").select("band", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    rest = minor.join(open_, "band").where(f"cx <> component and 100 * least(n, nx) >= {percent} * greatest(n, nx)")
+    own = _own_shingles(texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+    # a pair shares no shingle that one of the two alone has, which bounds its likeness before it is made
+    bound = f"100 * (n - own) >= {percent} * n"
+    open_ = written(open_.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(bound), "bounded")
+    minor = open_.where("component <> main").select("band", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("own").alias("own_x"), F.col("component").alias("cx"))
+    most = "least(n - own, nx - own_x)"
+    rest = minor.join(open_, "band").where(f"cx <> component and 100 * {most} >= {percent} * (n + nx - {most})")
     rest = rest.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
     more = _confirmed(rest, reps, texts, k, percent, sketch)
