@@ -29,6 +29,8 @@ BUCKETS, ROWS, MANTISSA = 256, 5, 10
 BANDS = BUCKETS // ROWS
 #: How far below the threshold an estimate may lie (over 8 standard deviations of 256 registers).
 SLACK = 0.22
+#: A shingle is rare if so many of the documents still in question have it at most.
+RARE = 5
 #: Stands for a null doc_id inside pandas, which would turn a column with nulls into floats.
 NO_ID = -(2**63)
 
@@ -172,19 +174,31 @@ def _confirmed(pairs: DataFrame, sketched: DataFrame, texts: DataFrame, k: int,
     return written(read.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long").distinct(), "links")
 
 
-def _own_shingles(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id and own: how many of its shingles no other of these documents has."""
+def _rarities(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents (doc_id, text, n, component): how many rare shingles each has, and the pairs that share one across components.
+
+    A shingle is rare if at most RARE of these documents have it, so it makes a few pairs at most.
+    """
 
     def run(batches):
         for pdf in batches:
             for i, j in common.in_pieces(pdf, ["text"]):
                 part = pdf.iloc[i:j]
                 h, at = common.shingles(part["text"], k)
-                yield pd.DataFrame({"h": h.view(np.int64), "doc_id": np.repeat(part["doc_id"].to_numpy(), np.diff(at))})
-
-    held = texts.select("doc_id", "text").mapInPandas(run, "h long, doc_id long")
-    lone = held.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("held")).where("held = 1")
-    return lone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+                size = np.diff(at)
+                yield pd.DataFrame({"h": h.view(np.int64)} | {c: np.repeat(part[c].to_numpy(), size) for c in ("doc_id", "n", "component")})
+
+    held = written(texts.select("doc_id", "text", "n", "component").mapInPandas(run, "h long, doc_id long, n long, component long"), "shingles")
+    counted = held.groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"held <= {RARE}")
+    counted = written(counted, "rare")
+    rare = held.join(counted.select("h", "lo", "hi"), "h")
+    few = rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    lists = rare.where("lo < hi").groupBy("h").agg(F.collect_list(F.struct("doc_id", "n", "component")).alias("l"))
+    pairs = F.expr(
+        "filter(flatten(transform(l, x -> transform(l, y -> struct(x.doc_id as a, y.doc_id as b, x.component as p, y.component as q, x.n as m, y.n as n)))),"
+        f" z -> z.a < z.b and z.p <> z.q and 100 * least(z.m, z.n) >= {percent} * greatest(z.m, z.n))"
+    )
+    return few, lists.select(F.explode(pairs).alias("z")).select("z.a", "z.b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = HYPERMINHASH) -> DataFrame:
@@ -197,9 +211,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     Equal sets are one class, named by its smallest doc_id (n_copies rows have it), and
     only classes are compared. In each band's bucket all classes are first paired with the
     most central one; buckets that then still hold several components pair their smaller
-    components with all others, less the pairs that the shingles which one document alone
-    has make impossible. So a group of n near copies costs about n comparisons, and no
-    proposed link between different components goes untested.
+    components with all others, less the pairs that cannot be alike for want of common
+    shingles: pairs sharing a rare shingle are listed from it, for the others the rare
+    ones that each has bound the intersection. So a group of n near copies costs about n
+    comparisons, and no proposed link between different components goes untested.
 
     A null or blank text has no shingles and is linked with nothing. A row without
     doc_id is kept, its component_id is null. Rows with one doc_id and one text are
@@ -229,15 +244,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     sized = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("held"))
     mixed = sized.groupBy("band").agg(F.max_by("component", "held").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_ = written(named.join(mixed.select("band", "main"), "band"), "open")
-    own = _own_shingles(texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"), k)
-    # a pair shares no shingle that one of the two alone has, which bounds its likeness before it is made
+    known = open_.select("doc_id", "n", "component").distinct()
+    own, kin = _rarities(texts.join(known, "doc_id"), k, percent)
+    # a pair that shares no rare shingle is bounded by the rare ones that each has, before it is made
     bound = f"100 * (n - own) >= {percent} * n"
     open_ = written(open_.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(bound), "bounded")
-    minor = open_.where("component <> main").select("band", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("own").alias("own_x"), F.col("component").alias("cx"))
-    most = "least(n - own, nx - own_x)"
-    rest = minor.join(open_, "band").where(f"cx <> component and 100 * {most} >= {percent} * (n + nx - {most})")
+    # a pair is made in the first of its common buckets only
+    open_ = open_.join(open_.groupBy("doc_id").agg(F.collect_list("band").alias("bands")), "doc_id")
+    minor = open_.where("component <> main").select("band", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "own", "component", "bands")]).withColumnRenamed("doc_id_x", "x")
+    most, first = "least(n - own, n_x - own_x)", "array_min(array_intersect(bands, bands_x)) = band"
+    rest = minor.join(open_, "band").where(f"component_x <> component and 100 * {most} >= {percent} * (n + n_x - {most}) and {first}")
     rest = rest.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
+    rest = rest.unionByName(kin).distinct().join(star, ["a", "b"], "left_anti")
     more = _confirmed(rest, reps, texts, k, percent, sketch)
     final = written(components(links.unionByName(more)), "components")
 
