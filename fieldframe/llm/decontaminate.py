@@ -46,47 +46,39 @@ def template_words(text: Column) -> tuple[Column, Column]:
     # marks in front of names and units survive the split as part of the word
     marked = F.regexp_replace(clean, r"([\p{Ll},] )(?=\p{Lu}\p{Ll})", "$1" + NAME)
     marked = F.regexp_replace(marked, rf"(?i)(\d ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\d]))", "$1" + UNIT)
-    found = F.regexp_extract_all(marked, F.lit(rf"[{NAME}{UNIT}]?(?:\d+(?:[.,:/-]\d+)*|[\p{{L}}\p{{M}}]+)"), F.lit(0))
-    raw = F.transform(found, lambda w: F.translate(w, NAME + UNIT, ""))
-    form = F.transform(
-        found,
-        lambda w: F.when(w.startswith(NAME), F.lit(NAME)).when(w.startswith(UNIT), F.lit(UNIT)).when(w.rlike(r"^\d"), F.lit(NUMBER)).otherwise(F.lower(w)),
-    )
-    return raw, form
+    word = F.lit(rf"[{NAME}{UNIT}]?(?:\d+(?:[.,:/-]\d+)*|[\p{{L}}\p{{M}}]+)")
+    raw = F.transform(F.regexp_extract_all(marked, word, F.lit(0)), lambda w: F.translate(w, NAME + UNIT, ""))
+    return raw, F.transform(F.regexp_extract_all(F.lower(marked), word, F.lit(0)), _form)
 
 
-def _window_at(size: int):
-    return lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(F.col("codes"), i + 1, size)).alias("h"))
+def _form(word: Column) -> Column:
+    first = F.ascii(word)
+    return F.when(first.between(48, 57), NUMBER).when(first == ord(NAME), NAME).when(first == ord(UNIT), UNIT).otherwise(word)
 
 
-def _windows(rows: DataFrame, key: str, lengths: list[int], with_raw: bool) -> DataFrame:
-    """Rows (key, size, at, h, slots): hash of each window that has enough literal words, and its slot values."""
+def _windows(rows: DataFrame, key: str, lengths: list[int], with_words: bool) -> DataFrame:
+    """Rows (key, size, at, h), and with_words form and raw: every window of a text's words, its hash, and its words in both forms."""
     raw, form = template_words(F.col("text"))
-    split = rows.select(key, raw.alias("raw"), form.alias("form"))
+    split = rows.select(key, form.alias("form"), *([raw.alias("raw")] if with_words else []))
     hashed = split.withColumn("codes", F.transform("form", lambda w: F.xxhash64(w))).withColumn("n", F.size("form"))
     parts = []
     for size in lengths:
-        some = hashed.where(F.col("n") >= size)
-        least = min(LITERALS, size)
-        windows = F.transform(
-            F.sequence(F.lit(0), F.col("n") - size),
-            _window_at(size),
-        )
-        exploded = some.select(key, "raw", "form", F.explode(windows).alias("w")) if with_raw else some.select(key, F.explode(windows).alias("w"))
-        if with_raw:
-            mine = exploded.select(
-                key, F.lit(size).alias("size"), "w.at", "w.h", F.slice("form", F.col("w.at") + 1, size).alias("form"), F.slice("raw", F.col("w.at") + 1, size).alias("raw")
-            )
-            literal = F.size(F.filter("form", lambda x: ~x.isin(NUMBER, UNIT, NAME)))
-            parts.append(mine.where(literal >= least))
-        else:
-            parts.append(exploded.select(key, F.lit(size).alias("size"), "w.at", "w.h"))
+        windows = F.transform(F.sequence(F.lit(0), F.col("n") - size), _window_at(size, with_words))
+        parts.append(hashed.where(F.col("n") >= size).select(key, F.lit(size).alias("size"), F.explode(windows).alias("w")).select(key, "size", "w.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _window_at(size: int, with_words: bool):
+    def window(i):
+        part = lambda c: F.slice(F.col(c), i + 1, F.lit(size))
+        return F.struct(i.alias("at"), F.xxhash64(part("codes")).alias("h"), *([part("form").alias("form"), part("raw").alias("raw")] if with_words else []))
+
+    return window
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Per document and benchmark item that share template windows: doc_id, item_id, n_windows, item_windows, coverage, n_slots, n_changed, consistent, kind, contaminated.
 
@@ -111,7 +103,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     )
     if not lengths:
         return docs.sparkSession.createDataFrame([], schema)
-    of_items = _windows(items, "item_id", lengths, True)
+    literal = F.size(F.filter("form", lambda x: ~x.isin(NUMBER, UNIT, NAME)))
+    of_items = _windows(items, "item_id", lengths, True).where(literal >= F.least(F.lit(LITERALS), F.col("size")))
     whole = items.select("item_id", F.size(form).alias("words"))
     of_items = of_items.join(whole, "item_id").where(f"size = {WINDOW} or words = size").drop("words")
     item_windows = of_items.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
@@ -123,9 +116,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     hit_docs = common.written(of_docs.select("doc_id").distinct(), "hits")
     # the slot values are read again from the texts of the few documents with hits
     texts = common.rows_with(rows, hit_docs)
-    raw, form = template_words(F.col("text"))
-    again = texts.select("doc_id", raw.alias("raw"), form.alias("form"))
-    hit = _hits(again, lengths).join(F.broadcast(known) if small else known, ["h", "size"])
+    hit = _windows(texts, "doc_id", lengths, True).join(F.broadcast(known) if small else known, ["h", "size"])
     same = F.col("form") == F.col("item_form")
     slots = F.filter(
         F.arrays_zip("form", "item_raw", "raw"), lambda s: s["form"].isin(NUMBER, UNIT, NAME)
@@ -170,25 +161,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     )
 
 
-def _hits(split: DataFrame, lengths: list[int]) -> DataFrame:
-    """All windows of documents with hits, with their words."""
-    hashed = split.withColumn("codes", F.transform("form", lambda w: F.xxhash64(w))).withColumn("n", F.size("form"))
-    out = None
-    for size in lengths:
-        at = F.explode(F.sequence(F.lit(0), F.col("n") - size))
-        rows = hashed.where(F.col("n") >= size).select("doc_id", "raw", "form", "codes", at.alias("at"))
-        rows = rows.select(
-            "doc_id",
-            "at",
-            F.lit(size).alias("size"),
-            F.xxhash64(F.slice("codes", F.col("at") + 1, F.lit(size))).alias("h"),
-            F.slice("form", F.col("at") + 1, size).alias("form"),
-            F.slice("raw", F.col("at") + 1, size).alias("raw"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns; rows without doc_id stay."""
     bad = common.written(matches(docs, benchmark, coverage).where("contaminated").select("doc_id").distinct(), "contaminated")
