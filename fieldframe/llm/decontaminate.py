@@ -113,10 +113,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     small = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     keys = known.select("h", "size").distinct()
     of_docs = _windows(rows, "doc_id", lengths, False).join(F.broadcast(keys) if small else keys, ["h", "size"], "left_semi")
-    hit_docs = common.written(of_docs.select("doc_id").distinct(), "hits")
-    # the slot values are read again from the texts of the few documents with hits
-    texts = common.rows_with(rows, hit_docs)
-    hit = _windows(texts, "doc_id", lengths, True).join(F.broadcast(known) if small else known, ["h", "size"])
+    of_docs = common.written(of_docs.select("doc_id", "size", "at", "h"), "hits")
+    # the slot values are read again from the texts of the few documents with hits, at the hits
+    places = of_docs.groupBy("doc_id").agg(F.collect_set(F.struct("size", "at", "h")).alias("places"))
+    texts = common.rows_with(rows, of_docs.select("doc_id").distinct()).join(places, "doc_id")
+    raw, form = template_words(F.col("text"))
+    words_at = lambda c, x: F.slice(F.col(c), x["at"] + 1, x["size"])
+    at_hits = F.transform("places", lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"), x["h"].alias("h"), words_at("form", x).alias("form"), words_at("raw", x).alias("raw")))
+    hit = texts.select("doc_id", "places", raw.alias("raw"), form.alias("form")).select("doc_id", F.explode(at_hits).alias("w")).select("doc_id", "w.*")
+    hit = hit.join(F.broadcast(known) if small else known, ["h", "size"])
     same = F.col("form") == F.col("item_form")
     slots = F.filter(
         F.arrays_zip("form", "item_raw", "raw"), lambda s: s["form"].isin(NUMBER, UNIT, NAME)
@@ -124,6 +129,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     # windows on one diagonal are one occurrence of the item
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     found = hit.where(same).select("doc_id", "item_id", shift, "item_at", F.transform(slots, lambda s: F.struct(F.lower(s["item_raw"]).alias("was"), F.lower(s["raw"]).alias("now"))).alias("slots"))
+    found = common.written(found, "slots")
     place = ["doc_id", "item_id", "shift"]
     counted = found.groupBy(*place).agg(F.countDistinct("item_at").alias("n_windows"))
     pairs = found.select(*place, F.explode("slots").alias("s")).select(*place, "s.was", "s.now").distinct()
