@@ -56,17 +56,22 @@ def _tested(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return there.withColumn("__set", F.expr("coalesce(shiftright(__bits, cast(pmod(__slot, 64) as int)) & 1, 0) = 1"))
 
 
+def _exact(tested: DataFrame, rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Joins rows that passed the bits with ids. The join's key depends on the bits, so the optimiser can't move it below them, where it would shuffle all rows."""
+    named = tested.where("__set").withColumn("__key", F.when(F.col("__set"), F.col(key)))
+    return named.join(ids.select(F.col(key).alias("__key")), "__key", how).select(*rows.columns)
+
+
 def rows_with(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key is in ids (distinct, column key), shuffling few other rows."""
-    return _tested(rows, ids, key, "inner").where("__set").select(*rows.columns).join(ids, key, "left_semi").select(*rows.columns)
+    return _exact(_tested(rows, ids, key, "inner"), rows, ids, key, "left_semi")
 
 
 def rows_without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key is not in ids, null keys included, shuffling few other rows."""
     tested = _tested(rows, ids, key, "left")
     clear = tested.where("not __set").select(*rows.columns)
-    doubtful = tested.where("__set").select(*rows.columns).join(ids, key, "left_anti").select(*rows.columns)
-    return clear.unionByName(doubtful)
+    return clear.unionByName(_exact(tested, rows, ids, key, "left_anti"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
