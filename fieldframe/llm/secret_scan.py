@@ -160,7 +160,7 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
 
 
 def found(docs: DataFrame, rules=RULES) -> DataFrame:
-    """docs (doc_id, text and whatever else) with an array column spans of (start, order, end, kind), by start and then rule.
+    """docs (doc_id, text and whatever else) with an array column __spans of (start, order, end, kind), by start and then rule.
 
     Null and empty texts have none. A row without doc_id is verified with every rule.
     Rows of one doc_id share their candidates, so each is verified where one of them is.
@@ -174,9 +174,9 @@ def found(docs: DataFrame, rules=RULES) -> DataFrame:
     def scanned(rows, which, test):
         parts = [(F.when(F.array_contains("__rules", r.kind), spans_of(clean, r, i)) if test else spans_of(clean, r, i)) for i, r in which]
         none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-        return rows.withColumn("spans", F.array_sort(F.concat(*[F.coalesce(p, none) for p in parts])) if parts else none)
+        return rows.withColumn("__spans", F.array_sort(F.concat(*[F.coalesce(p, none) for p in parts])) if parts else none)
 
-    columns = [*docs.columns, "spans"]
+    columns = [*docs.columns, "__spans"]
     picked = chosen.select("doc_id")
     plain = scanned(common.rows_without(docs, picked).where("doc_id is not null"), full, False)
     loose = scanned(docs.where("doc_id is null"), full + asked, False)
@@ -195,10 +195,10 @@ def redacted(docs: DataFrame, rules=RULES) -> DataFrame:
         .otherwise(acc["out"])
         .alias("out"),
     )
-    done = F.aggregate(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    rows = rows.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text")))
+    done = F.aggregate(F.col("__spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
+    rows = rows.withColumn("text", F.when(F.size("__spans") > 0, done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.size("__spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 
@@ -206,8 +206,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     rows = found(docs.select("doc_id", "text"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    base = F.filter("spans", lambda s: s["order"] < len(BASE))
-    n = lambda i: F.size(F.filter("spans", lambda s: s["order"] == i)).cast("long")
+    base = F.filter("__spans", lambda s: s["order"] < len(BASE))
+    n = lambda i: F.size(F.filter("__spans", lambda s: s["order"] == i)).cast("long")
     return rows.select(
-        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans")
     )
