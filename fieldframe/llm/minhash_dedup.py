@@ -31,6 +31,8 @@ BANDS = BUCKETS // ROWS
 SLACK = 0.22
 #: A shingle is rare if so many of the documents still in question have it at most.
 RARE = 5
+#: Shingles are counted by hash in so many cells to bound what two sets can have in common.
+CELLS = 256
 #: Stands for a null doc_id inside pandas, which would turn a column with nulls into floats.
 NO_ID = -(2**63)
 
@@ -201,6 +203,24 @@ def _rarities(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     return few, lists.select(F.explode(pairs).alias("z")).select("z.a", "z.b").distinct()
 
 
+def _profiles(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, cells: how many of a document's shingles fall into each of CELLS cells by hash.
+
+    Two sets have at most the sum of the cells' smaller counts in common, whatever the cells.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for i, j in common.in_pieces(pdf, ["text"]):
+                part = pdf.iloc[i:j]
+                h, at = common.shingles(part["text"], k)
+                cell = np.repeat(np.arange(j - i), np.diff(at)) * CELLS + (mix(h) % U(CELLS)).astype(np.int64)
+                counts = np.bincount(cell, minlength=(j - i) * CELLS).astype(np.int32).reshape(-1, CELLS)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "cells": list(counts)})
+
+    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, cells array<int>")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = HYPERMINHASH) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, n_copies.
 
@@ -213,7 +233,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     most central one; buckets that then still hold several components pair their smaller
     components with all others, less the pairs that cannot be alike for want of common
     shingles: pairs sharing a rare shingle are listed from it, for the others the rare
-    ones that each has bound the intersection. So a group of n near copies costs about n
+    ones that each has, and its shingles counted by hash, bound the intersection. So a group of n near copies costs about n
     comparisons, and no proposed link between different components goes untested.
 
     A null or blank text has no shingles and is linked with nothing. A row without
@@ -250,10 +270,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     bound = f"100 * (n - own) >= {percent} * n"
     open_ = written(open_.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(bound), "bounded")
     # a pair is made in the first of its common buckets only
-    open_ = open_.join(open_.groupBy("doc_id").agg(F.collect_list("band").alias("bands")), "doc_id")
-    minor = open_.where("component <> main").select("band", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "own", "component", "bands")]).withColumnRenamed("doc_id_x", "x")
+    profiles = _profiles(texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+    of_doc = open_.groupBy("doc_id").agg(F.collect_list("band").alias("bands")).join(profiles, "doc_id")
+    open_ = open_.join(of_doc, "doc_id")
+    minor = open_.where("component <> main").select("band", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "own", "component", "bands", "cells")]).withColumnRenamed("doc_id_x", "x")
     most, first = "least(n - own, n_x - own_x)", "array_min(array_intersect(bands, bands_x)) = band"
-    rest = minor.join(open_, "band").where(f"component_x <> component and 100 * {most} >= {percent} * (n + n_x - {most}) and {first}")
+    common_most = "aggregate(zip_with(cells, cells_x, (p, q) -> least(p, q)), 0L, (s, z) -> s + z)"
+    rest = minor.join(open_, "band").where(f"component_x <> component and 100 * {most} >= {percent} * (n + n_x - {most}) and {first} and 100 * {common_most} >= {percent} * (n + n_x - {common_most})")
     rest = rest.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
     rest = rest.unionByName(kin).distinct().join(star, ["a", "b"], "left_anti")
     more = _confirmed(rest, reps, texts, k, percent, sketch)
