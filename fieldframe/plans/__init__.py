@@ -1,0 +1,5 @@
+"""Registered queries: importing the package registers all of them with the catalog."""
+
+from . import analysis, catalog
+
+__all__ = ["analysis", "catalog"]

@@ -51,10 +51,11 @@ def _r(name, expr=None):
     return F.round(F.expr(expr or name), 6).alias(name)
 
 
-def query(sql: str):
+def query(sql: str | None):
     def keep(f):
         _queries[f.__name__] = f
-        _oracles[f.__name__] = sql
+        if sql:
+            _oracles[f.__name__] = sql
         return f
 
     return keep

@@ -24,7 +24,7 @@ def rows(frame):
     return sorted(repr([plain(x) for x in r]) for r in frame.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, duck, name):
     got = catalog.queries()[name](spark, DATA).toPandas()
     want = duck.sql(catalog.oracle_sql()[name]).df()
