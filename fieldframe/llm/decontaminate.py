@@ -2,7 +2,8 @@
 
 Texts become templates: numbers, units behind numbers and names inside sentences turn
 into typed placeholders, everything else into lower-case words. Windows of 8 template
-words are hash-joined with those of the benchmark. A matched window says which value of
+words are hash-joined with those of the benchmark; those of the benchmark with too few
+words that are no placeholders are joined on their words as they stand, in lower case. A matched window says which value of
 the document stands where the item has which; a question with other values put in is
 caught when those slots are consistent, that is, one value of the item is always one
 value of the document.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 8
-#: A window needs so many words that are no placeholders.
+#: A window needs so many words that are no placeholders to be matched as a template; others are matched word for word.
 LITERALS = 5
 #: The least share of an item's windows that a contaminated document has.
 COVERAGE = 0.1
@@ -56,11 +57,14 @@ def _form(word: Column) -> Column:
     return F.when(first.between(48, 57), NUMBER).when(first == ord(NAME), NAME).when(first == ord(UNIT), UNIT).otherwise(word)
 
 
-def _windows(rows: DataFrame, key: str, lengths: list[int], with_words: bool) -> DataFrame:
-    """Rows (key, size, at, h), and with_words form and raw: every window of a text's words, its hash, and its words in both forms."""
+def _windows(rows: DataFrame, key: str, lengths: list[int], with_words: bool, exact: bool = False) -> DataFrame:
+    """Rows (key, size, at, h), and with_words x, form and raw: every window of a text's words, its hash, that of its lower-case words, and its words in both forms. exact: h is the hash of the lower-case words."""
     raw, form = template_words(F.col("text"))
-    split = rows.select(key, form.alias("form"), *([raw.alias("raw")] if with_words else []))
-    hashed = split.withColumn("codes", F.transform("form", lambda w: F.xxhash64(w))).withColumn("n", F.size("form"))
+    split = rows.select(key, (raw if exact else form).alias("form"), *([raw.alias("raw")] if with_words else []))
+    plain = lambda c: F.transform(c, lambda w: F.xxhash64(F.lower(w)))
+    hashed = split.withColumn("codes", plain("form") if exact else F.transform("form", lambda w: F.xxhash64(w))).withColumn("n", F.size("form"))
+    if with_words:
+        hashed = hashed.withColumn("plain", plain("raw"))
     parts = []
     for size in lengths:
         windows = F.transform(F.sequence(F.lit(0), F.col("n") - size), _window_at(size, with_words))
@@ -74,7 +78,8 @@ def _windows(rows: DataFrame, key: str, lengths: list[int], with_words: bool) ->
 def _window_at(size: int, with_words: bool):
     def window(i):
         part = lambda c: F.slice(F.col(c), i + 1, F.lit(size))
-        return F.struct(i.alias("at"), F.xxhash64(part("codes")).alias("h"), *([part("form").alias("form"), part("raw").alias("raw")] if with_words else []))
+        words = [F.xxhash64(part("plain")).alias("x"), part("form").alias("form"), part("raw").alias("raw")] if with_words else []
+        return F.struct(i.alias("at"), F.xxhash64(part("codes")).alias("h"), *words)
 
     return window
 
@@ -82,7 +87,9 @@ def _window_at(size: int, with_words: bool):
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Per document and benchmark item that share template windows: doc_id, item_id, n_windows, item_windows, coverage, n_slots, n_changed, consistent, kind, contaminated.
 
-    n_windows counts the item's windows that the document has, of item_windows; n_slots
+    n_windows counts the item's windows that the document has, of item_windows; coverage
+    is their share, or that among the item's windows matched as templates if greater (the
+    others are matched word for word, so a question with other values can't have them). n_slots counts
     the item's distinct slot values in them, n_changed those that the document has
     otherwise, consistent says whether one value of the item is one value of the document
     and the reverse. kind is verbatim (no slot changed), reparameterised (changed
@@ -104,34 +111,43 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     if not lengths:
         return docs.sparkSession.createDataFrame([], schema)
     literal = F.size(F.filter("form", lambda x: ~x.isin(NUMBER, UNIT, NAME)))
-    of_items = _windows(items, "item_id", lengths, True).where(literal >= F.least(F.lit(LITERALS), F.col("size")))
+    of_items = _windows(items, "item_id", lengths, True).withColumn("exact", literal < F.least(F.lit(LITERALS), F.col("size")))
+    of_items = of_items.withColumn("h", F.when(F.col("exact"), F.col("x")).otherwise(F.col("h"))).drop("x")
     whole = items.select("item_id", F.size(form).alias("words"))
     of_items = of_items.join(whole, "item_id").where(f"size = {WINDOW} or words = size").drop("words")
-    item_windows = of_items.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
-    known = of_items.select("item_id", "size", F.col("at").alias("item_at"), "h", F.col("form").alias("item_form"), F.col("raw").alias("item_raw"))
+    template_at = lambda c: F.countDistinct(F.when(~F.col("exact"), F.col(c)))
+    item_windows = of_items.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"), template_at("at").alias("item_templates"))
+    known = of_items.select("item_id", "size", "exact", F.col("at").alias("item_at"), "h", F.col("form").alias("item_form"), F.col("raw").alias("item_raw"))
     # the size of what is broadcast is checked; a larger benchmark is joined by a shuffle
     small = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    keys = known.select("h", "size").distinct()
-    of_docs = _windows(rows, "doc_id", lengths, False).join(F.broadcast(keys) if small else keys, ["h", "size"], "left_semi")
-    of_docs = common.written(of_docs.select("doc_id", "size", "at", "h"), "hits")
+    keys = known.select("h", "size", "exact").distinct()
+    kinds = known.select("exact", "size").distinct().collect()
+    parts = []
+    for exact in sorted({r["exact"] for r in kinds}):
+        windows = _windows(rows, "doc_id", sorted(r["size"] for r in kinds if r["exact"] == exact), False, exact)
+        of_kind = keys.where(F.col("exact") == exact).drop("exact")
+        hits = windows.join(F.broadcast(of_kind) if small else of_kind, ["h", "size"], "left_semi")
+        parts.append(hits.select("doc_id", "size", F.lit(exact).alias("exact"), "at", "h"))
+    of_docs = common.written(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "hits")
     # the slot values are read again from the texts of the few documents with hits, at the hits
-    places = of_docs.groupBy("doc_id").agg(F.collect_set(F.struct("size", "at", "h")).alias("places"))
+    places = of_docs.groupBy("doc_id").agg(F.collect_set(F.struct("size", "exact", "at", "h")).alias("places"))
     texts = common.rows_with(rows, of_docs.select("doc_id").distinct()).join(places, "doc_id")
     raw, form = template_words(F.col("text"))
     words_at = lambda c, x: F.slice(F.col(c), x["at"] + 1, x["size"])
-    at_hits = F.transform("places", lambda x: F.struct(x["size"].alias("size"), x["at"].alias("at"), x["h"].alias("h"), words_at("form", x).alias("form"), words_at("raw", x).alias("raw")))
+    at_hits = F.transform("places", lambda x: F.struct(x["size"].alias("size"), x["exact"].alias("exact"), x["at"].alias("at"), x["h"].alias("h"), words_at("form", x).alias("form"), words_at("raw", x).alias("raw")))
     hit = texts.select("doc_id", "places", raw.alias("raw"), form.alias("form")).select("doc_id", F.explode(at_hits).alias("w")).select("doc_id", "w.*")
-    hit = hit.join(F.broadcast(known) if small else known, ["h", "size"])
-    same = F.col("form") == F.col("item_form")
+    hit = hit.join(F.broadcast(known) if small else known, ["h", "size", "exact"])
+    lower = lambda c: F.transform(c, lambda w: F.lower(w))
+    same = F.when(F.col("exact"), lower("raw") == lower("item_raw")).otherwise(F.col("form") == F.col("item_form"))
     slots = F.filter(
-        F.arrays_zip("form", "item_raw", "raw"), lambda s: s["form"].isin(NUMBER, UNIT, NAME)
+        F.arrays_zip("item_form", "item_raw", "raw"), lambda s: s["item_form"].isin(NUMBER, UNIT, NAME)
     )
     # windows on one diagonal are one occurrence of the item
     shift = (F.col("at") - F.col("item_at")).alias("shift")
-    found = hit.where(same).select("doc_id", "item_id", shift, "item_at", F.transform(slots, lambda s: F.struct(F.lower(s["item_raw"]).alias("was"), F.lower(s["raw"]).alias("now"))).alias("slots"))
+    found = hit.where(same).select("doc_id", "item_id", shift, "item_at", "exact", F.transform(slots, lambda s: F.struct(F.lower(s["item_raw"]).alias("was"), F.lower(s["raw"]).alias("now"))).alias("slots"))
     found = common.written(found, "slots")
     place = ["doc_id", "item_id", "shift"]
-    counted = found.groupBy(*place).agg(F.countDistinct("item_at").alias("n_windows"))
+    counted = found.groupBy(*place).agg(F.countDistinct("item_at").alias("n_windows"), template_at("item_at").alias("n_templates"))
     pairs = found.select(*place, F.explode("slots").alias("s")).select(*place, "s.was", "s.now").distinct()
     judged = pairs.groupBy(*place).agg(
         F.countDistinct("was").alias("n_slots"),
@@ -142,10 +158,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     joined = counted.join(judged, place, "left").join(F.broadcast(item_windows) if small else item_windows, "item_id")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     consistent = (n("n_pairs") == n("n_slots")) & (n("n_pairs") == n("n_now"))
-    share = F.col("n_windows") / F.col("item_windows")
+    share = F.greatest(F.col("n_windows") / F.col("item_windows"), F.when(F.col("item_templates") > 0, F.col("n_templates") / F.col("item_templates")))
     best = F.struct(
         (consistent & (share >= coverage)).alias("contaminated"),
         F.col("n_windows"),
+        share.alias("coverage"),
         (-n("n_changed")).alias("kept"),
         n("n_slots").alias("n_slots"),
         consistent.alias("consistent"),
@@ -158,7 +175,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
         F.col("item_id").cast("long").alias("item_id"),
         "b.n_windows",
         "b.item_windows",
-        (F.col("b.n_windows") / F.col("b.item_windows")).alias("coverage"),
+        "b.coverage",
         "b.n_slots",
         changed.alias("n_changed"),
         "b.consistent",

@@ -161,6 +161,27 @@ def test_decontamination(spark, docs):
     assert decontaminate.matches(docs([]), bench).count() == 0 and decontaminate.matches(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_with_few_literals(spark, docs):
+    """Verbatim copies are found, in any case, whatever the placeholders; other values make no hit."""
+    mixed = "Add 3 and 4 then 5 and 6 then 7 and 8 then 9 and tell us slowly what the whole sum of them is"
+    items = [(1, "12 plus 30 equals"), (2, "Add 3 and 4 then 5"), (3, "What Is The Capital City Of France And Of Spain"), (4, "1 2 3 4 5 6 7 8 9 10 11 12"), (5, mixed)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (10, "so 12 plus 30 equals what"),
+        (11, "please add 3 and 4 then 5"),
+        (12, "we ask what is the capital city of france and of spain again"),
+        (13, "count 1 2 3 4 5 6 7 8 9 10 11 12"),
+        (14, "12 plus 31 equals, add 3 and 4 then 6, What Is The Capital City Of Norway, 2 3 4 5 6 7 8 10"),
+        (15, mixed.replace("3", "13").replace("9", "19")),
+        (16, mixed),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs([*rows, *HARD]), bench).collect()}
+    assert {k: (r.kind, r.contaminated) for k, r in got.items()} == {**{(9 + i, i): ("verbatim", True) for i in (1, 2, 3, 4)}, (15, 5): ("reparameterised", True), (16, 2): ("verbatim", True), (16, 5): ("verbatim", True)}
+    assert got[16, 5].n_windows == got[16, 5].item_windows == 18 and got[13, 4].n_windows == got[13, 4].item_windows == 5
+    assert got[15, 5].n_windows < 18 and got[15, 5].coverage == 1
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs(rows), bench).collect()) == [14]
+
+
 def test_secrets(docs):
     rows = HARD + [(20, "ä \x01 password = abc123x, TOKEN:'short' secret=12345 AKIA" + "A" * 16 + " AKIAB " + "0f" * 12 + " api_key: " + "ab" * 20), (21, "AKIA" + "Z" * 20)]
     got = {r.doc_id: r for r in secret_scan.digest(docs(rows)).collect()}
