@@ -6,12 +6,13 @@ words are hash-joined with those of the benchmark; those of the benchmark with t
 words that are no placeholders are joined on their words as they stand, in lower case. A matched window says which value of
 the document stands where the item has which; a question with other values put in is
 caught when those slots are consistent, that is, one value of the item is always one
-value of the document.
+value of the document. Two numbers or units of the item may become the same one; two
+names may not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,6 +22,8 @@ WINDOW = 8
 LITERALS = 5
 #: The least share of an item's windows that a contaminated document has.
 COVERAGE = 0.1
+#: An item's windows lie in one occurrence if no more words than this, or than the item has windows, were put in or left out between two.
+SPREAD = 32
 #: The benchmark's windows are broadcast up to this many (about 100 bytes each), and joined by a shuffle beyond.
 BROADCAST_WINDOWS = 500_000
 
@@ -92,10 +95,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     others are matched word for word, so a question with other values can't have them). n_slots counts
     the item's distinct slot values in them, n_changed those that the document has
     otherwise, consistent says whether one value of the item is one value of the document
-    and the reverse. kind is verbatim (no slot changed), reparameterised (changed
+    and, for names, the reverse. kind is verbatim (no slot changed), reparameterised (changed
     consistently) or inconsistent. contaminated: coverage is at least the least share and
     the slots are consistent. Of several places in a document where an item's windows lie,
-    the contaminated one counts, then the one with most windows.
+    the contaminated one counts, then the one with most windows. A place is one diagonal
+    (windows at one distance from the item's) or all neighbouring ones, as words put in
+    between make them.
 
     An item of fewer words than a window is one window of its own length. Null and blank
     texts have no windows; rows with a null id are left out; rows of one id are taken
@@ -142,22 +147,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     slots = F.filter(
         F.arrays_zip("item_form", "item_raw", "raw"), lambda s: s["item_form"].isin(NUMBER, UNIT, NAME)
     )
-    # windows on one diagonal are one occurrence of the item
     shift = (F.col("at") - F.col("item_at")).alias("shift")
-    found = hit.where(same).select("doc_id", "item_id", shift, "item_at", "exact", F.transform(slots, lambda s: F.struct(F.lower(s["item_raw"]).alias("was"), F.lower(s["raw"]).alias("now"))).alias("slots"))
-    found = common.written(found, "slots")
-    place = ["doc_id", "item_id", "shift"]
+    found = hit.where(same).select("doc_id", "item_id", shift, "item_at", "exact", F.transform(slots, lambda s: F.struct(F.lower(s["item_raw"]).alias("was"), F.lower(s["raw"]).alias("now"), (s["item_form"] == NAME).alias("name"))).alias("slots"))
+    # windows on one diagonal are one occurrence of the item, and so are those on neighbouring diagonals; each counts by itself and with the others
+    ordered = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    near = F.least(F.lit(SPREAD), F.col("item_windows"))
+    found = found.join(F.broadcast(item_windows) if small else item_windows, "item_id")
+    found = found.withColumn("apart", F.coalesce(F.col("shift") - F.lag("shift").over(ordered) > near, F.lit(True)))
+    found = found.withColumn("run", F.sum(F.col("apart").cast("long")).over(ordered))
+    of_run = Window.partitionBy("doc_id", "item_id", "run")
+    found = found.withColumn("several", F.min("shift").over(of_run) < F.max("shift").over(of_run))
+    found = common.written(found.drop("apart", "item_windows", "item_templates"), "slots")
+    of_diagonal, of_several = (F.struct(F.lit(k).alias("joined"), F.col(c).cast("long").alias("at")) for k, c in ((False, "shift"), (True, "run")))
+    places = F.when(F.col("several"), F.array(of_diagonal, of_several)).otherwise(F.array(of_diagonal))
+    found = found.withColumn("place", F.explode(places))
+    place = ["doc_id", "item_id", "place"]
     counted = found.groupBy(*place).agg(F.countDistinct("item_at").alias("n_windows"), template_at("item_at").alias("n_templates"))
-    pairs = found.select(*place, F.explode("slots").alias("s")).select(*place, "s.was", "s.now").distinct()
+    pairs = found.select(*place, F.explode("slots").alias("s")).groupBy(*place, "s.was", "s.now").agg(F.max("s.name").alias("name"))
+    of_names = lambda c: F.countDistinct(F.when(F.col("name"), F.col(c)))
     judged = pairs.groupBy(*place).agg(
         F.countDistinct("was").alias("n_slots"),
-        F.countDistinct("now").alias("n_now"),
         F.count(F.lit(1)).alias("n_pairs"),
+        of_names("was").alias("n_names"),
+        of_names("now").alias("n_names_now"),
         F.sum(F.when(F.col("was") != F.col("now"), 1).otherwise(0)).alias("n_changed"),
     )
     joined = counted.join(judged, place, "left").join(F.broadcast(item_windows) if small else item_windows, "item_id")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    consistent = (n("n_pairs") == n("n_slots")) & (n("n_pairs") == n("n_now"))
+    consistent = (n("n_pairs") == n("n_slots")) & (n("n_names") == n("n_names_now"))
     share = F.greatest(F.col("n_windows") / F.col("item_windows"), F.when(F.col("item_templates") > 0, F.col("n_templates") / F.col("item_templates")))
     best = F.struct(
         (consistent & (share >= coverage)).alias("contaminated"),

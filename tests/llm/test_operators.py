@@ -182,6 +182,31 @@ def test_decontamination_of_items_with_few_literals(spark, docs):
     assert sorted(r.doc_id for r in decontaminate.decontaminated(docs(rows), bench).collect()) == [14]
 
 
+def test_decontamination_of_coinciding_values_and_of_fragments(spark, docs):
+    fruit = "The farmer has 3 apples and 5 pears in the basket and gives 3 apples to each child"
+    long = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in prose(900, 120)]
+    pieces = [" ".join(long[i : i + 12]) for i in range(0, 120, 12)]
+    bench = spark.createDataFrame([(1, fruit), (2, " ".join(long))], "item_id long, text string")
+    rows = [
+        (10, fruit.replace("3", "4").replace("5", "4")),
+        (11, fruit.replace("3", "4", 1).replace("5", "6")),
+        (12, f"{fruit} {fruit.replace('3', '7').replace('5', '9')}"),
+        (20, " moreover ".join(pieces)),
+        (21, " and ".join(p + " then" * 20 for p in pieces)),
+        (22, pieces[0] + " far" * 400 + " " + pieces[5]),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs(rows), bench).collect()}
+    assert {k: (r.kind, r.contaminated) for k, r in got.items()} == {
+        (10, 1): ("reparameterised", True),
+        (11, 1): ("inconsistent", False),
+        (12, 1): ("verbatim", True),
+        (20, 2): ("verbatim", True),
+        (21, 2): ("verbatim", True),
+        (22, 2): ("verbatim", False),
+    }
+    assert [got[i, 2].n_windows for i in (20, 21, 22)] == [50, 50, 5] and got[20, 2].item_windows == 113
+
+
 def test_secrets(docs):
     rows = HARD + [(20, "ä \x01 password = abc123x, TOKEN:'short' secret=12345 AKIA" + "A" * 16 + " AKIAB " + "0f" * 12 + " api_key: " + "ab" * 20), (21, "AKIA" + "Z" * 20)]
     got = {r.doc_id: r for r in secret_scan.digest(docs(rows)).collect()}
