@@ -221,6 +221,13 @@ def _profiles(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, cells array<int>")
 
 
+def _heads(members: DataFrame) -> DataFrame:
+    """band, head, head_n: of each band's members (band, doc_id, n, size) the most central one, of equal ones that with the largest doc_id, whatever the order of rows."""
+    central = members.groupBy("doc_id").agg(F.sum("size").alias("central"))
+    first = F.struct("central", "doc_id")
+    return members.join(central, "doc_id").groupBy("band").agg(F.max_by("doc_id", first).alias("head"), F.max_by("n", first).alias("head_n"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sketch = HYPERMINHASH) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, n_copies.
 
@@ -249,12 +256,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     banded = bands(reps, sketch)
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
     members = written(banded.join(shared.select("band", "size"), "band"), "members")
-    central = members.groupBy("doc_id").agg(F.sum("size").alias("central"))
-    weighed = members.join(central, "doc_id")
-    heads = weighed.groupBy("band").agg(F.max_by("doc_id", "central").alias("head"), F.max_by("n", "central").alias("head_n"))
+    heads = _heads(members)
     alike = f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)"
     star = members.join(heads, "band").where(f"doc_id <> head and {alike}")
-    star = star.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
+    # the pairs that are tested are also those left out of the second round
+    star = written(star.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct(), "star")
     texts = written(common.rows_with(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), members.select("doc_id").distinct()).dropDuplicates(["doc_id"]), "texts")
     links = _confirmed(star, reps, texts, k, percent, sketch)
     label = written(components(links), "labels")

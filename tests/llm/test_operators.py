@@ -70,6 +70,21 @@ def test_near_duplicates_hard_cases(docs):
     assert kept.columns == docs([]).columns
 
 
+def test_heads_do_not_depend_on_the_order_of_rows(spark):
+    members = [(band, i, 10 + i, 4) for band in (1, 2, 3) for i in range(4)]
+    for rows in (members, members[::-1]):
+        table = spark.createDataFrame(rows, "band long, doc_id long, n long, size long").coalesce(1)
+        assert sorted(tuple(r) for r in minhash_dedup._heads(table).collect()) == [(1, 3, 13), (2, 3, 13), (3, 3, 13)]
+
+
+def test_tested_pairs_are_made_once(docs, monkeypatch):
+    """What _confirmed tests first is a written table, so the second round leaves out just these pairs."""
+    seen, confirmed = [], minhash_dedup._confirmed
+    monkeypatch.setattr(minhash_dedup, "_confirmed", lambda pairs, *rest: (seen.append(pairs), confirmed(pairs, *rest))[1])
+    minhash_dedup.near_duplicates(docs(corpus()[:10]), 4, 80)
+    assert len(seen) == 2 and len(seen[0].inputFiles()) > 0 and all("/star-" in f for f in seen[0].inputFiles())
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
