@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontaminate, fingerprints, minhash_dedup, quality, sampling, secret_scan, sharding, toxicity, warc
 
@@ -18,9 +19,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of all documents: counts, digests, and whether decoding gave the text back."""
+    """Sampled segmentations of all documents, whether they spell the text, and a digest of the text decoded from them again."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sampling.encoded(docs, with_ids=False)
+    read = sampling.decoded(sampling.encoded(docs))
+    return read.withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

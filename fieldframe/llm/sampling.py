@@ -1,10 +1,11 @@
 """Operator 2, SentencePiece encoding by sampling from the piece lattice, and lossless decoding.
 
 A text's lattice has an edge for every vocabulary piece that spells its bytes there, and
-a faint byte edge everywhere. Pieces do not reach across words, so the forward sums are
-found once for each distinct word of a batch; every occurrence then draws its pieces from
-the end to the front with random numbers that depend on the row key, the word's place and
-the step only. All of it works on whole batches in numpy.
+a faint byte edge where no piece spells a byte. Pieces do not reach across words, so the
+forward sums are found once for each distinct word of a batch; every occurrence then draws
+its pieces from the end to the front with random numbers that depend on the row key, the
+word's place and the place in the word only. Words of a usual length are worked on together
+in numpy; a very long one in stretches, with the sums of one carried into the next.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ from . import common
 from .common import U, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Log-weight of a byte edge: it is taken where nothing else spells the text.
-BYTE = -30.0
+#: The factor of a byte edge is 2 to this power: it is taken where nothing else spells the text.
+BYTE = -24
+#: Words of more bytes are worked on one by one, in blocks of STRETCH states, if fewer than TOGETHER of a chunk's words are as long.
+LONG, TOGETHER, STRETCH = 64, 25, 1 << 15
+#: Bytes of words that are worked on at a time.
+CHUNK = 1 << 19
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model as bytes, with log-weights for the lattice.
+    """Pieces of a SentencePiece model as bytes, with factors for the lattice, and these as log-weights.
 
-    A BPE model has ranks in place of log-probabilities; its pieces get Zipf weights
-    -ln(rank + 10), times alpha. A unigram model's scores are taken as they are, times alpha.
+    A BPE model has an order in place of log-probabilities; its pieces get Zipf factors
+    1 / (rank + 10). A unigram model's are the exponentials of its scores. Both are raised to alpha.
     """
 
     def __init__(self, path: str, alpha: float):
@@ -49,9 +54,11 @@ class Vocabulary:
                 plain.append(i)
                 scores.append(model.get_score(i))
         scores = np.array(scores)
-        ranked = len(scores) > 1 and np.allclose(np.sort(scores)[::-1], -np.arange(len(scores)))
-        weight = -np.log(10.0 - scores) if ranked else scores
-        self.longest = max(len(self.bytes[i]) for i in plain)
+        # scores of a BPE model are whole numbers that tell its pieces' order only
+        ranked = bool((scores == np.floor(scores)).all())
+        rank = np.empty(len(scores))
+        rank[np.argsort(-scores, kind="stable")] = np.arange(len(scores))
+        factor = (1 / (10.0 + rank) if ranked else np.exp(scores)) ** alpha
         # the lattice is cut before a space that follows something else, so pieces must not run across one
         for i in plain:
             p = self.bytes[i]
@@ -62,8 +69,16 @@ class Vocabulary:
         ends = np.cumsum(size)
         code = common.slices_hash(data, ends - size, ends)
         order = np.argsort(code)
-        self.codes, self.ids, self.weights = code[order], np.array(plain)[order], alpha * weight[order]
-        self.sizes = np.unique(size)
+        self.codes, self.ids, self.weights = code[order], np.array(plain)[order], np.log(factor[order])
+        self.sizes = np.unique(np.append(size, 1))
+        # the sums of as many states as a piece is long must fit into one range of exponents
+        byte = 2.0 ** max(BYTE, -900 // (int(self.sizes[-1]) + 4))
+        if (self.sizes[-1] + 4) * -np.log2(min(byte, factor[size == 1].min(initial=1.0))) > 950:
+            raise ValueError("weights are too far apart")
+        self.none = n  # stands for no piece
+        self.factor_of = np.zeros(n + 1)
+        self.factor_of[plain] = factor
+        self.factor_of[self.byte_ids] = byte
         self.maybe = np.zeros(1 << 22, dtype=bool)  # by the top bits of a code: no piece at all
         self.maybe[self.codes >> U(42)] = True
 
@@ -77,28 +92,10 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
 
 
-def _lattice(data: np.ndarray, size: np.ndarray, v: Vocabulary):
-    """Lattices of words laid end to end. A state is a place between two bytes, so a word has one more than bytes.
-
-    An edge of a given length into a state starts that many states before, so edges are a
-    matrix of states by piece lengths, longest first. Returns each word's first state, the
-    lengths, the pieces (state by length), and the chances that a draw takes this length
-    or a longer one.
-    """
-    n = len(size)
-    base = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
-    at = np.concatenate(([0], np.cumsum(size)))[:-1]
-    word = np.repeat(np.arange(n), size)
-    inside = np.arange(len(data)) - at[word]
-    left, tails = size[word] - inside, base[word] + inside
-    lengths = v.sizes[v.sizes <= size.max()][::-1]
-    lengths = lengths if len(lengths) and lengths[-1] == 1 else np.append(lengths, 1)
-    weight = np.full((len(data) + n, len(lengths)), -np.inf, dtype=np.float32)
-    piece = np.zeros(weight.shape, dtype=np.uint16 if len(v.bytes) <= 65536 else np.int32)
-    weight[tails + 1, -1] = BYTE
-    piece[tails + 1, -1] = v.byte_ids[data]
+def _spelled(data: np.ndarray, left: np.ndarray, v: Vocabulary):
+    """For each length of pieces, longest first: places with so many bytes left in their word where a piece stands, and which."""
     hashed = common.Hasher(data)
-    for j, length in enumerate(lengths):
+    for length in v.sizes[::-1]:
         pos = np.flatnonzero(left >= length)
         code = hashed(pos, pos + length)
         some = v.maybe[code >> U(42)]
@@ -106,35 +103,163 @@ def _lattice(data: np.ndarray, size: np.ndarray, v: Vocabulary):
         hit = np.searchsorted(v.codes, code)
         hit[hit == len(v.codes)] = 0
         ok = v.codes[hit] == code
-        pos, hit = pos[ok], hit[ok]
-        weight[tails[pos] + length, j] = v.weights[hit]
-        piece[tails[pos] + length, j] = v.ids[hit]
-    # forward sums, all states of one depth at a time
-    depth = np.arange(len(data) + n) - np.repeat(base, size + 1)
-    by_depth = np.argsort(depth, kind="stable")
-    cuts = np.searchsorted(depth[by_depth], np.arange(size.max() + 2))
-    total = np.zeros(len(data) + n, dtype=np.float32)
-    for d in range(1, size.max() + 1):
-        s = by_depth[cuts[d] : cuts[d + 1]]
-        near = np.flatnonzero(lengths <= d)[0]
-        x = total[s[:, None] - lengths[near:]] + weight[s, near:]
-        top = x.max(axis=1)
-        p = np.cumsum(np.exp(x - top[:, None]), axis=1)
-        total[s] = top + np.log(p[:, -1])
-        weight[s, near:] = p / p[:, -1:]
-        weight[s, :near] = 0
-    weight[:, -1] = 2.0
-    return base, lengths, piece, weight
+        yield int(length), pos[ok], v.ids[hit[ok]]
+
+
+def _chances(end: np.ndarray, value: np.ndarray, exponent: np.ndarray) -> np.ndarray:
+    """Each edge's chance that a draw at its state takes it or one before it, in 2**-24ths; edges go by state, longest first.
+
+    Sums run in that order and scale by powers of two only, so they are the same as in _forward.
+    """
+    first, row, rank = _ranks(end)
+    top = np.maximum.reduceat(exponent, first)
+    table = np.zeros((len(first), rank.max() + 1))
+    table[row, rank] = np.ldexp(value, exponent - top[row])
+    run = np.cumsum(table, axis=1)
+    return np.ceil(run[row, rank] / run[row, -1] * 2.0**24).astype(np.int64)
+
+
+def _ranks(end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted states: where each new one starts, each entry's row, and its place inside the row."""
+    first = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(end))))
+    return first, row, np.arange(len(end)) - first[row]
+
+
+def _forward(data: np.ndarray, size: np.ndarray, v: Vocabulary):
+    """Forward sums of the lattices of short words, the longest first, laid end to end.
+
+    A state is a place between two bytes of a word; those of one depth of all words lie
+    next to each other, so states at a distance are slices. Returns where each depth
+    starts, the lengths, and of each state and length the piece and the chance that a
+    draw takes this length or a longer one, in 2**-24ths.
+    """
+    held = np.searchsorted(-size, -np.arange(size[0] + 1), side="right")
+    off = np.concatenate(([0], np.cumsum(held)))
+    lengths = [int(n) for n in v.sizes[::-1] if n <= size[0] or n == 1]
+    piece = np.full((len(lengths), off[-1]), v.none, dtype=np.uint16 if v.none < 65536 else np.int32)
+    word = np.repeat(np.arange(len(size)), size)
+    after = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    piece[-1, off[after + 1] + word] = v.byte_ids[data]
+    for length, pos, ids in _spelled(data, size[word] - after, v):
+        if length in lengths:
+            piece[lengths.index(length), off[after[pos] + length] + word[pos]] = ids
+    total = np.ones(off[-1])
+    chance = np.zeros((off[-1], len(lengths)), dtype=np.int32)
+    for d in range(1, size[0] + 1):
+        n, here = held[d], slice(off[d], off[d + 1])
+        run = np.zeros((len(lengths) + 1, n))
+        for j, length in enumerate(lengths):
+            if length > d:
+                continue
+            start = off[d - length]
+            np.multiply(total[start : start + n], v.factor_of[piece[j, here]], out=run[j + 1])
+            run[j + 1] += run[j]
+        total[here] = run[-1]
+        chance[here] = np.ceil(run[1:] / run[-1] * 2.0**24).T
+        if d % 4 == 0:
+            scale = np.ldexp(1.0, -np.frexp(run[-1])[1])
+            for back in range(min(d, int(v.sizes[-1])) + 1):
+                total[off[d - back] : off[d - back] + n] *= scale
+    return off, np.array(lengths), piece, chance
+
+
+def _uniform(stream: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """A whole number under 2**24 for each word and state of it."""
+    return (mix(stream + (depth + 1).astype(np.uint64) * U(0xD1342543DE82EF95)) >> U(40)).astype(np.int64)
+
+
+def _long_word(data: np.ndarray, stream: np.uint64, v: Vocabulary) -> np.ndarray:
+    """Pieces of one word of any length, by the same sums and draws in blocks of STRETCH states: a number a state is kept, edges are made again on the way back."""
+    n, longest = len(data), int(v.sizes[-1])
+    mantissa, exponent = np.full(n + 1, 0.5), np.ones(n + 1, dtype=np.int64)
+
+    def block(lo, hi):
+        """Edges into the states lo + 1 to hi: state, length, piece and factor, by state, longest first."""
+        low = max(0, lo - longest)
+        part = data[low:hi]
+        bare, found = np.ones(len(part), dtype=bool), []
+        for length, pos, ids in _spelled(part, np.arange(len(part), 0, -1), v):
+            if length == 1:
+                bare[pos] = False
+            found.append((pos + length, np.full(len(pos), length), ids))
+        found.append((np.flatnonzero(bare) + 1, np.ones(bare.sum(), dtype=np.int64), v.byte_ids[part[bare]]))
+        end, length, piece = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        order = order[end[order] + low > lo]
+        return end[order] + low, length[order], piece[order], v.factor_of[piece[order]]
+
+    recent, scale = [1.0], 0  # forward sums of the last states, over 2**scale
+    for lo in range(0, n, STRETCH):
+        hi = min(n, lo + STRETCH)
+        end, length, _, weight = block(lo, hi)
+        first, _, _ = _ranks(end)
+        first, length, weight = [*first.tolist(), len(end)], length.tolist(), weight.tolist()
+        sums, scales = [], []
+        for k in range(hi - lo):
+            total, behind = 0.0, len(recent)
+            for i in range(first[k], first[k + 1]):
+                total += recent[behind - length[i]] * weight[i]
+            recent.append(total)
+            sums.append(total)
+            scales.append(scale)
+            if total < 1e-100:
+                recent, scale = [x * 2.0**300 for x in recent[-longest:]], scale - 300
+        recent = recent[-longest:]
+        mantissa[lo + 1 : hi + 1], shift = np.frexp(np.array(sums))
+        exponent[lo + 1 : hi + 1] = shift + np.array(scales)
+    out, at = [], n
+    for lo in reversed(range(0, n, STRETCH)):
+        hi = min(n, lo + STRETCH)
+        if at <= lo:
+            continue
+        end, length, piece, weight = block(lo, hi)
+        start = end - length
+        chance = _chances(end, mantissa[start] * weight, exponent[start])
+        states = np.arange(lo + 1, hi + 1)
+        key = (states << 24) + _uniform(np.full(hi - lo, stream, dtype=np.uint64), states)
+        taken = np.searchsorted((end << 24) + chance, key, side="right")
+        step, spelled = length[taken].tolist(), piece[taken].tolist()
+        while at > lo:
+            k = at - lo - 1
+            out.append(spelled[k])
+            at -= step[k]
+    return np.array(out[::-1], dtype=np.int32)
+
+
+def _short_words(data: np.ndarray, begin: np.ndarray, size: np.ndarray, stream: np.ndarray, v: Vocabulary):
+    """(words, their next piece from the end) in steps: the sums once for each distinct word, then every word's draws."""
+    code = common.slices_hash(data, begin, begin + size)
+    _, one, kind = np.unique(code, return_index=True, return_inverse=True)
+    order = np.argsort(-size[one], kind="stable")
+    rank = np.empty(len(one), dtype=np.int64)
+    rank[order] = np.arange(len(one))
+    one, kind = one[order], rank[kind]
+    own = size[one]
+    places = np.repeat(begin[one] - np.cumsum(own) + own, own) + np.arange(own.sum())
+    off, lengths, piece, chance = _forward(data[places], own, v)
+    live, depth, steps = np.arange(len(begin)), size, []
+    while len(live):
+        state = off[depth] + kind[live]
+        which = (chance[state] <= _uniform(stream[live], depth)[:, None]).sum(axis=1)
+        steps.append((live, piece[which, state]))
+        depth = depth - lengths[which]
+        live, depth = live[depth > 0], depth[depth > 0]
+    return steps
 
 
 def sampled(texts, keys, v: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Piece ids of all texts, where each text's start, and the texts' bytes."""
+    """Piece ids of all texts, where each text's start, and the texts' bytes.
+
+    Words are taken some CHUNK bytes at a time, and very long ones by themselves, so memory
+    beyond a few numbers a byte has a bound; what is drawn doesn't depend on either.
+    """
     raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     starts = np.concatenate(([0], np.cumsum(sizes)))
     if not len(data):
-        return np.zeros(0, dtype=np.int64), np.zeros(len(raw) + 1, dtype=np.int64), raw
+        return np.zeros(0, dtype=np.int32), np.zeros(len(raw) + 1, dtype=np.int64), raw
     space, line = data == 32, data == 10
     cut = np.zeros(len(data), dtype=bool)
     cut[0] = True
@@ -142,34 +267,38 @@ def sampled(texts, keys, v: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarr
     cut[starts[:-1][sizes > 0]] = True
     begin = np.flatnonzero(cut)
     size = np.diff(np.append(begin, len(data)))
-    code = common.slices_hash(data, begin, begin + size)
-    _, one, kind = np.unique(code, return_index=True, return_inverse=True)
-    own = size[one]
-    places = np.repeat(begin[one] - np.concatenate(([0], np.cumsum(own)))[:-1], own) + np.arange(own.sum())
-    base, lengths, pieces, drawn = _lattice(data[places], own, v)
-
     doc = common.owner(starts, begin)
     first_word = np.searchsorted(doc, np.arange(len(raw)))
     with np.errstate(over="ignore"):
         row = mix(np.asarray(keys, dtype=np.int64).view(np.uint64) + mix(np.array([seed], dtype=np.uint64)))
         stream = mix(row[doc] + (np.arange(len(doc)) - first_word[doc]).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        live, state, goal = np.arange(len(doc)), base[kind] + own[kind], base[kind]
-        taken, words_, step = [], [], 0
-        while len(live):
-            u = (mix(stream[live] + U(step + 1) * U(0xD1342543DE82EF95)) >> U(40)).astype(np.float32) / np.float32(2.0**24)
-            which = (drawn[state] <= u[:, None]).sum(axis=1)
-            taken.append(pieces[state, which])
-            words_.append(live)
-            state = state - lengths[which]
-            more = state != goal[live]
-            live, state, step = live[more], state[more], step + 1
-    count = np.zeros(len(doc), dtype=np.int64)
-    for w in words_:
-        count[w] += 1
-    end = np.cumsum(count)
-    ids = np.empty(end[-1], dtype=np.int32)
-    for i, (piece, w) in enumerate(zip(taken, words_, strict=True)):
-        ids[end[w] - 1 - i] = piece
+        count, made = np.zeros(len(doc), dtype=np.int64), []
+        cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(data), CHUNK)), len(begin)))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            limit = max(LONG, np.partition(size[i:j], j - i - TOGETHER)[j - i - TOGETHER]) if j - i >= TOGETHER else LONG
+            long = i + np.flatnonzero(size[i:j] > limit)
+            short = i + np.flatnonzero(size[i:j] <= limit)
+            whole = {w: _long_word(data[begin[w] : begin[w] + size[w]], stream[w], v) for w in long.tolist()}
+            for w, pieces in whole.items():
+                count[w] = len(pieces)
+            steps = []
+            if len(short):
+                lo, hi = begin[short[0]], begin[short[-1]] + size[short[-1]]
+                if hi - lo > 2 * CHUNK:  # a long word lies between them
+                    at = np.repeat(begin[short] - np.concatenate(([0], np.cumsum(size[short])))[:-1], size[short]) + np.arange(size[short].sum())
+                    steps = _short_words(data[at], np.concatenate(([0], np.cumsum(size[short])))[:-1], size[short], stream[short], v)
+                else:
+                    steps = _short_words(data[lo:hi], begin[short] - lo, size[short], stream[short], v)
+            for live, _ in steps:
+                count[short[live]] += 1
+            end = np.cumsum(count[i:j])
+            ids = np.empty(end[-1], dtype=np.int32)
+            for k, (live, piece) in enumerate(steps):
+                ids[end[short[live] - i] - 1 - k] = piece
+            for w, pieces in whole.items():
+                ids[end[w - i] - len(pieces) : end[w - i]] = pieces
+            made.append(ids)
+    ids = np.concatenate(made)
     return ids, np.concatenate(([0], np.cumsum(np.bincount(doc, weights=count, minlength=len(raw)).astype(np.int64)))), raw
 
 
@@ -186,7 +315,7 @@ def encoded(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
     def run(batches):
         v = vocabulary(model, alpha)
         for pdf in batches:
-            for i, j in common.in_pieces(pdf, ["text"], 3_000_000):
+            for i, j in common.in_pieces(pdf, ["text"], 1_000_000):
                 part = pdf.iloc[i:j]
                 ids, at, raw = sampled(part["text"].tolist(), part["doc_id"].to_numpy(), v, seed)
                 each = [ids[at[k] : at[k + 1]] for k in range(len(raw))]
@@ -207,11 +336,11 @@ def encoded(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
 
 
 def decoded(pieces: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id and text from rows (doc_id, ids): the exact text that was encoded; null ids give a null text."""
+    """Rows with ids, and text from them: the exact text that was encoded; null ids give a null text."""
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         v = vocabulary(model, 1.0)
         return ids.map(lambda x: v.decode(x.tolist()).decode("utf-8", "surrogatepass") if x is not None else None)
 
-    return pieces.select("doc_id", text("ids").alias("text"))
+    return pieces.withColumn("text", text("ids"))

@@ -284,3 +284,64 @@ def test_grammar_scores_clauses():
     assert score("you idiot.") > score("an idiot.") > score("he said an idiot.") > 0
     assert score("not an idiot.") < 0.7 and score("i will kill you.") > 0.7 and score("time to kill.") == 0
     assert score("a nice day") == 0 and score("idiotic.") == 0
+
+
+def plain_sample(text, key, seed, v):
+    """One draw by dictionaries and loops: forward sums of every word, then pieces from its end."""
+    factor = {v.bytes[i]: (i, v.factor_of[i]) for i in v.byte_ids.tolist()} | {v.bytes[i]: (i, v.factor_of[i]) for i in v.ids.tolist()}
+    data, out = text.encode(), []
+    cuts = [i for i in range(len(data)) if i == 0 or (data[i] == 32 != data[i - 1]) or ((data[i] == 10) != (data[i - 1] == 10))]
+    row = common.mix(np.array([key], dtype=np.int64).view(np.uint64) + common.mix(np.array([seed], dtype=np.uint64)))
+    for n, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(data)])):
+        word, total = data[a:b], [1.0]
+        ways = lambda d: [(k, *factor[word[d - k : d]]) for k in range(min(d, 48), 0, -1) if word[d - k : d] in factor]  # noqa: E731, B023
+        for d in range(1, len(word) + 1):
+            total.append(sum(total[d - k] * f for k, _, f in ways(d)))
+        d, pieces = len(word), []
+        while d:
+            stream = common.mix(row + np.array([n], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            u = int(common.mix(stream + np.array([d + 1], dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))[0] >> np.uint64(40))
+            run, options = 0.0, ways(d)
+            for k, i, f in options:
+                run += total[d - k] * f
+                if np.ceil(run / total[d] * 2**24) > u:
+                    break
+            pieces.append(i)
+            d -= k
+        out += pieces[::-1]
+    return out
+
+
+def test_sampling_against_plain_loops(spark, docs, monkeypatch):
+    v = sampling.vocabulary(sampling.MODEL, 1.0)
+    texts = ["Hello  world\n\nagain, and again?", " ß 漢字▁\\ <s> \x01", "ab" * 60, " ".join(prose(5, 60)), ""]
+    with np.errstate(over="ignore"):
+        want = [plain_sample(t, k, 1, v) for k, t in enumerate(texts)]
+    got = {r.doc_id: list(r.ids) for r in sampling.encoded(docs(list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    # words taken one by one, in short blocks, give the same
+    monkeypatch.setattr(sampling, "LONG", 2)
+    monkeypatch.setattr(sampling, "TOGETHER", 10**9)
+    monkeypatch.setattr(sampling, "STRETCH", 50)
+    monkeypatch.setattr(sampling, "CHUNK", 40)
+    ids, at, _ = sampling.sampled(texts, list(range(len(texts))), v, 1)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == want
+
+
+def test_sampling_hard_cases(spark, docs):
+    assert sampling.encoded(docs([])).count() == 0 and sampling.decoded(sampling.encoded(docs([]))).count() == 0
+    long = [(1, "x" * 1_000_000), (2, ("ab" * 150 + " ") * 1000)]
+    assert all(r.lossless for r in sampling.encoded(docs(long)).select("lossless").collect())
+    ids = spark.createDataFrame([(1, None), (2, []), (3, [sampling.vocabulary(sampling.MODEL, 1.0).byte_ids[97].item()])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in sampling.decoded(ids).collect()} == {1: None, 2: "", 3: "a"}
+
+
+def test_op2_query_decodes_every_text(spark):
+    from fieldframe.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.queries()["op2_sentencepiece_sampling"](spark, sf).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
+    assert all(r.lossless and r.n_pieces == len(r.ids) for r in got) and len(got) == len(texts)
+    assert sum(r.n_pieces for r in got) < 0.6 * sum(map(len, texts.values()))
