@@ -42,36 +42,54 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _tested(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """rows with a column that says whether the bit of their hashed key is set by any of ids.
+def unused(columns, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as set it apart from the columns, in whatever case these are."""
+    held, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _passed(rows: DataFrame, ids: DataFrame, key: str, how: str) -> tuple[DataFrame, str]:
+    """rows with a column (its name is the second result) that says whether the bit of their hashed key is set by any of ids.
 
     The table of bits is broadcast; its size has a fixed bound whatever the data, and a
-    fuller table only lets more rows through to the exact join.
+    fuller table only lets more rows through to the exact join. With 2**FILTER_BITS ids or
+    more it lets most rows through, and the exact join then shuffles as a plain join would.
     """
-    slot = lambda: F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << FILTER_BITS))
-    bits = ids.select(slot().alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("__word"))
-    bits = bits.agg(F.expr("bit_or(shiftleft(1L, cast(pmod(slot, 64) as int)))").alias("__bits"))
-    there = rows.withColumn("__slot", slot()).withColumn("__word", (F.col("__slot") / 64).cast("long"))
-    there = there.join(F.broadcast(bits), "__word", how)
-    return there.withColumn("__set", F.expr("coalesce(shiftright(__bits, cast(pmod(__slot, 64) as int)) & 1, 0) = 1"))
+    slot, word, bits, passed = unused(rows.columns, "bit_slot", "bit_word", "bit_mask", "bit_set")
+    place = lambda: F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << FILTER_BITS))
+    table = ids.select(place().alias(slot)).groupBy((F.col(slot) / 64).cast("long").alias(word))
+    table = table.agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({slot}, 64) as int)))").alias(bits))
+    there = rows.withColumn(slot, place()).withColumn(word, (F.col(slot) / 64).cast("long")).join(F.broadcast(table), word, how)
+    there = there.withColumn(passed, F.expr(f"coalesce(shiftright({bits}, cast(pmod({slot}, 64) as int)) & 1, 0) = 1"))
+    return there.select(*rows.columns, passed), passed
 
 
-def _exact(tested: DataFrame, rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def _exact(tested: DataFrame, passed: str, rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """Joins rows that passed the bits with ids. The join's key depends on the bits, so the optimiser can't move it below them, where it would shuffle all rows."""
-    named = tested.where("__set").withColumn("__key", F.when(F.col("__set"), F.col(key)))
-    return named.join(ids.select(F.col(key).alias("__key")), "__key", how).select(*rows.columns)
+    (same,) = unused([*rows.columns, *ids.columns], "bit_key")
+    named = tested.where(passed).withColumn(same, F.when(F.col(passed), F.col(key))).drop(passed)
+    return named.join(ids.withColumnRenamed(key, same), same, how).drop(same)
 
 
 def rows_with(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key is in ids (distinct, column key), shuffling few other rows."""
-    return _exact(_tested(rows, ids, key, "inner"), rows, ids, key, "left_semi")
+    return _exact(*_passed(rows, ids, key, "inner"), rows, ids.select(key), key, "left_semi")
+
+
+def rows_joined(rows: DataFrame, table: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows joined with table (key and columns of other names than those of rows) by key, shuffling few rows without a partner."""
+    return _exact(*_passed(rows, table, key, "inner"), rows, table, key, "inner")
 
 
 def rows_without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key is not in ids, null keys included, shuffling few other rows."""
-    tested = _tested(rows, ids, key, "left")
-    clear = tested.where("not __set").select(*rows.columns)
-    return clear.unionByName(_exact(tested, rows, ids, key, "left_anti"))
+    tested, passed = _passed(rows, ids, key, "left")
+    clear = tested.where(~F.col(passed)).drop(passed)
+    return clear.unionByName(_exact(tested, passed, rows, ids.select(key), key, "left_anti"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -201,7 +219,7 @@ def jaccard_of_texts(left, right, k: int) -> tuple[np.ndarray, np.ndarray]:
     return both, np.diff(a_at) + np.diff(b_at) - both
 
 
-def in_pieces(frame, columns, limit: int = 2_000_000):
+def in_pieces(frame, columns, limit: int = 500_000):
     """Row ranges of a pandas frame whose texts hold about limit characters, so that arrays stay small."""
     size = sum(frame[c].str.len().fillna(0).astype("int64") for c in columns).to_numpy() if len(frame) else np.zeros(0, dtype=np.int64)
     at, held = 0, 0

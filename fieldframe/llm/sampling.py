@@ -315,7 +315,7 @@ def encoded(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
     def run(batches):
         v = vocabulary(model, alpha)
         for pdf in batches:
-            for i, j in common.in_pieces(pdf, ["text"], 1_000_000):
+            for i, j in common.in_pieces(pdf, ["text"], 300_000):
                 part = pdf.iloc[i:j]
                 ids, at, raw = sampled(part["text"].tolist(), part["doc_id"].to_numpy(), v, seed)
                 each = [ids[at[k] : at[k + 1]] for k in range(len(raw))]
