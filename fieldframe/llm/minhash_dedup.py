@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,6 +31,10 @@ BANDS = BUCKETS // ROWS
 SLACK = 0.22
 #: A shingle is rare if so many of the documents still in question have it at most.
 RARE = 5
+#: Shingles that more documents have are told apart before shingles are shuffled.
+FREQUENT = 1000
+#: A band's bucket of more pairs is split into parts of about so many.
+PART_PAIRS = 1_000_000
 #: Shingles are counted by hash in so many cells to bound what two sets can have in common.
 CELLS = 256
 #: Stands for a null doc_id inside pandas, which would turn a column with nulls into floats.
@@ -82,7 +86,7 @@ def registers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, sketch: Sketch) -> DataFrame:
-    """doc_id, n_shingles, two order-free sums that stand for the whole set, and the registers."""
+    """doc_id, a hash of the text, n_shingles, two order-free sums that stand for the whole set, and the registers."""
 
     def run(batches):
         for pdf in batches:
@@ -96,11 +100,11 @@ def sketches(docs: DataFrame, k: int, sketch: Sketch) -> DataFrame:
                         run_sum = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(h ^ seed))))
                         sums.append((run_sum[at[1:]] - run_sum[at[:-1]]).view(np.int64))
                 yield pd.DataFrame(
-                    {"doc_id": part["doc_id"].to_numpy(), "n_shingles": np.diff(at), "s1": sums[0], "s2": sums[1], "regs": [r.tobytes() for r in reg]}
+                    {"doc_id": part["doc_id"].to_numpy(), "text_hash": part["text_hash"].to_numpy(), "n_shingles": np.diff(at), "s1": sums[0], "s2": sums[1], "regs": [r.tobytes() for r in reg]}
                 )
 
-    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    made = given.mapInPandas(run, "doc_id long, n_shingles long, s1 long, s2 long, regs binary")
+    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    made = given.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, regs binary")
     return made.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
@@ -191,9 +195,11 @@ def _rarities(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
                 yield pd.DataFrame({"h": h.view(np.int64)} | {c: np.repeat(part[c].to_numpy(), size) for c in ("doc_id", "n", "component")})
 
     held = written(texts.select("doc_id", "text", "n", "component").mapInPandas(run, "h long, doc_id long, n long, component long"), "shingles")
-    counted = held.groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"held <= {RARE}")
-    counted = written(counted, "rare")
-    rare = held.join(counted.select("h", "lo", "hi"), "h")
+    counted = held.groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    counted = written(counted.where(f"held <= {RARE} or held > {FREQUENT}"), "rare")
+    # shingles of very many documents leave before the shuffle: there is one of them for FREQUENT rows at most
+    rest = held.join(counted.where(f"held > {FREQUENT}").select("h"), "h", "left_anti")
+    rare = rest.join(counted.where(f"held <= {RARE}").select("h", "lo", "hi"), "h")
     few = rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
     lists = rare.where("lo < hi").groupBy("h").agg(F.collect_list(F.struct("doc_id", "n", "component")).alias("l"))
     pairs = F.expr(
@@ -235,23 +241,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     are linked; component_id is the smallest doc_id reachable, itself included, and kept
     says whether that is the row's own.
 
-    Equal sets are one class, named by its smallest doc_id (n_copies rows have it), and
-    only classes are compared. In each band's bucket all classes are first paired with the
+    Equal sets are one class (n_copies rows have it) with a number of its own, and only
+    classes are compared. In each band's bucket all classes are first paired with the
     most central one; buckets that then still hold several components pair their smaller
-    components with all others, less the pairs that cannot be alike for want of common
-    shingles: pairs sharing a rare shingle are listed from it, for the others the rare
-    ones that each has, and its shingles counted by hash, bound the intersection. So a group of n near copies costs about n
-    comparisons, and no proposed link between different components goes untested.
+    components with all others of like size, less the pairs that cannot be alike for want
+    of common shingles: pairs sharing a rare shingle are listed from it, for the others the
+    rare ones that each has, and its shingles counted by hash, bound the intersection. So
+    a group of n near copies costs about n comparisons, and no proposed link between
+    different components goes untested. Buckets of very many such pairs are split.
 
     A null or blank text has no shingles and is linked with nothing. A row without
-    doc_id is kept, its component_id is null. Rows with one doc_id and one text are
-    rows of one class. Other columns are ignored. An empty table gives no rows.
+    doc_id is kept, its component_id is null. Rows with one doc_id are one document,
+    whatever their texts: their classes are linked. Other columns are ignored. An empty
+    table gives no rows.
     """
     sketched = written(sketches(docs, k, sketch), "sketches")
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     key = ["s1", "s2", "n_shingles"]
-    classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
-    reps = written(full.join(classes.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id"]), "reps")
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.count(F.lit(1)).alias("n_copies"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    own_row = ["doc_id", "text_hash", *key]
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "text_hash", *key, "node"), own_row).dropDuplicates([*own_row, "node"])
+    # from here on a class goes by its number in the column doc_id
+    reps = written(reps.select(F.col("node").alias("doc_id"), "n_shingles", "regs"), "reps")
 
     banded = bands(reps, sketch)
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
@@ -261,15 +273,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     star = members.join(heads, "band").where(f"doc_id <> head and {alike}")
     # the pairs that are tested are also those left out of the second round
     star = written(star.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct(), "star")
-    texts = written(common.rows_with(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), members.select("doc_id").distinct()).dropDuplicates(["doc_id"]), "texts")
+    wanted = classes.select(F.col("rep").alias("doc_id"), "text_hash", "node").join(members.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
+    texts = common.rows_joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), written(wanted, "wanted"))
+    texts = written(texts.where(F.xxhash64("text") == F.col("text_hash")).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
     links = _confirmed(star, reps, texts, k, percent, sketch)
     label = written(components(links), "labels")
 
     named = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     named = written(named, "named")
     sized = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("held"))
-    mixed = sized.groupBy("band").agg(F.max_by("component", "held").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = written(named.join(mixed.select("band", "main"), "band"), "open")
+    mixed = sized.groupBy("band").agg(F.max_by("component", "held").alias("main"), F.max("held").alias("most"), F.sum("held").alias("total"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    parts = F.greatest(F.lit(1), F.ceil(F.expr(f"(total - most) * total / {PART_PAIRS}.0"))).cast("int")
+    open_ = written(named.join(mixed.select("band", "main", parts.alias("parts")), "band"), "open")
     known = open_.select("doc_id", "n", "component").distinct()
     own, kin = _rarities(texts.join(known, "doc_id"), k, percent)
     # a pair that shares no rare shingle is bounded by the rare ones that each has, before it is made
@@ -278,24 +293,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: Sket
     # a pair is made in the first of its common buckets only
     profiles = _profiles(texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"), k)
     of_doc = open_.groupBy("doc_id").agg(F.collect_list("band").alias("bands")).join(profiles, "doc_id")
-    open_ = open_.join(of_doc, "doc_id")
-    minor = open_.where("component <> main").select("band", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "own", "component", "bands", "cells")]).withColumnRenamed("doc_id_x", "x")
+    # sets of a pair differ in size by the threshold at most, so they lie in the same or neighbouring steps of size
+    open_ = open_.join(of_doc, "doc_id").withColumn("step", F.floor(F.ln("n") / float(np.log(100 / percent) + 1e-9)))
+    minor = open_.where("component <> main").select("band", F.col("doc_id").alias("x"), *[F.col(c).alias(f"{c}_x") for c in ("n", "own", "component", "bands", "cells")], F.explode(F.expr("sequence(step - 1, step + 1)")).alias("step"), F.expr("pmod(xxhash64(doc_id), parts)").alias("part"))
+    every = open_.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
     most, first = "least(n - own, n_x - own_x)", "array_min(array_intersect(bands, bands_x)) = band"
     common_most = "aggregate(zip_with(cells, cells_x, (p, q) -> least(p, q)), 0L, (s, z) -> s + z)"
-    rest = minor.join(open_, "band").where(f"component_x <> component and 100 * {most} >= {percent} * (n + n_x - {most}) and {first} and 100 * {common_most} >= {percent} * (n + n_x - {common_most})")
+    rest = minor.join(every, ["band", "step", "part"]).where(f"component_x <> component and 100 * {most} >= {percent} * (n + n_x - {most}) and {first} and 100 * {common_most} >= {percent} * (n + n_x - {common_most})")
     rest = rest.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
     rest = rest.unionByName(kin).distinct().join(star, ["a", "b"], "left_anti")
     more = _confirmed(rest, reps, texts, k, percent, sketch)
-    final = written(components(links.unionByName(more)), "components")
 
-    named_classes = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "n_copies", F.coalesce("component", "rep").alias("component_id"))
-    flat = sketched.drop("regs")
+    final = written(components(links.unionByName(more).unionByName(_of_one_document(full, classes, key))), "components")
+    linked = final.join(classes.select("node", "rep"), "node")
+    smallest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named_classes = classes.join(linked.join(smallest, "component").select("node", "component_id"), "node", "left")
+    named_classes = named_classes.select(*key, "n_copies", F.coalesce("component_id", "rep").alias("component_id"))
+    flat = sketched.drop("regs", "text_hash")
     some = flat.where("n_shingles > 0 and doc_id is not null").join(named_classes, key)
     none = flat.where("n_shingles = 0 or doc_id is null").select("*", F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").alias("component_id"))
     both = some.unionByName(none)
     return both.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_copies")
 
 
+def _of_one_document(full: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Links (a, b) between the classes of each doc_id that has several."""
+    several = full.groupBy("doc_id").agg(F.min("s1").alias("l1"), F.max("s1").alias("h1"), F.min("s2").alias("l2"), F.max("s2").alias("h2")).where("l1 < h1 or l2 < h2")
+    several = written(several.select("doc_id"), "several")
+    held = full.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes.select(*key, "node"), key)
+    low = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return held.join(low, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+
+
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which one document of each group of near duplicates stays, with all their columns.
 
@@ -306,6 +335,8 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     decided = written(decided, "decided")
     single = common.rows_without(docs, decided.where("not kept or n_rows > 1").select("doc_id"))
     rows = common.rows_with(docs, decided.where("kept and n_rows > 1").select("doc_id"))
-    rn = "__row_of_doc"
-    rows = rows.withColumn(rn, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rn) == 1)
-    return single.unionByName(rows.select(*docs.columns))
+    # of repeated rows the first by text is an aggregate, partial before the shuffle however many rows one doc_id has
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    (first,) = common.unused(docs.columns, "first_row")
+    rows = rows.groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNotNull(), "text")).alias(first))
+    return single.unionByName(rows.select(f"{first}.*"))
