@@ -27,6 +27,9 @@ SPREAD = 32
 #: The benchmark's windows are broadcast up to this many (about 100 bytes each), and joined by a shuffle beyond.
 BROADCAST_WINDOWS = 500_000
 
+#: Parts that a window's items are met in where they are joined by a shuffle.
+PARTS = 16
+
 # Units of measure and currency signs that may follow a number.
 UNITS = (
     "mm cm km kg mg ml kb mb gb tb hz khz mhz ghz kw kwh mph kmh lb lbs oz ft inch inches foot feet yard yards mile miles "
@@ -60,31 +63,43 @@ def _form(word: Column) -> Column:
     return F.when(first.between(48, 57), NUMBER).when(first == ord(NAME), NAME).when(first == ord(UNIT), UNIT).otherwise(word)
 
 
-def _windows(rows: DataFrame, key: str, lengths: list[int], with_words: bool, exact: bool = False) -> DataFrame:
-    """Rows (key, size, at, h), and with_words x, form and raw: every window of a text's words, its hash, that of its lower-case words, and its words in both forms. exact: h is the hash of the lower-case words."""
+def _windows(rows: DataFrame, key: str, kinds: list[tuple[int, bool]]) -> DataFrame:
+    """Rows (key, size, exact, at, h): every window of a text's words for each of some (size, exact), from one split of the text.
+
+    h is the hash of the window's template, or with exact that of its words in lower case.
+    """
+    raw, form = template_words(F.col("text"))
+    some = {exact for _, exact in kinds}
+    split = rows.select(key, *([form.alias("form")] if False in some else []), *([raw.alias("raw")] if True in some else []))
+    codes = {False: ("codes", lambda: F.transform("form", lambda w: F.xxhash64(w))), True: ("plain", lambda: F.transform("raw", lambda w: F.xxhash64(F.lower(w))))}
+    hashed = split.withColumns({codes[e][0]: codes[e][1]() for e in some})
+    n = F.size("form" if False in some else "raw")
+    if len(kinds) == 1:
+        ((size, exact),) = kinds
+        windows = F.transform(F.sequence(F.lit(0), n - size), _window_at(size, codes[exact][0]))
+        return hashed.where(n >= size).select(key, F.explode(windows).alias("w")).select(key, F.lit(size).alias("size"), F.lit(exact).alias("exact"), "w.*")
+    named = lambda size, exact: (F.lit(size).alias("size"), F.lit(exact).alias("exact"))
+    each = [F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), _window_at(size, codes[exact][0], *named(size, exact)))) for size, exact in kinds]
+    none = F.array().cast("array<struct<size:int,exact:boolean,at:int,h:bigint>>")
+    return hashed.select(key, F.explode(F.concat(*[F.coalesce(e, none) for e in each])).alias("w")).select(key, "w.*")
+
+
+def _window_at(size: int, codes: str, *more: Column):
+    return lambda i: F.struct(*more, i.alias("at"), F.xxhash64(F.slice(F.col(codes), i + 1, F.lit(size))).alias("h"))
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """Rows (item_id, size, exact, at, h, form, raw): the windows of a benchmark's items, of WINDOW words or of all that an item has."""
     raw, form = template_words(F.col("text"))
-    split = rows.select(key, (raw if exact else form).alias("form"), *([raw.alias("raw")] if with_words else []))
-    plain = lambda c: F.transform(c, lambda w: F.xxhash64(F.lower(w)))
-    hashed = split.withColumn("codes", plain("form") if exact else F.transform("form", lambda w: F.xxhash64(w))).withColumn("n", F.size("form"))
-    if with_words:
-        hashed = hashed.withColumn("plain", plain("raw"))
-    parts = []
-    for size in lengths:
-        windows = F.transform(F.sequence(F.lit(0), F.col("n") - size), _window_at(size, with_words))
-        parts.append(hashed.where(F.col("n") >= size).select(key, F.lit(size).alias("size"), F.explode(windows).alias("w")).select(key, "size", "w.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _window_at(size: int, with_words: bool):
-    def window(i):
-        part = lambda c: F.slice(F.col(c), i + 1, F.lit(size))
-        words = [F.xxhash64(part("plain")).alias("x"), part("form").alias("form"), part("raw").alias("raw")] if with_words else []
-        return F.struct(i.alias("at"), F.xxhash64(part("codes")).alias("h"), *words)
-
-    return window
+    split = items.select("item_id", form.alias("form"), raw.alias("raw")).withColumn("n", F.size("form"))
+    split = split.withColumn("codes", F.transform("form", lambda w: F.xxhash64(w))).withColumn("plain", F.transform("raw", lambda w: F.xxhash64(F.lower(w))))
+    size = F.least(F.col("n"), F.lit(WINDOW))
+    part = lambda c, i: F.slice(F.col(c), i + 1, F.col("size"))
+    fields = lambda i: F.struct(i.alias("at"), F.xxhash64(part("codes", i)).alias("t"), F.xxhash64(part("plain", i)).alias("x"), part("form", i).alias("form"), part("raw", i).alias("raw"))
+    windows = split.where("n > 0").withColumn("size", size).select("item_id", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), fields)).alias("w")).select("item_id", "size", "w.*")
+    literal = F.size(F.filter("form", lambda x: ~x.isin(NUMBER, UNIT, NAME)))
+    windows = windows.withColumn("exact", literal < F.least(F.lit(LITERALS), F.col("size")))
+    return windows.select("item_id", "size", "exact", "at", F.when(F.col("exact"), F.col("x")).otherwise(F.col("t")).alias("h"), "form", "raw")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -108,32 +123,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     """
     rows = docs.select(F.col("doc_id"), "text").where("doc_id is not null")
     items = benchmark.select(F.col("item_id"), "text").where("item_id is not null")
-    _, form = template_words(F.col("text"))
-    lengths = sorted(r[0] for r in items.select(F.least(F.size(form), F.lit(WINDOW)).alias("n")).where("n > 0").distinct().collect())
     schema = (
         "doc_id long, item_id long, n_windows long, item_windows long, coverage double, n_slots long, n_changed long, consistent boolean, kind string, contaminated boolean"
     )
-    if not lengths:
-        return docs.sparkSession.createDataFrame([], schema)
-    literal = F.size(F.filter("form", lambda x: ~x.isin(NUMBER, UNIT, NAME)))
-    of_items = _windows(items, "item_id", lengths, True).withColumn("exact", literal < F.least(F.lit(LITERALS), F.col("size")))
-    of_items = of_items.withColumn("h", F.when(F.col("exact"), F.col("x")).otherwise(F.col("h"))).drop("x")
-    whole = items.select("item_id", F.size(form).alias("words"))
-    of_items = of_items.join(whole, "item_id").where(f"size = {WINDOW} or words = size").drop("words")
+    of_items = _item_windows(items)
     template_at = lambda c: F.countDistinct(F.when(~F.col("exact"), F.col(c)))
     item_windows = of_items.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"), template_at("at").alias("item_templates"))
     known = of_items.select("item_id", "size", "exact", F.col("at").alias("item_at"), "h", F.col("form").alias("item_form"), F.col("raw").alias("item_raw"))
     # the size of what is broadcast is checked; a larger benchmark is joined by a shuffle
     small = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     keys = known.select("h", "size", "exact").distinct()
-    kinds = known.select("exact", "size").distinct().collect()
-    parts = []
-    for exact in sorted({r["exact"] for r in kinds}):
-        windows = _windows(rows, "doc_id", sorted(r["size"] for r in kinds if r["exact"] == exact), False, exact)
-        of_kind = keys.where(F.col("exact") == exact).drop("exact")
-        hits = windows.join(F.broadcast(of_kind) if small else of_kind, ["h", "size"], "left_semi")
-        parts.append(hits.select("doc_id", "size", F.lit(exact).alias("exact"), "at", "h"))
-    of_docs = common.written(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "hits")
+    kinds = sorted((r["size"], r["exact"]) for r in keys.select("exact", "size").distinct().collect())
+    if not kinds:
+        return docs.sparkSession.createDataFrame([], schema)
+    windows = _windows(rows, "doc_id", kinds)
+    hits = windows.join(F.broadcast(keys) if small else keys, ["h", "size", "exact"], "left_semi")
+    of_docs = common.written(hits.select("doc_id", "size", "exact", "at", "h"), "hits")
     # the slot values are read again from the texts of the few documents with hits, at the hits
     places = of_docs.groupBy("doc_id").agg(F.collect_set(F.struct("size", "exact", "at", "h")).alias("places"))
     texts = common.rows_with(rows, of_docs.select("doc_id").distinct()).join(places, "doc_id")
@@ -141,7 +146,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     words_at = lambda c, x: F.slice(F.col(c), x["at"] + 1, x["size"])
     at_hits = F.transform("places", lambda x: F.struct(x["size"].alias("size"), x["exact"].alias("exact"), x["at"].alias("at"), x["h"].alias("h"), words_at("form", x).alias("form"), words_at("raw", x).alias("raw")))
     hit = texts.select("doc_id", "places", raw.alias("raw"), form.alias("form")).select("doc_id", F.explode(at_hits).alias("w")).select("doc_id", "w.*")
-    hit = hit.join(F.broadcast(known) if small else known, ["h", "size", "exact"])
+    # a window that very many items and documents share is met in parts
+    parts = 1 if small else PARTS
+    hit = hit.withColumn("part", F.pmod(F.xxhash64("doc_id", "at"), F.lit(parts)))
+    every = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    hit = hit.join(F.broadcast(every) if small else every, ["h", "size", "exact", "part"])
     lower = lambda c: F.transform(c, lambda w: F.lower(w))
     same = F.when(F.col("exact"), lower("raw") == lower("item_raw")).otherwise(F.col("form") == F.col("item_form"))
     slots = F.filter(
