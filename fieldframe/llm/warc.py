@@ -1,15 +1,17 @@
 """Operator 8, WARC archives as a PySpark Python data source.
 
 The writer makes one archive a task, every record a gzip member. The reader plans one
-input partition a file, takes over predicates on record type and other headers, parses
-a record's headers first and inflates a payload only if the record passes and a column
-of the query needs it.
+input partition a file (.warc.gz or plain .warc), takes over predicates on record type and
+other headers, parses a record's headers first and puts a payload together only if the
+record passes and a column of the query needs it. Records of any type are read: the
+payload of an HTTP message is its body, that of any other record its whole block.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -29,6 +31,8 @@ HEADERS = ("record_id", "record_type", "target_uri", "warc_date", "refers_to", "
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
+#: Rows of one payload meet its first page in so many parts.
+PARTS = 16
 
 
 def payload_digest(payload: bytes) -> str:
@@ -61,7 +65,10 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """Rows (record_id, record_type, target_uri, refers_to, payload): an archive a task, renamed into place on commit."""
+    """Rows (record_id, record_type, target_uri, refers_to, payload, payload_sha1, payload_bytes): an archive a task, renamed into place on commit.
+
+    Digest and size are taken from a payload where they are null.
+    """
 
     def __init__(self, path: str):
         self.path = path
@@ -75,7 +82,9 @@ class WarcWriter(DataSourceWriter):
                 name = f"{base}/.part-{uuid.uuid4().hex}.warc.gz"
                 out = system.open_output_stream(name, compression=None)
             payload = bytes(row.payload) if row.payload is not None else b""
-            made = record(row.record_id, row.record_type, row.target_uri, payload_digest(payload), len(payload), payload, row.refers_to)
+            size = len(payload) if row.payload_bytes is None else row.payload_bytes
+            digest = payload_digest(payload) if row.payload_sha1 is None else base64.b32encode(bytes.fromhex(row.payload_sha1)).decode()
+            made = record(row.record_id, row.record_type, row.target_uri, digest, size, payload, row.refers_to)
             squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
             out.write(squeeze.compress(made) + squeeze.flush())
         if out is not None:
@@ -97,47 +106,73 @@ class WarcWriter(DataSourceWriter):
 
 
 class _Stream:
-    """The inflated bytes of one archive, whose members follow each other; what is skipped is inflated but never copied together."""
+    """The bytes of one archive, inflated where its members are gzip; what is skipped is never copied together.
+
+    Bytes wait in a buffer with a place to read from, which is cut off only now and then,
+    so any number of small reads costs what the bytes cost.
+    """
 
-    def __init__(self, source):
-        self.source, self.buffer, self.inflate, self.rest = source, b"", None, b""
+    def __init__(self, source, squeezed: bool):
+        self.source, self.squeezed, self.inflate, self.rest = source, squeezed, None, b""
+        self.buffer, self.at = bytearray(), 0
 
-    def _more(self) -> bool:
+    def _next(self) -> bytes | None:
         while True:
             raw = self.rest or self.source.read(CHUNK)
             self.rest = b""
             if not raw:
-                return False
+                return None
+            if not self.squeezed:
+                return raw
             if self.inflate is None:
                 self.inflate = zlib.decompressobj(31)
-            got = self.inflate.decompress(raw)
+            got = self.inflate.decompress(raw, CHUNK * 16)
             if self.inflate.eof:
                 self.rest, self.inflate = self.inflate.unused_data, None
+            else:
+                self.rest = self.inflate.unconsumed_tail
             if got:
-                self.buffer += got
-                return True
+                return got
 
-    def until_blank(self) -> bytes | None:
-        """A header block up to its blank line; None at the end."""
-        while (at := self.buffer.find(b"\r\n\r\n")) < 0:
-            if not self._more():
+    def _more(self) -> bool:
+        got = self._next()
+        if got is None:
+            return False
+        if self.at > CHUNK and self.at > len(self.buffer) // 2:
+            del self.buffer[: self.at]
+            self.at = 0
+        self.buffer += got
+        return True
+
+    def until_blank(self, limit: int | None = None) -> bytes | None:
+        """A header block up to its blank line; None at the end, or if there is no blank line among the next limit bytes."""
+        seek = self.at
+        while (found := self.buffer.find(b"\r\n\r\n", seek)) < 0:
+            held = len(self.buffer) - self.at
+            if (limit is not None and held >= limit) or not self._more():
                 return None
-        block, self.buffer = self.buffer[:at], self.buffer[at + 4 :]
+            seek = max(self.at, self.at + held - 3)
+        if limit is not None and found + 4 - self.at > limit:
+            return None
+        block, self.at = bytes(self.buffer[self.at : found]), found + 4
         return block.lstrip(b"\r\n")
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) < n and self._more():
+        while len(self.buffer) - self.at < n and self._more():
             pass
-        block, self.buffer = self.buffer[:n], self.buffer[n:]
+        block = bytes(self.buffer[self.at : self.at + n])
+        self.at += len(block)
         return block
 
     def skip(self, n: int) -> None:
-        while n > len(self.buffer):
-            n -= len(self.buffer)
-            self.buffer = b""
-            if not self._more():
+        while n > len(self.buffer) - self.at:
+            n -= len(self.buffer) - self.at
+            self.buffer, self.at = bytearray(), 0
+            got = self._next()
+            if got is None:
                 return
-        self.buffer = self.buffer[n:]
+            self.buffer += got
+        self.at += n
 
 
 def _fields(block: bytes) -> dict[str, str]:
@@ -158,6 +193,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, path: str, columns: list[str]):
         self.path, self.columns = path, columns
         self.wanted: dict[str, set] = {}
+        self.present: set[str] = set()
 
     def pushFilters(self, filters):
         for f in filters:
@@ -165,15 +201,15 @@ class WarcReader(DataSourceReader):
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 name = f.attribute[0]
                 self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
-            elif isinstance(f, IsNotNull) and f.attribute == ("record_type",):
-                continue
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
+                self.present.add(f.attribute[0])
             else:
                 yield f
 
     def partitions(self):
         system, base = fs.FileSystem.from_uri(self.path)
         files = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
-        return [Archive(f.path) for f in sorted(files, key=lambda f: f.path) if f.base_name.endswith(".warc.gz") and f.base_name[0] not in "._"]
+        return [Archive(f.path) for f in sorted(files, key=lambda f: f.path) if f.base_name.endswith((".warc.gz", ".warc")) and f.base_name[0] not in "._"]
 
     def read(self, partition):
         if not isinstance(partition, Archive):
@@ -181,12 +217,12 @@ class WarcReader(DataSourceReader):
         system, _ = fs.FileSystem.from_uri(self.path)
         decode = "payload" in self.columns
         with system.open_input_stream(partition.path, compression=None) as source:
-            stream = _Stream(source)
+            stream = _Stream(source, partition.path.endswith(".gz"))
             while (block := stream.until_blank()) is not None:
                 if not block:
                     continue
                 head = _fields(block)
-                length = int(head.get("content-length", 0))
+                left = int(head.get("content-length", 0))
                 row = {
                     "record_id": _bare(head.get("warc-record-id")),
                     "record_type": head.get("warc-type"),
@@ -195,12 +231,17 @@ class WarcReader(DataSourceReader):
                     "refers_to": _bare(head.get("warc-refers-to")),
                     "payload_digest": (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None,
                 }
-                if any(row[k] not in v for k, v in self.wanted.items()):
-                    stream.skip(length + 4)
+                if any(row[k] not in v for k, v in self.wanted.items()) or any(row[k] is None for k in self.present):
+                    stream.skip(left + 4)
                     continue
-                http = stream.until_blank()
-                left = length - len(http) - 4
-                row["payload_bytes"] = int(_fields(http).get("content-length", left))
+                row["payload_bytes"] = left
+                # only a block of type application/http has an HTTP head of its own
+                if head.get("content-type", "").lower().startswith("application/http"):
+                    http = stream.until_blank(left)
+                    if http is not None:
+                        left -= len(http) + 4
+                        told = _fields(http).get("content-length", "")
+                        row["payload_bytes"] = int(told) if row["record_type"] == "revisit" and told.isdigit() else left
                 if decode:
                     row["payload"] = stream.take(left)
                     stream.skip(4)
@@ -242,28 +283,30 @@ def write_pages(pages: DataFrame, path: str, least: int = 0) -> None:
     least bytes or more that with the largest page_id is response and the others revisit
     it; smaller ones are all responses. Rows that repeat the largest page_id are all
     responses; a row without page_id is one too unless another row has its payload and
-    an id. Equal payloads are counted by digest before they meet the rows, and a digest
-    that very many rows share is split by the adaptive join.
+    an id. Equal payloads are counted by digest before they meet the rows, and rows meet
+    the first page of their payload without html and in parts, so a digest that very many
+    rows share moves numbers only, to several tasks.
     """
+    sha1, uri = F.sha1(F.encode("html", "UTF-8")), lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    large = rows.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("d"), F.octet_length("html").alias("n")).where(f"n >= {int(least)}")
-    first = large.groupBy("d").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("d", "first")
-    # pages of a payload that only they have need not meet the others
-    rows = rows.withColumn("d", F.sha1(F.encode("html", "UTF-8")))
-    repeated = common.written(first, "payloads")
-    alone = common.rows_without(rows, repeated.select("d"), "d").withColumn("first", F.lit(None).cast("long"))
-    shared = common.rows_with(rows, repeated.select("d"), "d").join(repeated, "d")
-    shared = shared.withColumn("first", F.when(F.octet_length("html") >= least, F.col("first")))
-    every = alone.unionByName(shared.select(*alone.columns))
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    uri = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
-    every.select(
-        uri(F.col("page_id")).alias("record_id"),
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.col("url").alias("target_uri"),
-        F.when(revisit, uri(F.col("first"))).alias("refers_to"),
-        F.encode("html", "UTF-8").alias("payload"),
-    ).write.format("warc").mode("append").save(path)
+    light = rows.select("page_id", "url", sha1.alias("d"), F.octet_length("html").cast("long").alias("n")).where(f"n >= {int(least)}")
+    first = light.groupBy("d").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("d", "first")
+    repeated = common.written(first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).select(F.concat_ws(":", "d", "part").alias("dp"), "first"), "payloads")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS))
+    later = common.rows_joined(light.withColumn("dp", F.concat_ws(":", "d", part)), repeated, "dp").where(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
+    key = lambda d: F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), d)
+    later = common.written(later.select(key(F.col("d")).alias("key"), "page_id", "url", "first", "d", "n"), "revisits")
+    responses = common.rows_without(rows.withColumn("key", key(sha1)), later.select("key").distinct(), "key")
+    told = lambda c, kind: F.lit(c).cast(kind)
+    made = responses.select(
+        uri(F.col("page_id")).alias("record_id"), F.lit("response").alias("record_type"), F.col("url").alias("target_uri"), told(None, "string").alias("refers_to"),
+        F.encode("html", "UTF-8").alias("payload"), told(None, "string").alias("payload_sha1"), told(None, "long").alias("payload_bytes"),
+    )
+    again = later.select(
+        uri(F.col("page_id")).alias("record_id"), F.lit("revisit").alias("record_type"), F.col("url").alias("target_uri"), uri(F.col("first")).alias("refers_to"),
+        told(None, "binary").alias("payload"), F.col("d").alias("payload_sha1"), F.col("n").alias("payload_bytes"),
+    )
+    made.unionByName(again).write.format("warc").mode("append").save(path)
 
 
 def read_archives(spark: SparkSession, path: str, columns=("record_id", "record_type", "target_uri", "warc_date", "refers_to", "payload_digest", "payload_bytes", "payload")) -> DataFrame:
@@ -271,6 +314,14 @@ def read_archives(spark: SparkSession, path: str, columns=("record_id", "record_
     return spark.read.format("warc").schema(", ".join(f"{c} {kinds[c]}" for c in columns)).load(path)
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """The path with its file system: one without a scheme lies in Spark's default file system, as it does for Spark's own readers and writers."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path
+    home = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return f"{home.rstrip('/')}{path}" if home.rstrip("/") != "file:" else f"file://{path}"
+
+
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes pages as archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -278,7 +329,7 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     register(spark)
     path = common.new_path(spark, "warc")
-    path = path if ":" in path else f"file://{path}"
+    path = resolved(spark, path)
     write_pages(pages, path)
     number = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1), F.lit("")).cast("long")
     whole = read_archives(spark, path).where("record_type = 'response'")
