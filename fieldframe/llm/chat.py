@@ -24,7 +24,8 @@ Template = Callable[[list[Turn]], str]
 #: Strings that a template gives a meaning to.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|turn|>", "<|text|>", "<|end|>")
 _control = re.compile("|".join(re.escape(c[0]) + "(?=" + re.escape(c[1:]) + ")" for c in CONTROL) + r"|\\")
-SENTINEL = "﷐"
+#: Code points that no text should hold; a turn's text is found by one that none of the turns has.
+NONCHARACTERS = [chr(c) for c in (*range(0xFDD0, 0xFDF0), *(plane + end for plane in range(0, 0x110000, 0x10000) for end in (0xFFFE, 0xFFFF)))]
 
 
 def escape(text: str) -> str:
@@ -66,17 +67,27 @@ class Rendered:
     rewritten: int | None
 
 
+def absent(turns: list[Turn]) -> str:
+    """A string that no role or text of the turns holds."""
+    held = set().union(*(set(role) | set(text) for role, text in turns))
+    single = next((c for c in NONCHARACTERS if c not in held), None)
+    if single:
+        return single
+    longest = max(len(text) for turn in turns for text in turn)
+    return NONCHARACTERS[0] * (longest + 1)
+
+
 def render(turns: list[Turn], template: Template) -> Rendered:
     """Renders all prefixes; for a template that rewrites history, spans are those of the turns before it did."""
-    before, spans = "", []
+    before, spans, sentinel = "", [], absent(turns)
     for n in range(1, len(turns) + 1):
         now = template(turns[:n])
         if not now.startswith(before):
             return Rendered(template(turns), spans, n - 1)
         role, text = turns[n - 1]
-        probe = template([*turns[: n - 1], (role, SENTINEL)])
-        start = probe.find(SENTINEL, len(before))
-        tail = len(probe) - start - len(SENTINEL) if start >= 0 else 0
+        probe = template([*turns[: n - 1], (role, sentinel)])
+        start = probe.find(sentinel, len(before))
+        tail = len(probe) - start - len(sentinel) if start >= 0 else 0
         start = start if start >= 0 else len(now)
         spans.append((len(before), len(now), start, max(start, len(now) - tail)))
         before = now
@@ -98,14 +109,17 @@ def formatted(conversations: DataFrame, template: Template = instruct, loss_role
     """Per conversation: conv_id, n_turns, text, spans (start, end, text_start, text_end), rewritten, and what is read back from text: turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     Rows of a conversation are taken by turn, then role and text; null turns come first.
-    A null text is empty, a null role is the role null's empty name. Rows without conv_id
-    are one conversation. A conversation is one record of the output and is put together
-    in one row; conversations are independent of each other. Other columns are ignored; an
+    A null text is empty, a null role is the role null's empty name. A row without conv_id
+    is a conversation of its own. A conversation is one record of the output and is put
+    together in one row, so its turns must fit into a task's memory, and rendering its
+    prefixes takes time with the square of its turns. Other columns are ignored; an
     empty table gives no rows. rewritten is the turn where a template changed earlier
     output (null: none); texts after it are then not in the spans nor under the mask.
     """
     named = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    gathered = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), named.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select(F.col("conv_id").cast("string").alias("conv_id"), alone.alias("alone"), named.alias("t"))
+    gathered = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns")).drop("alone")
 
     def run(batches):
         for pdf in batches:

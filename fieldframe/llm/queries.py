@@ -96,9 +96,9 @@ def oracle_sql() -> dict[str, str]:
 # formatted_chars follows from the template: its marks, and a character for every escaped one
 OP3 = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
   SELECT *, length(regexp_replace(text, '(\\|<(/?s>|<SYS>>|</SYS>>|\|turn\|>|\|text\|>|\|end\|>)|\[(/?INST\]))', '\1#', 'g')) AS n FROM rows
 )
@@ -106,8 +106,8 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-       CAST(sum(n + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 19 ELSE 25 + length(role) END) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+       CAST(sum(n + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 19 ELSE 24 + length(role) END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id, alone
 """
 
 # positions come from splitting at the matches: the text between them and they themselves add up
