@@ -66,12 +66,14 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, of: int, held
     """doc_id, text, y of at most bound labelled rows outside the held-out remainder, chosen by hashed doc_id.
 
     Only doc_id and label are sorted; the chosen ids are few enough to be broadcast, so
-    texts are not shuffled. Rows with a null label or id are no labelled rows.
+    of the texts only the chosen ones are shuffled. Rows with a null label or id are no
+    labelled rows; of rows with one doc_id the first by text is taken.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(remainder(F.col("doc_id"), of) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return held.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> np.ndarray:

@@ -7,11 +7,14 @@ one machine whose transitions carry a symbol and a factor; a clause weighs what
 weigh, and a text's score is 1 - 4**-(sum of its clauses), so one plain insult scores 0.75.
 
 What counts as an insult is a list of fixed words and a lexicon learnt from labelled
-rows: words, or beginnings of words, that toxic texts have and others have not.
+rows: words, or beginnings of words, that toxic texts have and others have not. A beginning
+that tells toxic texts only where it comes twice is a weak insult: two of them weigh what
+one plain insult does.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -24,10 +27,12 @@ from .quality import bounded_sample, remainder
 
 #: Labelled rows that the lexicon is learnt from at most, those with the smallest hashes of their doc_id.
 FIT_ROWS = 30_000
-#: A term is taken if so many toxic texts, and this share of all toxic texts, have it, and this share of all texts that have it are toxic.
-SUPPORT, SHARE, PURITY = 3, 0.02, 0.97
+#: A term is taken if this share of all texts that have it are toxic, and if chance would so seldom make any of all terms look like that.
+PURITY, CHANCE = 0.95, 0.01
 #: Beginnings of words that may be terms, in characters.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+#: What a weak insult weighs.
+WEAK_WEIGHT = 0.45
 
 # Words of the grammar's classes in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons scum trash clown stupid worthless pathetic disgusting loser losers imbecile bastard abschaum dummkopf vollidiot crétin connard idiota imbécil estúpido".split()
@@ -37,8 +42,8 @@ INTENTS = "will shall gonna going must werde werden wird vais va voy vamos".spli
 NEGATIONS = "not never no isn't aren't nicht kein keine keinen nie pas jamais ni nunca".split()
 REPORTS = "said says say wrote told called calls claimed alleged quoted sagte sagt schrieb nannte dit disait écrit dijo dice escribió llamó".split()
 
-INSULT, THREAT, TARGET, INTENT, NEGATION, REPORT, QUOTE, END, OTHER, HIT = range(10)
-SYMBOLS = range(10)
+INSULT, THREAT, TARGET, INTENT, NEGATION, REPORT, QUOTE, END, OTHER, HIT, WEAK = range(11)
+SYMBOLS = range(11)
 
 
 class Transducer:
@@ -76,7 +81,7 @@ class Transducer:
 
 
 def grammar() -> Transducer:
-    insult = Transducer([{INSULT: (0, HIT, 1.0)}])
+    insult = Transducer([{INSULT: (0, HIT, 1.0), WEAK: (0, HIT, WEAK_WEIGHT)}])
     # a threat is a verb of violence behind an intent, or at a target
     threat = Transducer([{INTENT: (1, INTENT, 1.0), THREAT: (2, OTHER, 1.0)}, {THREAT: (0, HIT, 1.2)}, {TARGET: (0, HIT, 0.8), OTHER: (0, OTHER, 1.0)}])
     # a target earlier in the clause raises what hits it
@@ -112,13 +117,13 @@ def _words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 class Lexicon:
-    """Insult terms with weights: whole words, and beginnings (marked by a star)."""
+    """Insult terms with their purities: whole words, beginnings (marked by a star), and those that are weak (by two)."""
 
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
         classes = [(THREATS, THREAT), (TARGETS, TARGET), (INTENTS, INTENT), (NEGATIONS, NEGATION), (REPORTS, REPORT), ([t for t in terms if t[-1] != "*"], INSULT)]
         self.words = {w: c for some, c in classes for w in some}
-        self.stems = sorted({t[:-1] for t in terms if t[-1] == "*"})
+        self.stems = {t.rstrip("*"): WEAK if t.endswith("**") else INSULT for t in sorted(terms, reverse=True) if t[-1] == "*"}
 
     def symbols(self, data, start, end, kind) -> np.ndarray:
         out = np.full(len(start), OTHER, dtype=np.int64)
@@ -126,7 +131,8 @@ class Lexicon:
         hashed = common.Hasher(data)
         word = kind == 1
         code = np.where(word, hashed(start, end), 0)
-        for some, full in ((self.words, True), ({s: INSULT for s in self.stems}, False)):
+        plain, weak = ({s: c for s, c in self.stems.items() if c == kind} for kind in (INSULT, WEAK))
+        for some, full in ((weak, False), (plain, False), (self.words, True)):
             by_size: dict[int, list[str]] = {}
             for w in some:
                 by_size.setdefault(0 if full else len(w.encode()), []).append(w)
@@ -148,7 +154,7 @@ def score_texts(texts, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
     symbols = lexicon.symbols(data, start, end, kind)
     doc = common.owner(starts, start)
     out = np.zeros(len(starts) - 1)
-    hot = np.unique(doc[(symbols == INSULT) | (symbols == THREAT)])
+    hot = np.unique(doc[(symbols == INSULT) | (symbols == THREAT) | (symbols == WEAK)])
     lo, hi = np.searchsorted(doc, hot), np.searchsorted(doc, hot, side="right")
     for d, i, j in zip(hot, lo, hi, strict=True):
         out[d] = 1 - 4.0 ** -min(sum(machine.clauses(symbols[i:j].tolist())), 30.0)
@@ -156,21 +162,36 @@ def score_texts(texts, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
 
 
 def _terms(text: str) -> set[str]:
-    words = set()
+    """A text's words, beginnings of words with a star, and with two those of two words or more."""
+    words, stems = Counter(), Counter()
     data, start, end, kind, _ = _words([text])
     raw = data.tobytes()
     for a, b in zip(start[kind == 1].tolist(), end[kind == 1].tolist(), strict=True):
-        words.add(raw[a:b].decode("utf-8", "replace"))
-    return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
+        words[raw[a:b].decode("utf-8", "replace")] += 1
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k]] += n
+    return {*words, *(s + "*" for s in stems), *(s + "**" for s, n in stems.items() if n > 1)}
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Lexicon:
-    """A lexicon from labelled rows with crc32(doc_id) mod 3 other than 1, and the fixed insults.
+def _telling(toxic: int, clean: int, rate: float, terms: int) -> bool:
+    """Whether a term is pure, and would so rarely be by chance (a bound of Chernoff's, over all terms)."""
+    n = toxic + clean
+    q = toxic / n
+    if q < PURITY or q <= rate:
+        return False
+    apart = q * math.log(q / rate) + ((1 - q) * math.log((1 - q) / (1 - rate)) if clean else 0.0)
+    return n * apart > math.log(terms / CHANCE)
 
-    Terms are counted over the sample in Spark. Of the pure terms each toxic text names
+
+def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, fixed: list[str] = INSULTS) -> Lexicon:
+    """A lexicon from labelled rows with crc32(doc_id) mod 3 other than 1, and fixed insults.
+
+    Terms are counted over the sample in Spark. Of the telling terms each toxic text names
     the one that most toxic texts have, and terms named at least twice are kept: words
     that only come along with an insult are never named. What the driver gets is bounded
-    by the sample.
+    by the sample. Without toxic or without other rows only the fixed insults are there.
     """
     chosen = bounded_sample(docs, labels, "toxic", 3, 1, bound)
 
@@ -185,8 +206,14 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Lexicon:
             yield pd.DataFrame({"term": pd.Series(some, dtype=object), "toxic": [toxic[t] for t in some], "clean": [clean[t] for t in some]})
 
     counted = chosen.select("text", "y").mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    least = max(SUPPORT, SHARE * chosen.where("y = 1").count())
-    pure = counted.where(f"toxic >= {least} and toxic >= {PURITY} * (toxic + clean)").toPandas()
+    counted = common.written(counted, "terms")
+    n_rows, n_toxic = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < n_toxic < n_rows:
+        return Lexicon({w: 1.0 for w in fixed})
+    rate, n_terms = n_toxic / n_rows, counted.count()
+    pure = counted.where(f"toxic >= 3 and toxic >= {PURITY} * (toxic + clean)").toPandas()
+    told = [_telling(t, c, rate, n_terms) for t, c in zip(pure["toxic"], pure["clean"], strict=True)]
+    pure = pure[np.array(told, dtype=bool)]
     support = dict(zip(pure["term"], pure["toxic"], strict=True))
     purity = dict(zip(pure["term"], pure["toxic"] / (pure["toxic"] + pure["clean"]), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast(support)
@@ -201,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Lexicon:
         yield pd.DataFrame({"term": pd.Series(list(best), dtype=object), "n": list(best.values())})
 
     named = chosen.where("y = 1").select("text").mapInPandas(name, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where("n >= 2").toPandas()
-    return Lexicon({w: 1.0 for w in INSULTS} | {t: float(purity[t]) for t in sorted(named["term"])})
+    return Lexicon({w: 1.0 for w in fixed} | {t: float(purity[t]) for t in sorted(named["term"])})
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
