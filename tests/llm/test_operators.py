@@ -345,3 +345,86 @@ def test_op2_query_decodes_every_text(spark):
     assert {r.doc_id: r.decoded_sha256 for r in got} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
     assert all(r.lossless and r.n_pieces == len(r.ids) for r in got) and len(got) == len(texts)
     assert sum(r.n_pieces for r in got) < 0.6 * sum(map(len, texts.values()))
+
+
+def test_near_duplicates_of_a_doc_id_with_several_texts(docs):
+    first, second = " ".join(prose(1, 60)), " ".join(prose(2, 60))
+    rows = [(1, first), (1, second), (2, first + " z"), (3, second + " z"), (4, " ".join(prose(3, 60)))]
+    got = minhash_dedup.near_duplicates(docs(rows), 4, 80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    kept = minhash_dedup.deduplicated(docs([*rows, (1, None)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id == 4 or r.text) == [(4, rows[4][1])] and len(kept) == 2
+
+
+def test_split_buckets_give_the_same(docs, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "PART_PAIRS", 2)
+    monkeypatch.setattr(minhash_dedup, "FREQUENT", 6)
+    rows = corpus()
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs(rows), 4, 80).collect()}
+    assert got == brute_components(rows, 4)
+
+
+def test_helper_columns_do_not_clash(spark):
+    names = ["doc_id", "text", "bit_slot", "BIT_WORD", "bit_mask", "bit_set", "bit_key", "first_row", "__spans", "__rules"]
+    rows = [(i, " ".join(prose(i // 2, 30)), *range(8)) for i in range(6)] + [(0, "a", *range(8))]
+    given = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    ids = spark.createDataFrame([(2,), (5,)], "doc_id long")
+    assert common.rows_with(given, ids).columns == names and sorted(r.doc_id for r in common.rows_with(given, ids).collect()) == [2, 5]
+    assert sorted(r.doc_id for r in common.rows_without(given, ids).collect()) == [0, 0, 1, 3, 4]
+    joined = common.rows_joined(given, spark.createDataFrame([(2, "x"), (9, "y")], "doc_id long, more string"))
+    assert [(r.doc_id, r.more) for r in joined.collect()] == [(2, "x")]
+    assert sorted(r.doc_id for r in minhash_dedup.deduplicated(given).collect()) == [0, 2, 4]
+    assert secret_scan.redacted(given).columns == names and secret_scan.redacted(given).count() == 7
+
+
+def test_chat_with_noncharacters_nulls_and_many_turns(spark):
+    make = lambda rows: spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns long, alone string")
+    rows = [(1, 0, "tool﷐x", "hi﷑"), (1, 1, "assistant", "﷐" * 3), (None, 0, "assistant", "a"), (None, 0, "assistant", "b")]
+    rows += [(2, i, "user" if i % 2 == 0 else "assistant", "word " * 40) for i in range(60)] + [(3, 0, "user", "x" * 200_000), (4, None, None, None)]
+    got = {(r.conv_id, r.text if r.conv_id is None else None): r for r in chat.formatted(make([(*r, 7, "z") for r in rows])).collect()}
+    first = got[1, None]
+    assert [first.text[s.text_start : s.text_end] for s in first.spans] == ["hi﷑", "﷐" * 3] and first.loss_chars == 3
+    assert len(got) == 6 and sum(r.loss_chars for (c, _), r in got.items() if c is None) == 2 and got[2, None].n_turns == 60 and got[2, None].loss_chars == 30 * 200
+    assert got[3, None].turns_sha256 == hashlib.sha256(f"user\n{'x' * 200_000}\n".encode()).hexdigest() and got[4, None].formatted_chars == 24
+    assert chat.formatted(make([])).count() == 0
+
+
+def test_trigram_queries_of_many_rules(docs):
+    rules = [secret_scan.Rule(f"k{i}", f"key{i:02d}zz[0-9]+") for i in range(40)] + [secret_scan.Rule("any", "[0-9]{5}")]
+    assert sum(len(q) for r in rules for q in secret_scan.trigram_query(r.pattern)) > 62
+    rows = [(i, f"see KEY{i:02d}ZZ7 and key{i:02d}zz{i}") for i in range(40)] + [(50, "12345"), (51, "key")]
+    got = {r.doc_id: sorted(s.kind for s in r["__spans"]) for r in secret_scan.found(docs(rows), tuple(rules)).collect()}
+    assert got == {**{i: [f"k{i}"] for i in range(40)}, 50: ["any"], 51: []}
+    assert secret_scan.digest(docs([])).count() == 0
+    for pattern, want in (("(abc)+d", [{"abc"}]), ("a[bc]d|xyz", [{"abd"}, {"acd"}, {"xyz"}]), ("(?i:ABC)?x", []), (r"ab\.c{2,3}[^x]", [{"ab."}]), ("(?=look)abc", [{"abc"}]), (r"\d+abc$", [{"abc"}])):
+        assert sorted(map(sorted, secret_scan.trigram_query(pattern))) == sorted(map(sorted, want)), pattern
+
+
+def test_warc_of_other_makers(spark, tmp_path):
+    import gzip
+
+    body = b"<html>\r\n\r\nx" * 20_000
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+
+    def rec(kind, content, block, more=""):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{kind}>\r\n{more}Content-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    typeless = b"WARC/1.0\r\nWARC-Record-ID: <urn:none>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    records = [rec("warcinfo", "application/warc-fields", b"software: x\r\n"), rec("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"), rec("response", "application/http; msgtype=response", http + body), rec("resource", "text/plain", b"plain\r\n\r\ntext"), rec("metadata", "application/http", b"no blank line"), typeless]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    warc.register(spark)
+    got = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    want = {"warcinfo": b"software: x\r\n", "request": b"", "response": body, "resource": b"plain\r\n\r\ntext", "metadata": b"no blank line", None: b"abc"}
+    assert len(got) == 12 and all(bytes(r.payload) == want[r.record_type] and r.payload_bytes == len(want[r.record_type]) for r in got)
+    assert warc.read_archives(spark, f"file://{tmp_path}").where("record_type is not null").count() == 10
+    assert warc.read_archives(spark, f"file://{tmp_path}", ("record_id", "payload_bytes")).where("record_id = 'urn:resource'").count() == 2
+    assert warc.resolved(spark, "/x/y") == "file:///x/y" and warc.resolved(spark, "viewfs://a/b") == "viewfs://a/b"
+
+
+def test_warc_of_repeated_ids_long_payloads_and_clashing_columns(spark):
+    long = "é" * 300_000
+    rows = [(1, "u", long), (2, "u", long), (2, "v", long), (2, "w", "other"), (None, "n", long), (None, "n", None), (None, "m", "alone"), (7, None, "small")]
+    pages = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "page_id long, url string, html string, n long, d string, first string")
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark, pages).collect())
+    assert got == sorted([("1", 600_000, "revisit", 2), ("2", 600_000, "response", None), ("2", 600_000, "response", None), ("2", 5, "response", None), ("None", 600_000, "revisit", 2), ("None", 0, "response", None), ("None", 5, "response", None), ("7", 5, "response", None)])
