@@ -1,7 +1,10 @@
-"""Scalar formulas as Spark SQL expressions; they are plain SQL, so other engines read them alike."""
+"""Scalar formulas, as Spark columns or as text of plain SQL expressions."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def trilinear(control: str, r: int, x: str, y: str, z: str) -> str:
     """A control grid of r**3 values in the array `control`, sampled at local coordinates 0..7."""
@@ -49,3 +52,34 @@ def timeline(n: str, frames: int, mode: str) -> str:
         return f"least({n}, {frames - 1})"
     period = max(1, 2 * (frames - 1))
     return f"({frames - 1} - abs({frames - 1} - {n} % {period}))"
+
+
+def filmic(c: Column) -> Column:
+    """A filmic tone curve."""
+    return c * (2.51 * c + 0.03) / (c * (2.43 * c + 0.59) + 0.14)
+
+
+def reinhard(c: Column) -> Column:
+    return c / (1 + c)
+
+
+def phase(cosine: Column, g: float) -> Column:
+    """Henyey-Greenstein phase function."""
+    return (1 - g * g) / (4 * F.pi() * F.pow(1 + g * g - 2 * g * cosine, F.lit(1.5)))
+
+
+def fresnel(cosine: Column, r0: float) -> Column:
+    """Schlick's approximation."""
+    return r0 + (1 - r0) * F.pow(1 - cosine, F.lit(5.0))
+
+
+def band_weight(v: Column, bands: list[tuple[float, float]], other: float) -> Column:
+    """The weight of the first band whose upper end is at least v."""
+    out = None
+    for top, weight in bands:
+        out = F.when(v <= top, weight) if out is None else out.when(v <= top, weight)
+    return out.otherwise(other)
+
+
+def clamp(v: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), v))

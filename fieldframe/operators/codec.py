@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .ranks import running
 
 
 def events(residuals: DataFrame, threshold: float) -> DataFrame:
@@ -54,32 +57,98 @@ def dct(series: DataFrame, key: str, value: str, n: int, keep: int) -> DataFrame
     return spread.groupBy(key, "k").agg(F.sum(F.col(value) * F.expr(C.dct_basis(f"{n}e0", "t", "k"))).alias("c"))
 
 
-def offsets(payloads: DataFrame, key: str, size: Column, group: Column) -> DataFrame:
-    """Where each key's payload starts when all are laid end to end in key order.
+def offsets(payloads: DataFrame, key: str, size: Column) -> DataFrame:
+    """Where each key's payload starts and ends when all are laid end to end in key order."""
+    return running(payloads, [F.col(key)], size, "word_begin", "word_end")
 
-    group is a whole number that grows with the key. Sizes are summed by group first and
-    the groups' starts are added to sums inside a group, so no task sorts all rows.
-    """
-    rows = payloads.withColumn("__g", group).withColumn("__s", size)
-    inside = F.coalesce(F.sum("__s").over(Window.partitionBy("__g").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = rows.groupBy("__g").agg(F.sum("__s").alias("s"))
-    start = F.coalesce(F.sum("s").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = totals.select("__g", start.alias("__base"))
-    return rows.withColumn("__in", inside).join(bases, "__g").withColumn("word_begin", F.col("__base") + F.col("__in")).withColumn("word_end", F.col("word_begin") + F.col("__s")).drop("__g", "__s", "__in", "__base")
 
+@dataclass(frozen=True)
+class RouteLimits:
+    """Thresholds of the render route."""
+
+    rmse: float
+    peak: float
+    visible: float
+    band: float
+    fine_gain: float
+    shell_share: float
+    shell_rmse: float
+    shell_peak: float
+    shell_gain: float
 
-def route(metrics: DataFrame, sensitive: float, rough: float, gain: float, visible: float) -> DataFrame:
-    """Render route of each leaf, in order: empty, shell, fine grid, coarse grid."""
-    is_rough, gains = F.col("roughness") >= rough, F.col("gain") >= gain
+
+def route(metrics: DataFrame, limits: RouteLimits) -> DataFrame:
+    """Render route of each leaf, in order: empty, shell, fine grid, coarse grid.
+
+    metrics has is_empty, coarse_rmse, coarse_peak, visible_share, band_share, fine_rmse,
+    shell_share, coarse_shell_rmse, coarse_shell_peak and shell_voxel_rmse. A gain is the
+    share of a coarse error that a finer representation takes away. Nulls (a leaf without
+    shell voxels) count as 0.
+    """
+    m = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in metrics.columns if c not in ("leaf_id", "is_empty")}
+    gain = lambda coarse, fine: (m[coarse] - m[fine]) / F.greatest(m[coarse], F.lit(1e-12))
+    rough = (m["coarse_rmse"] > limits.rmse) | (m["coarse_peak"] > limits.peak)
+    seen = (m["visible_share"] >= limits.visible) | (m["band_share"] >= limits.band)
+    shell_rough = (m["coarse_shell_rmse"] > limits.shell_rmse) | (m["coarse_shell_peak"] > limits.shell_peak)
     mode = (
         F.when(F.col("is_empty"), "empty")
-        .when((F.col("sensitive_share") >= sensitive) & is_rough & gains, "shell")
-        .when(is_rough & (F.col("visible_share") >= visible) & gains, "fine")
+        .when((m["shell_share"] >= limits.shell_share) & shell_rough & (gain("coarse_shell_rmse", "shell_voxel_rmse") >= limits.shell_gain), "shell")
+        .when(rough & seen & (gain("coarse_rmse", "fine_rmse") >= limits.fine_gain), "fine")
         .otherwise("coarse")
     )
     return metrics.withColumn("mode", mode)
 
 
+def distortion(rmse: Column, p99: Column, peak: Column, p99_weight: float = 2.0, peak_weight: float = 4.0, envelope: bool = True, rmse_only: bool = False) -> Column:
+    """What a candidate loses: the largest of rmse and the weighted p99 and peak, or their sum, or rmse alone."""
+    if rmse_only:
+        return rmse
+    return F.greatest(rmse, p99_weight * p99, peak_weight * peak) if envelope else rmse + p99_weight * p99 + peak_weight * peak
+
+
+def rate_distortion(lost: Column, n_bytes: Column, weight: float) -> Column:
+    """Distortion plus weight for each MiB."""
+    return lost + weight * n_bytes / (1024.0 * 1024.0)
+
+
 def cheapest(candidates: DataFrame, key: str, score: Column) -> DataFrame:
     """The candidate with the best score of each key; ties go to the lower place."""
     return candidates.withColumn("score", score).groupBy(key).agg(F.min(F.struct("score", "place", "candidate")).alias("best")).select(key, "best.candidate", "best.score")
+
+
+# How many coefficients may be kept.
+KEEPS = (4, 6, 8, 10, 12, 14, 15, 16)
+
+
+def keep_ladder(most: int) -> list[int]:
+    """The keeps up to the one nearest to the wanted most, the larger of two equally near."""
+    wanted = min(64, max(1, most))
+    top = min(KEEPS, key=lambda k: (abs(k - wanted), -k))
+    return [k for k in KEEPS if k <= top]
+
+
+def smallest_keep(errors: DataFrame, key: str, last: int, rmse: float, peak: float) -> DataFrame:
+    """Of rows (key, keep, rmse, peak) each key's with the smallest keep that meets both thresholds, else that with the last keep."""
+    met = F.when((F.col("rmse") <= rmse) & (F.col("peak") <= peak), F.col("keep"))
+    chosen = errors.groupBy(key).agg(F.coalesce(F.min(met), F.lit(last)).alias("keep"))
+    return errors.join(chosen, [key, "keep"])
+
+
+def hot_share(energy: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, hot_share): what share of a key's energy (key, voxel, energy) its n strongest voxels hold; 0 without energy."""
+    order = Window.partitionBy(key).orderBy(F.round("energy", 6).desc(), "voxel")
+    placed = energy.withColumn("place", F.row_number().over(order))
+    total, hot = F.sum("energy"), F.sum(F.when(F.col("place") <= n, F.col("energy")).otherwise(0.0))
+    return placed.groupBy(key).agg(F.when(total > 1e-18, hot / total).otherwise(0.0).alias("hot_share"))
+
+
+def coarse_route(leaves: DataFrame, constant: float, rmse: float, peak: float, amnesty_rmse: float, hot: float, peak_scale: float) -> DataFrame:
+    """mode of leaves (spread, rmse, peak, hot_share): constant, coarse, amnestied or residual.
+
+    Amnesty goes to a leaf of low error whose energy sits in a few voxels and whose peak
+    is below the relaxed threshold.
+    """
+    near = (F.col("rmse") <= rmse) & (F.col("peak") <= peak)
+    spared = (F.col("rmse") <= amnesty_rmse) & (F.col("hot_share") >= hot) & (F.col("peak") <= peak * max(1.0, peak_scale))
+    mode = F.when(F.col("spread") <= max(1e-6, constant), "constant").when(near, "coarse").when(spared, "amnestied").otherwise("residual")
+    return leaves.withColumn("mode", mode)

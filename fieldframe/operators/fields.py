@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 LEAF = 8
 
 
+#: Orders of one slab of eight z-planes: the volume's depth, and with it its leaves, grow with the orders.
+SLAB = 8192
+#: What the depth stays below.
+DEEPEST = 8 << 20
+
+
+def slab_z(order_key: str) -> Column:
+    """The z of an order: its place in a slab of eight planes, slabs following each other with the keys."""
+    return F.expr(f"{order_key} % 8 + 8 * ({order_key} div {SLAB})").cast("long")
+
+
 def field_cells(lineitem: DataFrame) -> DataFrame:
-    """A sparse 32 x 32 x 8 volume of 16 frames: mean quantity by part, supplier, order and month, each modulo its axis."""
+    """A sparse volume of 32 x 32 cells a plane and 16 frames: mean quantity by part, supplier, order and month, part, supplier and month modulo their axes."""
     month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")) % 16
-    return lineitem.groupBy(
-        (F.col("l_partkey") % 32).alias("x"), (F.col("l_suppkey") % 32).alias("y"), (F.col("l_orderkey") % 8).alias("z"), month.cast("long").alias("t")
-    ).agg(F.avg("l_quantity").alias("v"))
+    return lineitem.groupBy((F.col("l_partkey") % 32).alias("x"), (F.col("l_suppkey") % 32).alias("y"), slab_z("l_orderkey").alias("z"), month.cast("long").alias("t")).agg(F.avg("l_quantity").alias("v"))
 
 
 def event_series(events: DataFrame) -> DataFrame:

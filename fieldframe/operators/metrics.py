@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +28,20 @@ def error_stats(pairs: DataFrame, *keys: str) -> DataFrame:
 def floor_percentile(values: DataFrame, key: str, value: str, numerator: int, denominator: int, last: bool = False) -> DataFrame:
     """The value at sorted place floor(n * a / b), at most n - 1; with last, at floor((n - 1) * a / b). By key; ties are equal values."""
     place, held = Window.partitionBy(key).orderBy(value), Window.partitionBy(key)
-    ranked = values.select(key, value, (F.row_number().over(place) - 1).alias("at"), F.count(F.lit(1)).over(held).alias("n"))
-    top = F.col("n") - 1
-    want = F.floor(top * numerator / F.lit(float(denominator))) if last else F.least(top, F.floor(F.col("n") * numerator / F.lit(float(denominator))))
-    return ranked.where(F.col("at") == want).select(key, F.col(value).alias("percentile"))
+    ranked = values.select(key, value, (F.row_number().over(place) - 1).alias("rank_at"), F.count(F.lit(1)).over(held).alias("rank_of"))
+    top = F.col("rank_of") - 1
+    want = F.floor(top * numerator / F.lit(float(denominator))) if last else F.least(top, F.floor(F.col("rank_of") * numerator / F.lit(float(denominator))))
+    return ranked.where(F.col("rank_at") == want).select(key, F.col(value).alias("percentile"))
 
 
 def histogram_tail(values: DataFrame, value: str, bins: int, share: float) -> DataFrame:
     """Upper edge of the bin where the cumulated count reaches ceil(share * n): a percentile of any number of rows from a histogram of bounded size."""
-    top, n = values.agg(F.max(value), F.count(F.lit(1))).first()
-    binned = values.select((F.lit(0) if not top else F.floor(F.col(value) / top * (bins - 1))).cast("long").alias("bin"))
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("held"))
+    stats = values.agg(F.max(value).alias("top"), F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    # one row is broadcast
+    held = values.withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")
+    binned = held.select("top", "n", F.when(F.col("top") > 0, F.floor(F.col(value) / F.col("top") * (bins - 1))).otherwise(0).cast("long").alias("bin"))
+    counts = binned.groupBy("bin", "top", "n").agg(F.count(F.lit(1)).alias("held"))
     run = F.sum("held").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    reached = counts.withColumn("run", run).where(F.col("run") >= math.ceil(n * share)).agg(F.min("bin").alias("bin"))
-    return reached.select(F.lit(n).cast("long").alias("n"), "bin", ((F.col("bin") + 1) / (bins - 1) * float(top or 0)).alias("edge"))
+    reached = counts.withColumn("run", run).where(F.col("run") >= F.ceil(F.col("n") * F.lit(share)))
+    found = reached.groupBy("n", "top").agg(F.min("bin").alias("bin"))
+    return found.select("n", "bin", ((F.col("bin") + 1) / (bins - 1) * F.col("top")).alias("edge"))

@@ -60,14 +60,14 @@ def leaf_clusters(spark, sf_dir):
     return fits.leaf_clusters(_cells(spark, sf_dir), T, 6.0, 0.5, 3.0)
 
 
-@query(f"""WITH RECURSIVE {CELLS}, n AS (SELECT ((t * 8 + z) * 32 + y) * 32 + x AS a, x, y, z FROM cells WHERE v >= 40),
-e AS (SELECT p.a, q.a AS b FROM n p JOIN n q ON (q.a = p.a + 1 AND p.x < 31) OR (q.a = p.a + 32 AND p.y < 31) OR (q.a = p.a + 1024 AND p.z < 7)), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+@query(f"""WITH RECURSIVE {CELLS}, n AS (SELECT ((t * 8388608 + z) * 32 + y) * 32 + x AS a, x, y, z FROM cells WHERE v >= 40),
+e AS (SELECT p.a, q.a AS b FROM n p JOIN n q ON (q.a = p.a + 1 AND p.x < 31) OR (q.a = p.a + 32 AND p.y < 31) OR q.a = p.a + 1024), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT a, a AS root FROM n UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.a WHERE r.root < u.b), l AS (SELECT a, min(root) AS component FROM r GROUP BY 1)
-SELECT CAST(component // 8192 AS BIGINT) AS t, component, count(*) AS cells FROM l GROUP BY 2""")
+SELECT CAST(component // (8388608 * 1024) AS BIGINT) AS t, component, count(*) AS cells FROM l GROUP BY 2""")
 def visible_components(spark, sf_dir):
     """Connected parts of what is visible in every frame, with their sizes."""
     parts = surfaces.visible_parts(_cells(spark, sf_dir).where("v >= 40"), W, H, D)
-    return parts.groupBy("component").agg(F.count(F.lit(1)).alias("cells")).select(F.expr(f"cast(floor(component / {W * H * D}) as bigint)").alias("t"), "component", "cells")
+    return parts.groupBy("component").agg(F.count(F.lit(1)).alias("cells")).select(F.expr(f"component div {W * H * D}L").alias("t"), "component", "cells")
 
 
 @query(f"""WITH {CELLS}, p AS (SELECT x, y, t, z, floor(v) - 24.5 AS p1, lag(z) OVER w AS z0, lag(floor(v) - 24.5) OVER w AS p0 FROM cells WINDOW w AS (PARTITION BY x, y, t ORDER BY z)),
@@ -84,7 +84,10 @@ SELECT t, count(*) AS n, round(avg(sqrt(d2)), 6) AS chamfer, round(avg(d2), 6) A
 def surface_distances(spark, sf_dir):
     """Distances of every frame's bright points to the next frame's."""
     s = written(_cells(spark, sf_dir).where("v >= 46").select("t", F.expr(f"(z * {H} + y) * {W} + x").alias("id"), "x", "y", "z"), "bright")
-    d = surfaces.nearest(s, s.select((F.col("t") - 1).alias("t"), "x", "y", "z"), "t", max(W, H, D))
+    # every distance is within the volume's own extent
+    deepest = s.agg(F.coalesce(F.max("z"), F.lit(0))).first()[0]
+    extent = max(W, H, deepest + 1)
+    d = surfaces.nearest(s, s.select((F.col("t") - 1).alias("t"), "x", "y", "z"), "t", extent)
     return d.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.sqrt("d2")), 6).alias("chamfer"), F.round(F.avg("d2"), 6).alias("chamfer2"), F.max("d2").cast("long").alias("hausdorff2"))
 
 
@@ -101,7 +104,7 @@ def raw_round_trip(spark, sf_dir):
     """Every slice of the volume written as a raw file and read back."""
     folder = new_path(spark, "slices")
     written(raw.write_slices(fields.field_cells(_table(spark, sf_dir, "lineitem")), folder, W, H), "slice-manifest")
-    return raw.read_slices(spark, folder, W).select("x", "y", "z", "t", F.round(F.col("v").cast("double"), 6).alias("v"))
+    return raw.read_slices(spark, folder, W, H).select("x", "y", "z", "t", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
 @query("""WITH d AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2)

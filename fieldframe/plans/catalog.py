@@ -1,8 +1,9 @@
 """Registered field queries and their DuckDB equivalents.
 
-The driver's tables hold no volumes; lineitem stands for a sparse 32 x 32 x 8 volume of 16
-frames, events for daily series by user, embeddings for 4 x 4 x 4 control grids, and the
-dimension tables for manifests. Doubles are rounded to six places on both sides.
+The driver's tables hold no volumes; lineitem stands for a sparse volume of 32 x 32 cells a
+plane and 16 frames, whose depth grows with the orders, events for daily series by user,
+embeddings for 4 x 4 x 4 control grids, and the dimension tables for manifests. Doubles are
+rounded to six places on both sides.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import codec, fields, metrics, series
+from ..operators import codec, fields, metrics, ranks, series
 
-W, H, D, T = 32, 32, 8, 16
+W, H, D, T = 32, 32, fields.DEEPEST, 16
 PEAK = 50.0
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
-CELLS = """cells AS (SELECT l_partkey % 32 AS x, l_suppkey % 32 AS y, l_orderkey % 8 AS z,
+CELLS = """cells AS (SELECT l_partkey % 32 AS x, l_suppkey % 32 AS y, l_orderkey % 8 + 8 * (l_orderkey // 8192) AS z,
   CAST((year(l_shipdate) * 12 + month(l_shipdate)) % 16 AS BIGINT) AS t, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
 leafed AS (SELECT *, CAST(floor(z / 8.0) * 16 + floor(y / 8.0) * 4 + floor(x / 8.0) AS BIGINT) AS leaf_id, (z % 8 * 8 + y % 8) * 8 + x % 8 AS voxel FROM cells),
 paired AS (SELECT *, avg(v) OVER (PARTITION BY leaf_id, t) AS p, avg(v) OVER (PARTITION BY leaf_id) AS p0 FROM leafed)"""
@@ -38,9 +39,12 @@ def _cells(spark, sf_dir):
 
 
 def _paired(spark, sf_dir):
-    """Cells with two predictions: the mean of leaf and frame, and that of the leaf."""
+    """Cells with two predictions: the mean of leaf and frame, and that of the leaf. Means are partial aggregates that are joined back."""
     cells = _cells(spark, sf_dir)
-    return cells.withColumn("p", F.avg("v").over(Window.partitionBy("leaf_id", "t"))).withColumn("p0", F.avg("v").over(Window.partitionBy("leaf_id")))
+    sums = cells.groupBy("leaf_id", "t").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = sums.groupBy("leaf_id").agg((F.sum("s") / F.sum("n")).alias("p0"))
+    means = sums.select("leaf_id", "t", (F.col("s") / F.col("n")).alias("p")).join(whole, "leaf_id")
+    return cells.join(means, ["leaf_id", "t"])
 
 
 def _series(spark, sf_dir):
@@ -66,17 +70,17 @@ win AS (SELECT leaf_id, coalesce(min(CASE WHEN top > 0.25 * 190 OR spread > 0.5
 agg AS (SELECT leaf_id, count(*) AS n, min(v) AS low, max(v) AS high, round(max(v) - min(v), 6) AS spread, round(avg(v), 6) AS mean FROM leafed GROUP BY 1)
 SELECT *, row_number() OVER (ORDER BY spread DESC, n DESC, leaf_id) AS place FROM agg JOIN win USING (leaf_id)""")
 def leaf_overview(spark, sf_dir):
-    """Per leaf count, range and active window, ranked by spread (16 leaves a field: the ranking sorts leaves, not cells)."""
+    """Per leaf count, range and active window, ranked by spread over all leaves."""
     cells = _cells(spark, sf_dir)
     frames = cells.groupBy("leaf_id", "t").agg(F.max("v").alias("top"), (F.max("v") - F.min("v")).alias("spread"))
     leaves = cells.groupBy("leaf_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.max("v") - F.min("v"), 6).alias("spread"), F.round(F.avg("v"), 6).alias("mean")
     )
-    place = F.row_number().over(Window.orderBy(F.desc("spread"), F.desc("n"), "leaf_id"))
-    return leaves.join(series.active_window(frames, "leaf_id", 190, 97.5), "leaf_id").withColumn("place", place)
+    found = leaves.join(series.active_window(frames, "leaf_id", 190, 97.5), "leaf_id")
+    return ranks.ranked(found, [F.desc("spread"), F.desc("n"), F.col("leaf_id")], "place")
 
 
-@query(f"""WITH {CELLS} SELECT x, y, z, t, leaf_id, voxel, ((t * 8 + z) * 32 + y) * 32 + x AS frame_major, ((z * 32 + y) * 32 + x) * 16 + t AS time_fastest,
+@query(f"""WITH {CELLS} SELECT x, y, z, t, leaf_id, voxel, ((t * 8388608 + z) * 32 + y) * 32 + x AS frame_major, ((z * 32 + y) * 32 + x) * 16 + t AS time_fastest,
 CAST(floor(x / 32.0) AS BIGINT) AS root, (x >> 3) & 3 AS inner_x, x & 7 AS local_x, xor(xor(x >> 3, (y >> 3) << 21), (z >> 3) << 42) AS block_key,
 leaf_id % 4 AS bx, CAST(floor(leaf_id / 4.0) AS BIGINT) % 4 AS by_, CAST(floor(leaf_id / 16.0) AS BIGINT) AS bz FROM leafed""")
 def cell_addresses(spark, sf_dir):
@@ -84,7 +88,7 @@ def cell_addresses(spark, sf_dir):
     e = F.expr
     return _cells(spark, sf_dir).select(
         "x", "y", "z", "t", "leaf_id", "voxel",
-        e("((t * 8 + z) * 32 + y) * 32 + x").alias("frame_major"), e("((z * 32 + y) * 32 + x) * 16 + t").alias("time_fastest"),
+        e(f"((t * {D} + z) * 32 + y) * 32 + x").alias("frame_major"), e("((z * 32 + y) * 32 + x) * 16 + t").alias("time_fastest"),
         e("cast(floor(x / 32.0) as bigint)").alias("root"), e("shiftright(x, 3) & 3").alias("inner_x"), e("x & 7L").alias("local_x"),
         e("shiftright(x, 3) ^ shiftleft(shiftright(y, 3), 21) ^ shiftleft(shiftright(z, 3), 42)").alias("block_key"),
         e("leaf_id % 4").alias("bx"), e("cast(floor(leaf_id / 4.0) as bigint) % 4").alias("by_"), e("cast(floor(leaf_id / 16.0) as bigint)").alias("bz"),
@@ -265,11 +269,11 @@ def control_grid_samples(spark, sf_dir):
     return c.select("leaf_id", "px", "py", "pz", _r("value", _tri_sql()))
 
 
-@query(f"""WITH {CELLS}, q AS (SELECT o_orderkey AS qid, o_orderkey * 7 % 32 AS x, o_custkey % 32 AS y, o_orderkey % 8 AS z, (o_orderkey * 5 + o_custkey) % 16 AS t FROM orders)
+@query(f"""WITH {CELLS}, q AS (SELECT o_orderkey AS qid, o_orderkey * 7 % 32 AS x, o_custkey % 32 AS y, o_orderkey % 8 + 8 * (o_orderkey // 8192) AS z, (o_orderkey * 5 + o_custkey) % 16 AS t FROM orders)
 SELECT qid, x, y, z, t, CAST(floor(z / 8.0) * 16 + floor(y / 8.0) * 4 + floor(x / 8.0) AS BIGINT) AS leaf_id, coalesce(v, 0.0) AS v FROM q LEFT JOIN cells USING (x, y, z, t)""")
 def point_queries(spark, sf_dir):
     """A batch of point queries, one an order, joined with the cells; a missing cell is 0."""
-    q = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), F.expr("o_orderkey * 7 % 32").alias("x"), F.expr("o_custkey % 32").alias("y"), F.expr("o_orderkey % 8").alias("z"), F.expr("(o_orderkey * 5 + o_custkey) % 16").alias("t"))
+    q = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), F.expr("o_orderkey * 7 % 32").alias("x"), F.expr("o_custkey % 32").alias("y"), fields.slab_z("o_orderkey").alias("z"), F.expr("(o_orderkey * 5 + o_custkey) % 16").alias("t"))
     cells = fields.field_cells(_table(spark, sf_dir, "lineitem"))
     return q.join(cells, ["x", "y", "z", "t"], "left").select("qid", "x", "y", "z", "t", fields.leaf_id(W, H, D).alias("leaf_id"), F.coalesce("v", F.lit(0.0)).alias("v"))
 
@@ -373,34 +377,54 @@ def energy_shares(spark, sf_dir):
 
 @query(f"""WITH {SERIES}, n AS (SELECT user_id, count(*) AS n FROM series GROUP BY 1), w AS (SELECT *, n * 2 + 1 AS words FROM n) SELECT user_id, n, CAST(coalesce(sum(words) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS word_begin, CAST(sum(words) OVER (ORDER BY user_id) AS BIGINT) AS word_end FROM w""")
 def payload_offsets(spark, sf_dir):
-    """Offset table of all series laid end to end, by sums inside groups and of groups."""
+    """Offset table of all series laid end to end, by sums inside ranges of keys and of ranges."""
     n = _series(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return codec.offsets(n, "user_id", F.expr("n * 2 + 1"), F.expr("cast(floor(user_id / 64.0) as bigint)")).select("user_id", "n", "word_begin", "word_end")
+    return codec.offsets(n, "user_id", F.expr("n * 2 + 1")).select("user_id", "n", "word_begin", "word_end")
 
 
-ROUTE_SQL = f"""{CELLS}, m AS (SELECT leaf_id, max(v) < 5 AS is_empty, avg(CASE WHEN v >= 35 THEN 1.0 ELSE 0.0 END) AS sensitive_share, avg(CASE WHEN v >= 10 THEN 1.0 ELSE 0.0 END) AS visible_share, sqrt(avg((v - p) * (v - p))) / 50 AS roughness, 1 - sqrt(avg((v - p) * (v - p))) / sqrt(avg((v - p0) * (v - p0))) AS gain FROM paired GROUP BY 1)"""
+ROUTE_SQL = f"""{CELLS}, e AS (SELECT leaf_id, v, abs(v - p0) AS coarse, abs(v - p) AS fine, v >= 0.35 * 50 AS shell FROM paired),
+m AS (SELECT leaf_id, max(v) < 5 AS is_empty, sqrt(avg(coarse * coarse)) / 50 AS coarse_rmse, max(coarse) / 50 AS coarse_peak, sqrt(avg(fine * fine)) / 50 AS fine_rmse,
+avg(CASE WHEN v >= 47 THEN 1.0 ELSE 0.0 END) AS visible_share, avg(CASE WHEN abs(v - 25) <= 2 THEN 1.0 ELSE 0.0 END) AS band_share, avg(CASE WHEN shell THEN 1.0 ELSE 0.0 END) AS shell_share,
+coalesce(sqrt(avg(CASE WHEN shell THEN coarse * coarse END)) / 50, 0) AS coarse_shell_rmse, coalesce(max(CASE WHEN shell THEN coarse END) / 50, 0) AS coarse_shell_peak, coalesce(sqrt(avg(CASE WHEN shell THEN fine * fine END)) / 50, 0) AS shell_voxel_rmse FROM e GROUP BY 1),
+g AS (SELECT *, (coarse_rmse - fine_rmse) / greatest(coarse_rmse, 1e-12) AS fine_gain, (coarse_shell_rmse - shell_voxel_rmse) / greatest(coarse_shell_rmse, 1e-12) AS shell_gain FROM m)"""
+LIMITS = codec.RouteLimits(rmse=0.28, peak=0.55, visible=0.08, band=0.1, fine_gain=0.004, shell_share=0.6, shell_rmse=0.24, shell_peak=0.6, shell_gain=0.012)
+_ROUTE = ("coarse_rmse", "coarse_peak", "fine_rmse", "visible_share", "band_share", "shell_share", "coarse_shell_rmse", "coarse_shell_peak", "shell_voxel_rmse")
 
 
-@query(f"""WITH {ROUTE_SQL} SELECT leaf_id, is_empty, round(sensitive_share, 6) AS sensitive_share, round(visible_share, 6) AS visible_share, round(roughness, 6) AS roughness, round(gain, 6) AS gain,
-CASE WHEN is_empty THEN 'empty' WHEN sensitive_share >= 0.29 AND roughness >= 0.25 AND gain >= 0.004 THEN 'shell' WHEN roughness >= 0.25 AND visible_share >= 0.8 AND gain >= 0.003 THEN 'fine' ELSE 'coarse' END AS mode FROM m""".replace("gain >= 0.004", "gain >= 0.003"))
+@query(f"""WITH {ROUTE_SQL} SELECT leaf_id, is_empty, {", ".join(f"round({c}, 6) AS {c}" for c in _ROUTE)},
+CASE WHEN is_empty THEN 'empty' WHEN shell_share >= 0.6 AND (coarse_shell_rmse > 0.24 OR coarse_shell_peak > 0.6) AND shell_gain >= 0.012 THEN 'shell'
+WHEN (coarse_rmse > 0.28 OR coarse_peak > 0.55) AND (visible_share >= 0.08 OR band_share >= 0.1) AND fine_gain >= 0.004 THEN 'fine' ELSE 'coarse' END AS mode FROM g""")
 def leaf_routes(spark, sf_dir):
-    """Sampled route metrics of each leaf and the representation they choose."""
-    e, e0 = F.expr("sqrt(avg((v - p) * (v - p)))"), F.expr("sqrt(avg((v - p0) * (v - p0)))")
-    m = _paired(spark, sf_dir).groupBy("leaf_id").agg(
-        (F.max("v") < 5).alias("is_empty"), F.avg(F.when(F.col("v") >= 35, 1.0).otherwise(0.0)).alias("sensitive_share"), F.avg(F.when(F.col("v") >= 10, 1.0).otherwise(0.0)).alias("visible_share"), (e / 50).alias("roughness"), (1 - e / e0).alias("gain")
-    )
-    return codec.route(m, 0.29, 0.25, 0.003, 0.8).select("leaf_id", "is_empty", _r("sensitive_share"), _r("visible_share"), _r("roughness"), _r("gain"), "mode")
+    """Route metrics of each leaf (the leaf's mean as coarse, the frame's mean as fine prediction) and the representation they choose."""
+    e = _paired(spark, sf_dir).select("leaf_id", "v", F.abs(F.expr("v - p0")).alias("coarse"), F.abs(F.expr("v - p")).alias("fine"), (F.col("v") >= 0.35 * PEAK).alias("shell"))
+    rmse, share = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c))) / PEAK, lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    in_shell = lambda c: F.when(F.col("shell"), F.col(c))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    m = e.groupBy("leaf_id").agg(
+        (F.max("v") < 5).alias("is_empty"), rmse("coarse").alias("coarse_rmse"), (F.max("coarse") / PEAK).alias("coarse_peak"), rmse("fine").alias("fine_rmse"),
+        share(F.col("v") >= 47).alias("visible_share"), share(F.abs(F.col("v") - 25) <= 2).alias("band_share"), share(F.col("shell")).alias("shell_share"),
+        zero(F.sqrt(F.avg(in_shell("coarse") * in_shell("coarse"))) / PEAK).alias("coarse_shell_rmse"), zero(F.max(in_shell("coarse")) / PEAK).alias("coarse_shell_peak"), zero(F.sqrt(F.avg(in_shell("fine") * in_shell("fine"))) / PEAK).alias("shell_voxel_rmse"),
+    )
+    return codec.route(m, LIMITS).select("leaf_id", "is_empty", *[_r(c) for c in _ROUTE], "mode")
 
 
-@query(f"""WITH {CELLS}, d AS (SELECT leaf_id, count(*) AS n, sqrt(avg((v - p) * (v - p))) AS a, sqrt(avg((v - p0) * (v - p0))) AS b FROM paired GROUP BY 1),
-c AS (SELECT leaf_id, 'leaf_frame' AS candidate, 1 AS place, a + 0.001 * 16 * 64 AS score FROM d UNION ALL SELECT leaf_id, 'leaf', 2, b + 0.001 * 64 FROM d UNION ALL SELECT leaf_id, 'raw', 3, 0 + 0.001 * 4 * n FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY leaf_id ORDER BY score, place) AS k FROM c)
-SELECT leaf_id, candidate, round(score, 6) AS score FROM r WHERE k = 1""")
+@query(f"""WITH {CELLS}, e AS (SELECT leaf_id, 'leaf_frame' AS candidate, 1 AS place, 16 * 64 AS bytes, abs(v - p) / 50 AS e FROM paired UNION ALL SELECT leaf_id, 'leaf', 2, 64, abs(v - p0) / 50 FROM paired UNION ALL SELECT leaf_id, 'raw', 3, NULL, 0.0 FROM paired),
+k AS (SELECT *, row_number() OVER (PARTITION BY leaf_id, place ORDER BY e) - 1 AS i, count(*) OVER (PARTITION BY leaf_id, place) AS n FROM e),
+s AS (SELECT leaf_id, candidate, place, coalesce(max(bytes), 4 * max(n)) AS bytes, sqrt(avg(e * e)) AS rmse, max(e) FILTER (i = least(n - 1, CAST(floor(n * 99 / 100.0) AS BIGINT))) AS p99, max(e) AS peak FROM k GROUP BY 1, 2, 3),
+c AS (SELECT *, greatest(rmse, 2 * p99, 4 * peak) + 900 * bytes / 1048576.0 AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY leaf_id ORDER BY score, place) AS k FROM c)
+SELECT leaf_id, candidate, CAST(bytes AS BIGINT) AS bytes, round(rmse, 6) AS rmse, round(p99, 6) AS p99, round(peak, 6) AS peak, round(score, 6) AS score FROM r WHERE k = 1""")
 def rate_distortion_choice(spark, sf_dir):
-    """The representation with the least distortion plus weighted bytes of each leaf."""
-    d = _paired(spark, sf_dir).groupBy("leaf_id").agg(F.count(F.lit(1)).alias("n"), F.expr("sqrt(avg((v - p) * (v - p)))").alias("a"), F.expr("sqrt(avg((v - p0) * (v - p0)))").alias("b"))
-    options = F.expr("array(struct('leaf_frame' as candidate, 1 as place, a as distortion, 16 * 64.0D as bytes), struct('leaf' as candidate, 2 as place, b as distortion, 64.0D as bytes), struct('raw' as candidate, 3 as place, 0.0D as distortion, 4.0D * n as bytes))")
-    c = d.select("leaf_id", F.inline(options))
-    return codec.cheapest(c, "leaf_id", F.expr("distortion + 0.001D * bytes")).select("leaf_id", "candidate", _r("score"))
+    """The representation of each leaf with the least distortion (the largest of rmse, twice p99, four times the peak) and weighted size; ties go to the earlier one."""
+    kind = lambda name, place, e: F.struct(F.lit(name).alias("candidate"), F.lit(place).alias("place"), e.alias("e"))
+    options = F.array(kind("leaf_frame", 1, F.abs(F.expr("v - p")) / PEAK), kind("leaf", 2, F.abs(F.expr("v - p0")) / PEAK), kind("raw", 3, F.lit(0.0)))
+    e = _paired(spark, sf_dir).select("leaf_id", F.inline(options)).withColumn("option", F.concat_ws(":", "leaf_id", "place"))
+    p99 = metrics.floor_percentile(e, "option", "e", 99, 100).withColumnRenamed("percentile", "p99")
+    stats = e.groupBy("option", "leaf_id", "candidate", "place").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.expr("e * e"))).alias("rmse"), F.max("e").alias("peak"))
+    n_bytes = F.when(F.col("place") == 1, 16 * 64).when(F.col("place") == 2, 64).otherwise(4 * F.col("n")).cast("long")
+    c = stats.join(p99, "option").withColumn("bytes", n_bytes)
+    c = c.withColumn("score", codec.rate_distortion(codec.distortion(F.col("rmse"), F.col("p99"), F.col("peak")), F.col("bytes"), 900.0))
+    best = c.groupBy("leaf_id").agg(F.min(F.struct("score", "place", "candidate", "bytes", "rmse", "p99", "peak")).alias("b"))
+    return best.select("leaf_id", "b.candidate", "b.bytes", _r("rmse", "b.rmse"), _r("p99", "b.p99"), _r("peak", "b.peak"), _r("score", "b.score"))
 
 
 @query(f"""WITH {CELLS}, s AS (SELECT DISTINCT leaf_id % 4 AS bx, CAST(floor(leaf_id / 4.0) AS BIGINT) AS by_, leaf_id FROM leafed), h AS (SELECT leaf_id, sum((v - p) * (v - p)) AS sse FROM paired GROUP BY 1), seed AS (SELECT leaf_id, row_number() OVER (ORDER BY round(sse, 6) DESC, leaf_id) AS severity FROM h QUALIFY severity <= 3)
@@ -474,28 +498,22 @@ def timeline_frames(spark, sf_dir):
     return e.select("event_id", "n", *[F.expr(C.timeline("n", 10, m)).alias(f"{m}_frame") for m in ("loop", "once", "pingpong")])
 
 
-_TONE = f"""round({C.opacity('v', '1.5', '5.0', '45.0')}, 6) AS opacity, round({C.smoothstep('v', '10.0', '40.0')}, 6) AS gain, round(v * (2.51 * v + 0.03) / (v * (2.43 * v + 0.59) + 0.14), 6) AS filmic, round(v / (1 + v), 6) AS reinhard,
-round((1 - 0.36) / (4 * pi() * pow(1 + 0.36 - 2 * 0.6 * cos(v), 1.5)), 6) AS phase, round(0.04 + 0.96 * pow(1 - abs(cos(v)), 5), 6) AS fresnel, CASE WHEN v <= 10 THEN 4.0 WHEN v <= 20 THEN 2.5 WHEN v <= 30 THEN 2.0 WHEN v <= 40 THEN 1.5 ELSE 1.0 END AS weight"""
-
-
-@query(f"""WITH {CELLS} SELECT x, y, z, t, {_TONE} FROM cells""")
+@query(f"""WITH {CELLS} SELECT x, y, z, t, round(1 - exp(-1.5 * greatest(0, v - 5) / 45), 6) AS opacity, round(CASE WHEN v <= 10 THEN 0 WHEN v >= 40 THEN 1 ELSE pow((v - 10) / 30, 2) * (3 - 2 * (v - 10) / 30) END, 6) AS gain,
+round(v * (2.51 * v + 0.03) / (v * (2.43 * v + 0.59) + 0.14), 6) AS filmic, round(v / (1 + v), 6) AS reinhard, round((1 - 0.36) / (4 * pi() * pow(1.36 - 1.2 * cos(v), 1.5)), 6) AS phase, round(0.04 + 0.96 * pow(1 - abs(cos(v)), 5), 6) AS fresnel,
+CASE WHEN v <= 10 THEN 4.0 WHEN v <= 20 THEN 2.5 WHEN v <= 30 THEN 2.0 WHEN v <= 40 THEN 1.5 ELSE 1.0 END::DOUBLE AS weight FROM cells""")
 def shading_functions(spark, sf_dir):
     """Opacity, gain, tone curves, phase function, Fresnel term and band weight of every cell."""
-    cells = fields.field_cells(_table(spark, sf_dir, "lineitem"))
-    kinds = _TONE.replace("\n", " ").replace("THEN 4.0", "THEN 4.0D").replace("THEN 2.5", "THEN 2.5D").replace("THEN 2.0", "THEN 2.0D").replace("THEN 1.5", "THEN 1.5D").replace("ELSE 1.0", "ELSE 1.0D")
-    return cells.selectExpr("x", "y", "z", "t", *[p for p in _split(kinds)])
-
-
-def _split(columns: str) -> list[str]:
-    """Parts of a select list at commas outside parentheses."""
-    parts, depth = [""], 0
-    for c in columns:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            parts.append("")
-        else:
-            parts[-1] += c
-    return parts
+    v = F.col("v")
+    kinds = {
+        "opacity": F.expr(C.opacity("v", "1.5D", "5.0D", "45.0D")),
+        "gain": F.expr(C.smoothstep("v", "10.0D", "40.0D")),
+        "filmic": C.filmic(v),
+        "reinhard": C.reinhard(v),
+        "phase": C.phase(F.cos(v), 0.6),
+        "fresnel": C.fresnel(F.abs(F.cos(v)), 0.04),
+        "weight": C.band_weight(v, [(10, 4.0), (20, 2.5), (30, 2.0), (40, 1.5)], 1.0),
+    }
+    return fields.field_cells(_table(spark, sf_dir, "lineitem")).select("x", "y", "z", "t", *[(c if n == "weight" else F.round(c, 6)).alias(n) for n, c in kinds.items()])
 
 
 @query(f"""WITH {SERIES}, l AS (SELECT user_id, list(CASE WHEN cents > 15000 THEN 1 ELSE 0 END ORDER BY t) AS bits FROM series GROUP BY 1), g AS (SELECT bits, min(user_id) AS first_user, count(*) AS users FROM l GROUP BY 1) SELECT l.user_id, first_user, users, len(l.bits) AS n FROM l JOIN g USING (bits)""")

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
-from .shared import located
+from .shared import located, resolved
 
 # Fixed values of the format: order of the header's numbers, version, leaf size and limits.
 FIELDS = ("version", "width", "height", "depth", "frames", "leaf_size", "coarse_resolution", "max_coarse_keep", "leaf_count", "profile_type", "scale_count")
@@ -123,7 +124,7 @@ def read_leaves(spark: SparkSession, *paths: str, **options) -> DataFrame:
     """Leaves of packed assets; a condition on leaf_id right after it reads that leaf only."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PackedAsset)
-    return spark.read.format("packed_asset").options(path=",".join(paths), **options).load()
+    return spark.read.format("packed_asset").options(path=",".join(resolved(spark, p) for p in paths), **options).load()
 
 
 def read_headers(spark: SparkSession, paths: DataFrame) -> DataFrame:
@@ -136,4 +137,6 @@ def read_headers(spark: SparkSession, paths: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([{"asset": a} | {n: v for n, v in header(a).items() if n in names} for a in pdf["asset"]], columns=["asset", *names])
 
-    return paths.select("asset").mapInPandas(look, HEADERS)
+    home = resolved(spark, "/")[:-1]
+    named = F.when(F.col("asset").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("asset")).otherwise(F.concat(F.lit(home), F.col("asset")))
+    return paths.select(named.alias("asset")).mapInPandas(look, HEADERS)

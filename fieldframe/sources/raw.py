@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from .shared import located
+from .shared import located, resolved
 
 METADATA = (
     "grid_name string, conversion_mode string, data_type string, source_type string, width int, height int, depth int, frames int, dimensions array<int>,"
@@ -172,38 +172,46 @@ def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
     """The cells of one raw file; give conditions on t and z right after it, they reach the reader."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawVolume)
-    return spark.read.format("raw_volume").options(path=path, **options).load()
+    told = {n: resolved(spark, v) if n == "metadata" else v for n, v in options.items()}
+    return spark.read.format("raw_volume").options(path=resolved(spark, path), **told).load()
 
 
 def write_slices(cells: DataFrame, folder: str, width: int, height: int) -> DataFrame:
-    """Writes each slice (t, z) of cells (x, y, z, t, v) as its own raw file; absent cells are 0.
+    """Writes each slice (t, z) of cells (x, y, z, t, v) as its own raw file: float32 values, absent cells 0, and behind them a bit for each cell that is there.
 
-    Gives (t, z, path, n_bytes, sha256), one row a file. A task holds one slice at a time,
+    Two rows of one cell are an error. Gives (t, z, path, n_bytes, sha256), one row a file. A task holds one slice at a time,
     and a task that runs again writes the same bytes to the same place.
     """
 
+    folder = resolved(cells.sparkSession, folder)
+
     def store(pdf: pd.DataFrame) -> pd.DataFrame:
         t, z = int(pdf["t"].iloc[0]), int(pdf["z"].iloc[0])
-        plane = np.zeros((height, width), dtype="<f4")
-        plane[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["v"].to_numpy()
+        at = pdf["y"].to_numpy() * width + pdf["x"].to_numpy()
+        plane, held = np.zeros(height * width, dtype="<f4"), np.zeros(height * width, dtype=bool)
+        plane[at], held[at] = pdf["v"].to_numpy(), True
+        if held.sum() != len(at):
+            raise ValueError(f"slice t={t} z={z} has a cell twice")
+        data = plane.tobytes() + np.packbits(held).tobytes()
         path = f"{folder}/t{t:06d}_z{z:06d}.raw"
         files, inner = located(path)
         files.create_dir(inner.rpartition("/")[0], recursive=True)
         with files.open_output_stream(inner) as f:
-            f.write(plane.tobytes())
-        return pd.DataFrame({"t": [t], "z": [z], "path": [path], "n_bytes": [plane.nbytes], "sha256": [hashlib.sha256(plane.tobytes()).hexdigest()]})
+            f.write(data)
+        return pd.DataFrame({"t": [t], "z": [z], "path": [path], "n_bytes": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()]})
 
     return cells.select("x", "y", "z", "t", "v").groupBy("t", "z").applyInPandas(store, "t long, z long, path string, n_bytes long, sha256 string")
 
 
-def read_slices(spark: SparkSession, folder: str, width: int) -> DataFrame:
-    """The cells of a folder of slices, zeros left out."""
+def read_slices(spark: SparkSession, folder: str, width: int, height: int) -> DataFrame:
+    """The cells of a folder of slices."""
 
     def cells(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                v = np.frombuffer(content, dtype="<f4")
-                at = np.flatnonzero(v)
+                n = width * height
+                v = np.frombuffer(content, dtype="<f4", count=n)
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(content, dtype=np.uint8, offset=4 * n), count=n))
                 t, z = path.rpartition("/")[2].removesuffix(".raw").split("_")
                 yield pd.DataFrame({"x": at % width, "y": at // width, "z": int(z[1:]), "t": int(t[1:]), "v": v[at]})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """The path with its file system: one without a scheme lies in Spark's default file system, as it does for Spark's own readers and writers."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path
+    home = (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").rstrip("/")
+    return f"file://{path}" if home == "file:" else f"{home}{path}"
+
+
 def located(path: str):
-    """The file system of a path or URI, and the path inside it."""
+    """The file system of a URI, and the path inside it. Tasks are given resolved paths: one without a scheme would name each machine's own disk."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        raise ValueError(f"the path {path} names no file system")
+    return fs.FileSystem.from_uri(path)
