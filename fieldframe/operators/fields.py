@@ -73,3 +73,21 @@ def dense_frames(cells: DataFrame, frames: int) -> DataFrame:
 def filled(cells: DataFrame, frames: int) -> DataFrame:
     """dense_frames as rows (x, y, z, t, v)."""
     return dense_frames(cells, frames).select("x", "y", "z", F.posexplode("series").alias("t", "v")).withColumn("t", F.col("t").cast("long"))
+
+
+def aligned(layers: dict[str, DataFrame], first: str) -> DataFrame:
+    """Fields (x, y, z, t and a column of their name) side by side at the first one's cells, with aligned: whether all have as many frames as it."""
+    frames = None
+    for name, cells in layers.items():
+        n = cells.agg(F.countDistinct("t").alias(f"frames_{name}")).withColumn("one", F.lit(1))
+        frames = n if frames is None else frames.join(n, "one")
+    out = layers[first]
+    for name, cells in layers.items():
+        if name != first:
+            out = out.join(cells, ["x", "y", "z", "t"], "left")
+    # one row is broadcast
+    out = out.withColumn("one", F.lit(1)).join(F.broadcast(frames), "one")
+    same = F.lit(True)
+    for name in layers:
+        same = same & (F.col(f"frames_{name}") == F.col(f"frames_{first}"))
+    return out.withColumn("aligned", same).drop("one", *[f"frames_{n}" for n in layers])

@@ -1,5 +1,5 @@
 """Registered queries: importing the package registers all of them with the catalog."""
 
-from . import analysis, catalog, decoding, diagnosis, sampling
+from . import analysis, catalog, decoding, diagnosis, files, predicates, sampling
 
-__all__ = ["analysis", "catalog", "decoding", "diagnosis", "sampling"]
+__all__ = ["analysis", "catalog", "decoding", "diagnosis", "files", "predicates", "sampling"]

@@ -63,7 +63,7 @@ def leaf_clusters(spark, sf_dir):
 @query(f"""WITH RECURSIVE {CELLS}, n AS (SELECT ((t * 8388608 + z) * 32 + y) * 32 + x AS a, x, y, z FROM cells WHERE v >= 40),
 e AS (SELECT p.a, q.a AS b FROM n p JOIN n q ON (q.a = p.a + 1 AND p.x < 31) OR (q.a = p.a + 32 AND p.y < 31) OR q.a = p.a + 1024), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT a, a AS root FROM n UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.a WHERE r.root < u.b), l AS (SELECT a, min(root) AS component FROM r GROUP BY 1)
-SELECT CAST(component // (8388608 * 1024) AS BIGINT) AS t, component, count(*) AS cells FROM l GROUP BY 2""")
+SELECT CAST(component // 8589934592 AS BIGINT) AS t, component, count(*) AS cells FROM l GROUP BY 2""")
 def visible_components(spark, sf_dir):
     """Connected parts of what is visible in every frame, with their sizes."""
     parts = surfaces.visible_parts(_cells(spark, sf_dir).where("v >= 40"), W, H, D)

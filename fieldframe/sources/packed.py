@@ -140,3 +140,30 @@ def read_headers(spark: SparkSession, paths: DataFrame) -> DataFrame:
     home = resolved(spark, "/")[:-1]
     named = F.when(F.col("asset").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("asset")).otherwise(F.concat(F.lit(home), F.col("asset")))
     return paths.select(named.alias("asset")).mapInPandas(look, HEADERS)
+
+
+def write_assets(leaves: DataFrame, folder: str, magic: bytes, told: dict) -> DataFrame:
+    """Writes leaves (asset long, leaf_id long from 0 without gaps, payload binary of whole words) as packed assets; told gives the header's numbers but version, leaf size and leaf count.
+
+    Gives (asset, path, n_bytes), one row a file. A task holds one asset's payloads.
+    """
+    folder = resolved(leaves.sparkSession, folder)
+
+    def store(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("leaf_id")
+        if pdf["leaf_id"].tolist() != list(range(len(pdf))) or any(len(p) % 4 or not len(p) for p in pdf["payload"]):
+            raise ValueError("leaves must be numbered without gaps and have whole words")
+        offsets = np.cumsum([0, *(len(p) // 4 for p in pdf["payload"])])
+        numbers = {"version": VERSION, "leaf_size": LEAF_SIZE, "leaf_count": len(pdf), "scale_count": len(told.get("ac_scales", []))} | {k: v for k, v in told.items() if k != "ac_scales"}
+        head = magic + struct.pack("<11I", *[numbers[n] for n in FIELDS]) + np.array(told.get("ac_scales", []), dtype="<f4").tobytes()
+        data = head + offsets.astype("<u4").tobytes() + b"".join(pdf["payload"])
+        path = f"{folder}/asset{int(pdf['asset'].iloc[0]):06d}.pack"
+        files, inner = located(path)
+        files.create_dir(inner.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(inner) as f:
+            f.write(data)
+        return pd.DataFrame({"asset": [int(pdf["asset"].iloc[0])], "path": [path], "n_bytes": [len(data)]})
+
+    return leaves.select("asset", "leaf_id", "payload").groupBy("asset").applyInPandas(store, "asset long, path string, n_bytes long")

@@ -79,6 +79,7 @@ class Shape:
 
 @dataclass
 class Range(InputPartition):
+    volume: int
     first: int
     last: int
 
@@ -96,17 +97,24 @@ class RawVolume(DataSource):
 
 
 class RawReader(DataSourceReader):
-    """Ranges of frames, or of z where time is fastest; a partition reads its own bytes only."""
+    """Ranges of frames, or of z where time is fastest, of one or more volumes; a partition reads its own bytes only.
+
+    A volume's z follows on that of the one named before it if they are stacked.
+    """
 
     def __init__(self, options):
-        self.path = options["path"]
-        self.part = int(options.get("part_bytes", PART_BYTES))
-        files, inner = located(self.path)
-        described, described_inner = located(options.get("metadata") or sidecar(self.path))
-        with described.open_input_stream(described_inner) as f:
-            text = f.read().decode()
-        self.shape = Shape.of(text, files.get_file_info(inner).size)
-        self.span = {"t": [0, self.shape.frames - 1], "z": [0, self.shape.depth - 1]}
+        self.paths = options["path"].split(",")
+        self.part, self.stacked = int(options.get("part_bytes", PART_BYTES)), options.get("stacked", "false") == "true"
+        told = options.get("metadata")
+        self.shapes = []
+        for path in self.paths:
+            files, inner = located(path)
+            described, described_inner = located(told or sidecar(path))
+            with described.open_input_stream(described_inner) as f:
+                self.shapes.append(Shape.of(f.read().decode(), files.get_file_info(inner).size))
+        depths = np.cumsum([0, *(s.depth for s in self.shapes)]) if self.stacked else np.zeros(len(self.shapes) + 1, dtype=np.int64)
+        self.below = depths.tolist()
+        self.span = {"t": [0, max(s.frames for s in self.shapes) - 1], "z": [0, max(d + s.depth for d, s in zip(self.below, self.shapes)) - 1]}
 
     def pushFilters(self, filters):
         for f in filters:
@@ -131,17 +139,26 @@ class RawReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        s = self.shape
-        low, high = self.span["z" if s.time_fastest else "t"]
-        unit = 4 * s.width * s.height * (s.frames if s.time_fastest else s.depth)
-        step = max(1, self.part // unit)
+        out = []
+        for n, s in enumerate(self.shapes):
+            (t0, t1), (z0, z1) = self._inside(n)
+            low, high = (z0, z1) if s.time_fastest else (t0, t1)
+            unit = 4 * s.width * s.height * (s.frames if s.time_fastest else s.depth)
+            step = max(1, self.part // unit)
+            if t0 <= t1 and z0 <= z1:
+                out += [Range(n, i, min(i + step - 1, high)) for i in range(low, high + 1, step)]
         # a reader without partitions is called once with none, so an empty range stands for it
-        return [Range(i, min(i + step - 1, high)) for i in range(low, high + 1, step)] or [Range(0, -1)]
+        return out or [Range(0, 0, -1)]
+
+    def _inside(self, n: int) -> tuple[tuple[int, int], tuple[int, int]]:
+        """The asked frames and z of one volume, from its own corner."""
+        s, (t0, t1), (z0, z1) = self.shapes[n], self.span["t"], self.span["z"]
+        return (max(0, t0), min(s.frames - 1, t1)), (max(0, z0 - self.below[n]), min(s.depth - 1, z1 - self.below[n]))
 
     def read(self, partition):
-        s = self.shape
-        files, inner = located(self.path)
-        (t0, t1), (z0, z1) = self.span["t"], self.span["z"]
+        s, below = self.shapes[partition.volume], self.below[partition.volume]
+        files, inner = located(self.paths[partition.volume])
+        (t0, t1), (z0, z1) = self._inside(partition.volume)
         with files.open_input_file(inner) as f:
             for i in range(partition.first, partition.last + 1):
                 if s.time_fastest:
@@ -154,7 +171,7 @@ class RawReader(DataSourceReader):
                     values = _values(f, at, (1, max(z1 - z0 + 1, 0), s.height, s.width))
                     t, z, y, x = (a.ravel() for a in np.indices(values.shape, dtype=np.int32))
                     z, t = z + np.int32(z0), t + np.int32(i)
-                columns = [pa.array(c) for c in (x, y, z, t, values.ravel())]
+                columns = [pa.array(c) for c in (x, y, z + np.int32(below), t, values.ravel())]
                 table = pa.RecordBatch.from_arrays(columns, names=list("xyztv"))
                 for start in range(0, table.num_rows, 1 << 18):
                     yield table.slice(start, 1 << 18)
@@ -168,12 +185,39 @@ def _values(f, first: int, shape: tuple[int, ...]) -> np.ndarray:
     return np.frombuffer(data, dtype="<f4").reshape(shape)
 
 
-def read_raw(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The cells of one raw file; give conditions on t and z right after it, they reach the reader."""
+def read_raw(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    """The cells of raw files (stacked="true": one above the other); give conditions on t and z right after it, they reach the reader."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawVolume)
     told = {n: resolved(spark, v) if n == "metadata" else v for n, v in options.items()}
-    return spark.read.format("raw_volume").options(path=resolved(spark, path), **told).load()
+    return spark.read.format("raw_volume").options(path=",".join(resolved(spark, p) for p in paths), **told).load()
+
+
+def write_volumes(cells: DataFrame, folder: str, width: int, height: int, depth: int, frames: int, time_fastest: bool = False) -> DataFrame:
+    """Writes cells (x, y, z, t, v) as raw files of depth planes each, with their descriptions beside them; absent cells are 0.
+
+    Gives (slab, path, n_bytes, sha256, low, high), one row a file. A task holds one file's
+    values, 4 * width * height * depth * frames bytes, whatever the data; of time-fastest
+    files this is also the transposition.
+    """
+    folder = resolved(cells.sparkSession, folder)
+
+    def store(pdf: pd.DataFrame) -> pd.DataFrame:
+        slab = int(pdf["slab"].iloc[0])
+        box = np.zeros((frames, depth, height, width), dtype="<f4")
+        box[pdf["t"], pdf["z"] - slab * depth, pdf["y"], pdf["x"]] = pdf["v"]
+        data = (box.transpose(1, 2, 3, 0) if time_fastest else box).tobytes()
+        path = f"{folder}/slab{slab:06d}.raw"
+        told = {"dimensions": [width, height, depth, frames], "axis_order": list("XYZT"), "time_is_fastest_dimension": time_fastest, "data_type": "float32", "global_min": float(box.min()), "global_max": float(box.max())}
+        files, inner = located(path)
+        files.create_dir(inner.rpartition("/")[0], recursive=True)
+        for name, content in ((inner, data), (sidecar(inner), json.dumps(told).encode())):
+            with files.open_output_stream(name) as f:
+                f.write(content)
+        return pd.DataFrame({"slab": [slab], "path": [path], "n_bytes": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()], "low": [told["global_min"]], "high": [told["global_max"]]})
+
+    rows = cells.select("x", "y", "z", "t", "v", F.expr(f"z div {depth}").alias("slab"))
+    return rows.groupBy("slab").applyInPandas(store, "slab long, path string, n_bytes long, sha256 string, low double, high double")
 
 
 def write_slices(cells: DataFrame, folder: str, width: int, height: int) -> DataFrame:
