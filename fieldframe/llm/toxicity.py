@@ -8,8 +8,9 @@ weigh, and a text's score is 1 - 4**-(sum of its clauses), so one plain insult s
 
 What counts as an insult is a list of fixed words and a lexicon learnt from labelled
 rows: words, or beginnings of words, that toxic texts have and others have not. A beginning
-that tells toxic texts only where it comes twice is a weak insult: two of them weigh what
-one plain insult does.
+that tells toxic texts only where two or three different words have it makes these words
+weak or faint insults: so many of them weigh what one plain insult does, and a word said
+again adds nothing.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from .quality import bounded_sample, remainder
 #: Labelled rows that the lexicon is learnt from at most, those with the smallest hashes of their doc_id.
 FIT_ROWS = 30_000
 #: A term is taken if this share of all texts that have it are toxic, and if chance would so seldom make any of all terms look like that.
-PURITY, CHANCE = 0.95, 0.01
+PURITY, CHANCE = 0.9, 0.01
 #: Beginnings of words that may be terms, in characters.
 STEMS = (4, 5, 6, 7)
-#: What a weak insult weighs.
-WEAK_WEIGHT = 0.45
+#: What insults of words that tell only by twos and by threes weigh.
+WEIGHTS = {2: 0.45, 3: 0.3}
 
 # Words of the grammar's classes in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons scum trash clown stupid worthless pathetic disgusting loser losers imbecile bastard abschaum dummkopf vollidiot crétin connard idiota imbécil estúpido".split()
@@ -42,8 +43,8 @@ INTENTS = "will shall gonna going must werde werden wird vais va voy vamos".spli
 NEGATIONS = "not never no isn't aren't nicht kein keine keinen nie pas jamais ni nunca".split()
 REPORTS = "said says say wrote told called calls claimed alleged quoted sagte sagt schrieb nannte dit disait écrit dijo dice escribió llamó".split()
 
-INSULT, THREAT, TARGET, INTENT, NEGATION, REPORT, QUOTE, END, OTHER, HIT, WEAK = range(11)
-SYMBOLS = range(11)
+INSULT, THREAT, TARGET, INTENT, NEGATION, REPORT, QUOTE, END, OTHER, HIT, WEAK, FAINT = range(12)
+SYMBOLS = range(12)
 
 
 class Transducer:
@@ -81,7 +82,7 @@ class Transducer:
 
 
 def grammar() -> Transducer:
-    insult = Transducer([{INSULT: (0, HIT, 1.0), WEAK: (0, HIT, WEAK_WEIGHT)}])
+    insult = Transducer([{INSULT: (0, HIT, 1.0), WEAK: (0, HIT, WEIGHTS[2]), FAINT: (0, HIT, WEIGHTS[3])}])
     # a threat is a verb of violence behind an intent, or at a target
     threat = Transducer([{INTENT: (1, INTENT, 1.0), THREAT: (2, OTHER, 1.0)}, {THREAT: (0, HIT, 1.2)}, {TARGET: (0, HIT, 0.8), OTHER: (0, OTHER, 1.0)}])
     # a target earlier in the clause raises what hits it
@@ -117,22 +118,23 @@ def _words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 class Lexicon:
-    """Insult terms with their purities: whole words, beginnings (marked by a star), and those that are weak (by two)."""
+    """Insult terms with their purities: whole words, beginnings (marked by a star), and those that are weak (by two) or faint (by three)."""
 
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
         classes = [(THREATS, THREAT), (TARGETS, TARGET), (INTENTS, INTENT), (NEGATIONS, NEGATION), (REPORTS, REPORT), ([t for t in terms if t[-1] != "*"], INSULT)]
         self.words = {w: c for some, c in classes for w in some}
-        self.stems = {t.rstrip("*"): WEAK if t.endswith("**") else INSULT for t in sorted(terms, reverse=True) if t[-1] == "*"}
+        marks = {1: INSULT, 2: WEAK, 3: FAINT}
+        self.stems = {t.rstrip("*"): marks[len(t) - len(t.rstrip("*"))] for t in sorted(terms, key=len, reverse=True) if t[-1] == "*"}
 
-    def symbols(self, data, start, end, kind) -> np.ndarray:
+    def symbols(self, data, start, end, kind, doc) -> np.ndarray:
         out = np.full(len(start), OTHER, dtype=np.int64)
         out[kind == 2], out[kind == 3] = END, QUOTE
         hashed = common.Hasher(data)
         word = kind == 1
         code = np.where(word, hashed(start, end), 0)
-        plain, weak = ({s: c for s, c in self.stems.items() if c == kind} for kind in (INSULT, WEAK))
-        for some, full in ((weak, False), (plain, False), (self.words, True)):
+        faint, weak, plain = ({s: c for s, c in self.stems.items() if c == mark} for mark in (FAINT, WEAK, INSULT))
+        for some, full in ((faint, False), (weak, False), (plain, False), (self.words, True)):
             by_size: dict[int, list[str]] = {}
             for w in some:
                 by_size.setdefault(0 if full else len(w.encode()), []).append(w)
@@ -146,15 +148,20 @@ class Lexicon:
                 hit = np.searchsorted(known[order], mine).clip(0, len(known) - 1)
                 ok = known[order][hit] == mine
                 out[at[ok]] = label[hit[ok]]
+        # of a text's weak and faint words each counts where it comes first
+        soft = np.flatnonzero((out == WEAK) | (out == FAINT))
+        again = np.ones(len(soft), dtype=bool)
+        again[np.unique(np.stack((doc[soft].astype(np.uint64), code[soft])), axis=1, return_index=True)[1]] = False
+        out[soft[again]] = OTHER
         return out
 
 
 def score_texts(texts, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
     data, start, end, kind, starts = _words(texts)
-    symbols = lexicon.symbols(data, start, end, kind)
     doc = common.owner(starts, start)
+    symbols = lexicon.symbols(data, start, end, kind, doc)
     out = np.zeros(len(starts) - 1)
-    hot = np.unique(doc[(symbols == INSULT) | (symbols == THREAT) | (symbols == WEAK)])
+    hot = np.unique(doc[(symbols == INSULT) | (symbols == THREAT) | (symbols == WEAK) | (symbols == FAINT)])
     lo, hi = np.searchsorted(doc, hot), np.searchsorted(doc, hot, side="right")
     for d, i, j in zip(hot, lo, hi, strict=True):
         out[d] = 1 - 4.0 ** -min(sum(machine.clauses(symbols[i:j].tolist())), 30.0)
@@ -162,17 +169,15 @@ def score_texts(texts, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
 
 
 def _terms(text: str) -> set[str]:
-    """A text's words, beginnings of words with a star, and with two those of two words or more."""
-    words, stems = Counter(), Counter()
+    """A text's words, beginnings of words with a star, and with two or three those of so many different words or more."""
+    words, stems = set(), Counter()
     data, start, end, kind, _ = _words([text])
     raw = data.tobytes()
     for a, b in zip(start[kind == 1].tolist(), end[kind == 1].tolist(), strict=True):
-        words[raw[a:b].decode("utf-8", "replace")] += 1
-    for w, n in words.items():
-        for k in STEMS:
-            if len(w) > k:
-                stems[w[:k]] += n
-    return {*words, *(s + "*" for s in stems), *(s + "**" for s, n in stems.items() if n > 1)}
+        words.add(raw[a:b].decode("utf-8", "replace"))
+    for w in words:
+        stems.update(w[:k] for k in STEMS if len(w) > k)
+    return {*words, *(s + "*" * r for s, n in stems.items() for r in (1, *WEIGHTS) if n >= r)}
 
 
 def _telling(toxic: int, clean: int, rate: float, terms: int) -> bool:
