@@ -162,3 +162,76 @@ def leaf_clusters(cells: DataFrame, frames: int, eps: float, relative: float, li
         return pd.DataFrame({"leaf_id": pdf["leaf_id"].iloc[0], "voxel": voxels, "centre": voxels[centre]})
 
     return cells.select("leaf_id", "voxel", "t", "v").groupBy("leaf_id").applyInPandas(run, "leaf_id long, voxel long, centre long")
+
+
+def guarded_keys(series: DataFrame, key: str, value: str, eps: str, floor: float, protected: DataFrame) -> DataFrame:
+    """Keyframes (key, t) of series that vary by less than floor (one key, the first), of others by splitting, with protected keys (key, t) added where the series has them."""
+    flat = series.groupBy(key).agg((F.stddev_pop(value) < floor).alias("flat"), F.min("t").alias("first"))
+    split = adaptive_keys(series, key, value, eps).select(key, "t")
+    held = protected.join(series.select(key, "t"), [key, "t"], "left_semi")
+    kept = split.unionByName(held).join(flat.where("not flat"), key).select(key, "t")
+    return kept.unionByName(flat.where("flat").select(key, F.col("first").alias("t"))).distinct()
+
+
+def budget_places(t: np.ndarray, v: np.ndarray, k: int) -> tuple[list[int], float]:
+    """The k places of a series, both ends among them, whose straight lines leave the least squared error, and that error.
+
+    Errors of all segments come from sums over ranges, then the best ways to reach each
+    place with one more line are found from those with one fewer.
+    """
+    n = len(t)
+    if n <= k or n < 2:
+        return list(range(n)), 0.0
+    error = np.full((n, n), np.inf)
+    for a in range(n - 1):
+        for b in range(a + 1, n):
+            line = v[a] + (t[a : b + 1] - t[a]) / (t[b] - t[a]) * (v[b] - v[a])
+            error[a, b] = ((v[a : b + 1] - line) ** 2).sum()
+    best, back = error[0].copy(), [np.zeros(n, dtype=int)]
+    best[0] = np.inf
+    for _ in range(k - 2):
+        through = best[:, None] + error
+        back.append(through.argmin(axis=0))
+        best = through.min(axis=0)
+    places = [n - 1]
+    for step in back[::-1]:
+        places.append(int(step[places[-1]]))
+    return places[::-1], float(best[n - 1])
+
+
+def budget_keys(series: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """(key, t, v, sse): the k best keyframes of each series. A series is one row of its key's frames; n * n numbers of it are held at a time."""
+    rows = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).cast("double").alias("v")))).alias("s")).select(key, "s.t", "s.v")
+
+    def run(batches):
+        for pdf in batches:
+            for name, t, v in zip(pdf[key], pdf["t"], pdf["v"], strict=True):
+                places, sse = budget_places(t.astype(float), v, k)
+                yield pd.DataFrame({key: name, "t": t[places], "v": v[places], "sse": sse})
+
+    return rows.mapInPandas(run, f"{key} {series.schema[key].dataType.simpleString()}, t long, v double, sse double")
+
+
+#: Terms of the polynomial bases, in coordinates from -1 to 1.
+POLY8 = ("1", "px", "py", "pz", "px * py", "px * pz", "py * pz", "px * py * pz")
+POLY11 = (*POLY8, "px * px", "py * py", "pz * pz")
+
+
+def polynomial_fit(cells: DataFrame, keys: list[str], basis: tuple[str, ...] = POLY8) -> DataFrame:
+    """(keys, term, c): least-squares polynomials of cells (keys, voxel, v) over a leaf's coordinates.
+
+    The normal equations are sums by key, partial before the shuffle; only their solution
+    happens in Python, by the least-norm one where they are singular.
+    """
+    at = lambda d: f"(voxel div {d} % 8) / 3.5e0 - 1"
+    rows = cells.select(*keys, F.col("v").cast("double").alias("v"), F.expr(at(1)).alias("px"), F.expr(at(8)).alias("py"), F.expr(at(64)).alias("pz"))
+    n, b = len(basis), [F.expr(e).cast("double") for e in basis]
+    sums = rows.groupBy(*keys).agg(F.array(*[F.sum(b[i] * b[j]) for i in range(n) for j in range(n)]).alias("g"), F.array(*[F.sum(F.col("v") * x) for x in b]).alias("r"))
+
+    def run(batches):
+        for pdf in batches:
+            c = [np.linalg.lstsq(np.reshape(g, (n, n)), np.asarray(r), rcond=1e-12)[0] for g, r in zip(pdf["g"], pdf["r"], strict=True)]
+            yield pd.DataFrame({k: np.repeat(pdf[k].to_numpy(), n) for k in keys} | {"term": np.tile(np.arange(n), len(pdf)), "c": np.concatenate(c) if c else []})
+
+    types = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
+    return sums.mapInPandas(run, f"{types}, term long, c double")

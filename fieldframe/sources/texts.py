@@ -13,7 +13,7 @@ def read_obj(spark: SparkSession, path: str) -> DataFrame:
     it; a polygon becomes a fan from its first corner. An index without a vertex is an
     error. A mesh is read whole by one task, its lines are then rows.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("mesh"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("mesh"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     words = whole.select("mesh", "line", F.split(F.trim("text"), r"\s+").alias("w"))
     number = lambda i: F.get("w", i).cast("double")
     order = Window.partitionBy("mesh").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
