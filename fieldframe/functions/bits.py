@@ -134,3 +134,9 @@ def length(a: tuple[Column, ...]) -> Column:
 def stepped(frame: Column, delta: Column, frames: int, loop: bool) -> Column:
     """The frame after a step of delta: around, or clamped to the ends."""
     return F.pmod(frame + delta, F.lit(frames)) if loop else F.least(F.lit(frames - 1), F.greatest(F.lit(0), frame + delta))
+
+
+def density_weight(v: Column, cutoff: float, band: float) -> Column:
+    """4 within the band around a cutoff, 2 above it, 1.5 up to two bands below it, else 1."""
+    b = max(1e-6, band)
+    return F.when(F.abs(v - cutoff) <= b, 4.0).when(v >= cutoff, 2.0).when(v >= cutoff - 2 * b, 1.5).otherwise(1.0)

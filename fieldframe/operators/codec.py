@@ -152,3 +152,41 @@ def coarse_route(leaves: DataFrame, constant: float, rmse: float, peak: float, a
     spared = (F.col("rmse") <= amnesty_rmse) & (F.col("hot_share") >= hot) & (F.col("peak") <= peak * max(1.0, peak_scale))
     mode = F.when(F.col("spread") <= max(1e-6, constant), "constant").when(near, "coarse").when(spared, "amnestied").otherwise("residual")
     return leaves.withColumn("mode", mode)
+
+
+def covered(energy: DataFrame, key: str, part: str, share: float) -> DataFrame:
+    """Rows (key, part, energy) above 0 with the key's total and needed: whether the stronger parts before it hold less than share of it."""
+    whole = Window.partitionBy(key)
+    order = whole.orderBy(F.round("energy", 6).desc(), part).rowsBetween(Window.unboundedPreceding, -1)
+    rows = energy.where("energy > 0").withColumn("total", F.sum("energy").over(whole)).withColumn("before", F.coalesce(F.sum("energy").over(order), F.lit(0.0)))
+    return rows.withColumn("needed", F.col("before") / F.col("total") < share).drop("before")
+
+
+def sparse_bytes(tier: Column) -> Column:
+    """Bytes of a leaf's events in a tier: scale, mask, bins, coordinates and four-bit values; nothing without events."""
+    return F.when(tier == 0, 0).otherwise(4 + 64 + 32 + tier * 2 + F.floor((tier + 1) / 2.0))
+
+
+def dense_bytes(frames: Column, n_bits: int, values: Column) -> Column:
+    """Bytes of so many blocks of values, each with a half float as scale; of frames or of temporal bases."""
+    return frames * (2 + F.floor((F.greatest(F.lit(1), values) * max(2, n_bits) + 7) / 8.0))
+
+
+# The four levels of two-bit codes.
+LEVELS = (-1.0, -0.3333333, 0.3333333, 1.0)
+
+
+def block_code(value: Column, scale: Column, n_bits: int) -> Column:
+    """A value's code: of four fixed levels for two bits, else of even steps from -scale to scale; 1 without a scale."""
+    norm = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), value / scale))
+    if n_bits <= 2:
+        code = F.when(norm < -0.6666667, 0).when(norm < 0, 1).when(norm < 0.6666667, 2).otherwise(3)
+    else:
+        code = F.floor(0.5 * (norm + 1) * ((1 << n_bits) - 1) + 0.5).cast("int")
+    return F.when(scale <= 1e-12, 1).otherwise(code)
+
+
+def block_value(code: Column, scale: Column, n_bits: int) -> Column:
+    if n_bits <= 2:
+        return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), code + 1) * scale
+    return (code / float((1 << n_bits) - 1) * 2 - 1) * scale

@@ -116,3 +116,24 @@ def slab_clipped(rays: DataFrame, size: tuple[float, float, float]) -> DataFrame
     near = F.greatest(F.lit(0.0), *[F.least(*ends[a]) for a in "xyz"])
     far = F.least(*[F.greatest(*ends[a]) for a in "xyz"])
     return rays.withColumn("near", near).withColumn("far", far).withColumn("hit", F.col("far") > F.col("near"))
+
+
+def control_sample(control: Column, points: tuple[int, ...], x: Column, y: Column, z: Column) -> Column:
+    """A control grid in the array control, its points on each axis at the given coordinates, sampled between them."""
+    n, low, part = len(points), {}, {}
+    for a, p in zip("xyz", (x, y, z), strict=True):
+        i, f = None, None
+        for k in range(n - 1):
+            inside, share = p < points[k + 1], (p - points[k]) / float(points[k + 1] - points[k])
+            i, f = (F.when(inside, k), F.when(inside, share)) if i is None else (i.when(inside, k), f.when(inside, share))
+        last = (p - points[-2]) / float(points[-1] - points[-2])
+        low[a], part[a] = i.otherwise(n - 2), f.otherwise(F.least(F.lit(1.0), last))
+    out = F.lit(0.0)
+    for d in range(8):
+        step = {a: d >> k & 1 for k, a in enumerate("xyz")}
+        w = F.lit(1.0)
+        for a in "xyz":
+            w = w * (part[a] if step[a] else 1 - part[a])
+        index = ((low["z"] + step["z"]) * n + low["y"] + step["y"]) * n + low["x"] + step["x"]
+        out = out + w * F.get(control, index.cast("int")).cast("double")
+    return out

@@ -1,5 +1,5 @@
 """Registered queries: importing the package registers all of them with the catalog."""
 
-from . import analysis, catalog, decoding, diagnosis, files, keyframes, predicates, sampling
+from . import analysis, catalog, decoding, diagnosis, files, keyframes, packing, predicates, sampling
 
-__all__ = ["analysis", "catalog", "decoding", "diagnosis", "files", "keyframes", "predicates", "sampling"]
+__all__ = ["analysis", "catalog", "decoding", "diagnosis", "files", "keyframes", "packing", "predicates", "sampling"]
