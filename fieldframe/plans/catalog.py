@@ -387,12 +387,12 @@ m AS (SELECT leaf_id, max(v) < 5 AS is_empty, sqrt(avg(coarse * coarse)) / 50 AS
 avg(CASE WHEN v >= 47 THEN 1.0 ELSE 0.0 END) AS visible_share, avg(CASE WHEN abs(v - 25) <= 2 THEN 1.0 ELSE 0.0 END) AS band_share, avg(CASE WHEN shell THEN 1.0 ELSE 0.0 END) AS shell_share,
 coalesce(sqrt(avg(CASE WHEN shell THEN coarse * coarse END)) / 50, 0) AS coarse_shell_rmse, coalesce(max(CASE WHEN shell THEN coarse END) / 50, 0) AS coarse_shell_peak, coalesce(sqrt(avg(CASE WHEN shell THEN fine * fine END)) / 50, 0) AS shell_voxel_rmse FROM e GROUP BY 1),
 g AS (SELECT *, (coarse_rmse - fine_rmse) / greatest(coarse_rmse, 1e-12) AS fine_gain, (coarse_shell_rmse - shell_voxel_rmse) / greatest(coarse_shell_rmse, 1e-12) AS shell_gain FROM m)"""
-LIMITS = codec.RouteLimits(rmse=0.28, peak=0.55, visible=0.08, band=0.1, fine_gain=0.004, shell_share=0.6, shell_rmse=0.24, shell_peak=0.6, shell_gain=0.012)
+LIMITS = codec.RouteLimits(rmse=0.28, peak=0.55, visible=0.08, band=0.1, fine_gain=0.004, shell_share=0.66, shell_rmse=0.24, shell_peak=0.6, shell_gain=0.003)
 _ROUTE = ("coarse_rmse", "coarse_peak", "fine_rmse", "visible_share", "band_share", "shell_share", "coarse_shell_rmse", "coarse_shell_peak", "shell_voxel_rmse")
 
 
 @query(f"""WITH {ROUTE_SQL} SELECT leaf_id, is_empty, {", ".join(f"round({c}, 6) AS {c}" for c in _ROUTE)},
-CASE WHEN is_empty THEN 'empty' WHEN shell_share >= 0.6 AND (coarse_shell_rmse > 0.24 OR coarse_shell_peak > 0.6) AND shell_gain >= 0.012 THEN 'shell'
+CASE WHEN is_empty THEN 'empty' WHEN shell_share >= 0.66 AND (coarse_shell_rmse > 0.24 OR coarse_shell_peak > 0.6) AND shell_gain >= 0.003 THEN 'shell'
 WHEN (coarse_rmse > 0.28 OR coarse_peak > 0.55) AND (visible_share >= 0.08 OR band_share >= 0.1) AND fine_gain >= 0.004 THEN 'fine' ELSE 'coarse' END AS mode FROM g""")
 def leaf_routes(spark, sf_dir):
     """Route metrics of each leaf (the leaf's mean as coarse, the frame's mean as fine prediction) and the representation they choose."""
@@ -408,10 +408,10 @@ def leaf_routes(spark, sf_dir):
     return codec.route(m, LIMITS).select("leaf_id", "is_empty", *[_r(c) for c in _ROUTE], "mode")
 
 
-@query(f"""WITH {CELLS}, e AS (SELECT leaf_id, 'leaf_frame' AS candidate, 1 AS place, 16 * 64 AS bytes, abs(v - p) / 50 AS e FROM paired UNION ALL SELECT leaf_id, 'leaf', 2, 64, abs(v - p0) / 50 FROM paired UNION ALL SELECT leaf_id, 'raw', 3, NULL, 0.0 FROM paired),
+@query(f"""WITH {CELLS}, e AS (SELECT leaf_id, 'leaf_frame' AS candidate, 1 AS place, 16 * 4 AS bytes, abs(v - p) / 50 AS e FROM paired UNION ALL SELECT leaf_id, 'leaf', 2, 4, abs(v - p0) / 50 FROM paired UNION ALL SELECT leaf_id, 'raw', 3, NULL, 0.0 FROM paired),
 k AS (SELECT *, row_number() OVER (PARTITION BY leaf_id, place ORDER BY e) - 1 AS i, count(*) OVER (PARTITION BY leaf_id, place) AS n FROM e),
 s AS (SELECT leaf_id, candidate, place, coalesce(max(bytes), 4 * max(n)) AS bytes, sqrt(avg(e * e)) AS rmse, max(e) FILTER (i = least(n - 1, CAST(floor(n * 99 / 100.0) AS BIGINT))) AS p99, max(e) AS peak FROM k GROUP BY 1, 2, 3),
-c AS (SELECT *, greatest(rmse, 2 * p99, 4 * peak) + 900 * bytes / 1048576.0 AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY leaf_id ORDER BY score, place) AS k FROM c)
+c AS (SELECT *, greatest(rmse, 2 * p99, 4 * peak) + 350 * bytes / 1048576.0 AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY leaf_id ORDER BY score, place) AS k FROM c)
 SELECT leaf_id, candidate, CAST(bytes AS BIGINT) AS bytes, round(rmse, 6) AS rmse, round(p99, 6) AS p99, round(peak, 6) AS peak, round(score, 6) AS score FROM r WHERE k = 1""")
 def rate_distortion_choice(spark, sf_dir):
     """The representation of each leaf with the least distortion (the largest of rmse, twice p99, four times the peak) and weighted size; ties go to the earlier one."""
@@ -420,9 +420,9 @@ def rate_distortion_choice(spark, sf_dir):
     e = _paired(spark, sf_dir).select("leaf_id", F.inline(options)).withColumn("option", F.concat_ws(":", "leaf_id", "place"))
     p99 = metrics.floor_percentile(e, "option", "e", 99, 100).withColumnRenamed("percentile", "p99")
     stats = e.groupBy("option", "leaf_id", "candidate", "place").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.expr("e * e"))).alias("rmse"), F.max("e").alias("peak"))
-    n_bytes = F.when(F.col("place") == 1, 16 * 64).when(F.col("place") == 2, 64).otherwise(4 * F.col("n")).cast("long")
+    n_bytes = F.when(F.col("place") == 1, 16 * 4).when(F.col("place") == 2, 4).otherwise(4 * F.col("n")).cast("long")
     c = stats.join(p99, "option").withColumn("bytes", n_bytes)
-    c = c.withColumn("score", codec.rate_distortion(codec.distortion(F.col("rmse"), F.col("p99"), F.col("peak")), F.col("bytes"), 900.0))
+    c = c.withColumn("score", codec.rate_distortion(codec.distortion(F.col("rmse"), F.col("p99"), F.col("peak")), F.col("bytes"), 350.0))
     best = c.groupBy("leaf_id").agg(F.min(F.struct("score", "place", "candidate", "bytes", "rmse", "p99", "peak")).alias("b"))
     return best.select("leaf_id", "b.candidate", "b.bytes", _r("rmse", "b.rmse"), _r("p99", "b.p99"), _r("peak", "b.peak"), _r("score", "b.score"))
 

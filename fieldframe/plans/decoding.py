@@ -131,24 +131,24 @@ def coefficient_keeps(spark, sf_dir):
 
 @query(f"""WITH {CELLS}, vx AS (SELECT leaf_id, voxel, sum((v - p0) * (v - p0)) AS energy FROM paired GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY leaf_id ORDER BY round(energy, 6) DESC, voxel) AS i, sum(energy) OVER (PARTITION BY leaf_id) AS total FROM vx),
 h AS (SELECT leaf_id, sum(CASE WHEN i <= 32 THEN energy ELSE 0 END) / max(total) AS hot FROM k GROUP BY 1), e AS (SELECT leaf_id, max(v) - min(v) AS spread, avg(v) AS mean, sqrt(avg((v - p0) * (v - p0))) / 50 AS rmse, max(abs(v - p0)) / 50 AS peak FROM paired GROUP BY 1)
-SELECT leaf_id, round(spread, 6) AS spread, round(mean, 6) AS mean, round(rmse, 6) AS rmse, round(peak, 6) AS peak, round(hot, 6) AS hot_share, CASE WHEN spread <= greatest(1e-6, 0.02 * 49) THEN 'constant' WHEN rmse <= 0.2 AND peak <= 0.6 THEN 'coarse'
-WHEN rmse <= 0.29 AND hot >= 0.085 AND peak <= 0.6 * 1.5 THEN 'amnestied' ELSE 'residual' END AS mode FROM e JOIN h USING (leaf_id)""")
+SELECT leaf_id, round(spread, 6) AS spread, round(mean, 6) AS mean, round(rmse, 6) AS rmse, round(peak, 6) AS peak, round(hot, 6) AS hot_share, CASE WHEN spread <= greatest(1e-6, 0.02 * 49) THEN 'constant' WHEN rmse <= 0.275 AND peak <= 0.6 THEN 'coarse'
+WHEN rmse <= 0.283 AND hot >= 0.168 AND peak <= 0.6 * 1.5 THEN 'amnestied' ELSE 'residual' END AS mode FROM e JOIN h USING (leaf_id)""")
 def coarse_only_routes(spark, sf_dir):
     """Leaves that need no residuals: constant ones, near ones, and near ones whose error sits in a few hot voxels (energy amnesty)."""
     paired = _paired(spark, sf_dir)
     energy = paired.groupBy("leaf_id", "voxel").agg(F.sum(F.expr("(v - p0) * (v - p0)")).alias("energy"))
     e = paired.groupBy("leaf_id").agg((F.max("v") - F.min("v")).alias("spread"), F.avg("v").alias("mean"), (F.sqrt(F.avg(F.expr("(v - p0) * (v - p0)"))) / PEAK).alias("rmse"), (F.max(F.abs(F.expr("v - p0"))) / PEAK).alias("peak"))
-    routed = codec.coarse_route(e.join(codec.hot_share(energy, "leaf_id", 32), "leaf_id"), constant=0.02 * 49, rmse=0.2, peak=0.6, amnesty_rmse=0.29, hot=0.085, peak_scale=1.5)
+    routed = codec.coarse_route(e.join(codec.hot_share(energy, "leaf_id", 32), "leaf_id"), constant=0.02 * 49, rmse=0.275, peak=0.6, amnesty_rmse=0.283, hot=0.168, peak_scale=1.5)
     return routed.select("leaf_id", _r("spread"), _r("mean"), _r("rmse"), _r("peak"), _r("hot_share"), "mode")
 
 
-@query(f"""WITH {DECODED}, n AS (SELECT leaf_id, count(*) AS n FROM eq WHERE q <> 0 GROUP BY 1), a AS (SELECT DISTINCT leaf_id FROM leafed) SELECT leaf_id, coalesce(n, 0) AS events, CASE WHEN coalesce(n, 0) >= 400 THEN 'sparse' ELSE 'coarse' END AS mode, CASE WHEN coalesce(n, 0) >= 400 THEN n ELSE 0 END AS kept FROM a LEFT JOIN n USING (leaf_id)""")
+@query(f"""WITH {DECODED}, n AS (SELECT leaf_id, count(*) AS n FROM eq WHERE q <> 0 GROUP BY 1), a AS (SELECT DISTINCT leaf_id FROM leafed) SELECT leaf_id, coalesce(n, 0) AS events, CASE WHEN coalesce(n, 0) >= 625 THEN 'sparse' ELSE 'coarse' END AS mode, CASE WHEN coalesce(n, 0) >= 625 THEN n ELSE 0 END AS kept FROM a LEFT JOIN n USING (leaf_id)""")
 def least_events(spark, sf_dir):
     """Leaves with fewer events than worth keeping become coarse, and their events go."""
     cells, _, events = _parts(spark, sf_dir)
     n = events.groupBy("leaf_id").agg(F.count(F.lit(1)).alias("n"))
     all_ = cells.select("leaf_id").distinct().join(n, "leaf_id", "left").withColumn("events", F.coalesce("n", F.lit(0).cast("long")))
-    enough = F.col("events") >= 400
+    enough = F.col("events") >= 625
     return all_.select("leaf_id", "events", F.when(enough, "sparse").otherwise("coarse").alias("mode"), F.when(enough, F.col("events")).otherwise(0).alias("kept"))
 
 

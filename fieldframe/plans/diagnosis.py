@@ -159,7 +159,7 @@ def balanced_choice(spark, sf_dir):
     return tails.balanced(_candidates(spark, sf_dir), ["leaf_id"]).select("leaf_id", "levels", "bytes", _r("psnr"))
 
 
-@query(f"""WITH {ROUTE_SQL}, r AS (SELECT leaf_id // 16 AS slab, CASE WHEN is_empty THEN 'empty' WHEN shell_share >= 0.6 AND (coarse_shell_rmse > 0.24 OR coarse_shell_peak > 0.6) AND shell_gain >= 0.012 THEN 'shell'
+@query(f"""WITH {ROUTE_SQL}, r AS (SELECT leaf_id // 16 AS slab, CASE WHEN is_empty THEN 'empty' WHEN shell_share >= 0.66 AND (coarse_shell_rmse > 0.24 OR coarse_shell_peak > 0.6) AND shell_gain >= 0.003 THEN 'shell'
 WHEN (coarse_rmse > 0.28 OR coarse_peak > 0.55) AND (visible_share >= 0.08 OR band_share >= 0.1) AND fine_gain >= 0.004 THEN 'fine' ELSE 'coarse' END AS mode FROM g), b AS (SELECT *, CASE mode WHEN 'empty' THEN 4 WHEN 'coarse' THEN 260 WHEN 'fine' THEN 868 ELSE 1100 END AS bytes FROM r),
 d AS (SELECT DISTINCT slab, unnest(['empty', 'coarse', 'fine', 'shell']) AS mode FROM b), c AS (SELECT slab, mode, count(*) AS n, sum(bytes) AS bytes FROM b GROUP BY 1, 2), j AS (SELECT d.slab, d.mode, coalesce(n, 0) AS n, coalesce(bytes, 0) AS bytes FROM d LEFT JOIN c USING (slab, mode))
 SELECT slab, mode, n, CAST(bytes AS BIGINT) AS bytes, round(100.0 * n / sum(n) OVER (PARTITION BY slab), 6) AS share, round(CASE WHEN n > 0 THEN bytes / CAST(n AS DOUBLE) ELSE 0 END, 6) AS mean_bytes FROM j""")

@@ -99,13 +99,13 @@ def voxel_series(spark, sf_dir):
 
 
 @query(f"""WITH {CELLS}, q AS (SELECT o_orderkey AS qid, o_orderkey * 7 % 32 AS x, o_custkey % 32 AS y, o_orderkey % 8 + 8 * (o_orderkey // 8192) AS z FROM orders), l AS (SELECT CAST(floor(z / 8.0) * 16 + floor(y / 8.0) * 4 + floor(x / 8.0) AS BIGINT) AS leaf_id, count(*) AS n FROM q GROUP BY 1),
-e AS (SELECT leaf_id, count(*) FILTER (abs(v - p) >= 20) AS events, CASE WHEN max(v) - min(v) < 48.9 THEN 'flat' ELSE 'full' END AS mode FROM paired GROUP BY 1)
+e AS (SELECT leaf_id, count(*) FILTER (abs(v - p) >= 20) AS events, CASE WHEN count(*) < 1670 THEN 'sparse' ELSE 'dense' END AS mode FROM paired GROUP BY 1)
 SELECT mode, CAST(sum(n) AS BIGINT) AS queries, count(*) AS leaves, max(n) AS most, round(sum(n * events) / CAST(sum(n) AS DOUBLE), 6) AS mean_events FROM l JOIN e USING (leaf_id) GROUP BY 1""")
 def query_modes(spark, sf_dir):
     """A query batch by the mode of the leaves that it hits: queries, leaves, the most of one leaf, and the mean events met."""
     q = _table(spark, sf_dir, "orders").select(F.expr("o_orderkey * 7 % 32").alias("x"), F.expr("o_custkey % 32").alias("y"), fields.slab_z("o_orderkey").alias("z"))
     n = q.groupBy(fields.leaf_id(W, H, fields.DEEPEST).alias("leaf_id")).agg(F.count(F.lit(1)).alias("n"))
-    e = _paired(spark, sf_dir).groupBy("leaf_id").agg(F.count_if(F.abs(F.expr("v - p")) >= 20).alias("events"), F.when(F.max("v") - F.min("v") < 48.9, "flat").otherwise("full").alias("mode"))
+    e = _paired(spark, sf_dir).groupBy("leaf_id").agg(F.count_if(F.abs(F.expr("v - p")) >= 20).alias("events"), F.when(F.count(F.lit(1)) < 1670, "sparse").otherwise("dense").alias("mode"))
     return n.join(e, "leaf_id").groupBy("mode").agg(F.sum("n").alias("queries"), F.count(F.lit(1)).alias("leaves"), F.max("n").alias("most"), F.round(F.sum(F.expr("n * events")) / F.sum("n"), 6).alias("mean_events"))
 
 
