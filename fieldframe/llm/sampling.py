@@ -75,6 +75,7 @@ class Vocabulary:
         byte = 2.0 ** max(BYTE, -900 // (int(self.sizes[-1]) + 4))
         if (self.sizes[-1] + 4) * -np.log2(min(byte, factor[size == 1].min(initial=1.0))) > 950:
             raise ValueError("weights are too far apart")
+        self.table = None
         self.none = n  # stands for no piece
         self.factor_of = np.zeros(n + 1)
         self.factor_of[plain] = factor
@@ -82,6 +83,16 @@ class Vocabulary:
         self.maybe = np.zeros(1 << 22, dtype=bool)  # by the top bits of a code: no piece at all
         self.maybe[self.codes >> U(42)] = True
 
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids end to end, and where each id's end."""
+        if self.table is None:
+            size = np.array([len(b) for b in self.bytes], dtype=np.int64)
+            self.table = np.frombuffer(b"".join(self.bytes), dtype=np.uint8), np.cumsum(size) - size, size
+        flat, start, size = self.table
+        own = size[ids]
+        ends = np.cumsum(own)
+        return flat[np.repeat(start[ids] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)], ends
+
     def decode(self, ids) -> bytes:
         """The bytes of a text from its piece ids."""
         return b"".join([self.bytes[i] for i in ids])
@@ -319,12 +330,14 @@ def encoded(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
                 part = pdf.iloc[i:j]
                 ids, at, raw = sampled(part["text"].tolist(), part["doc_id"].to_numpy(), v, seed)
                 each = [ids[at[k] : at[k + 1]] for k in range(len(raw))]
+                out_bytes, ends = v.spelled(ids)
+                out_bytes, ends = out_bytes.tobytes(), np.append(0, ends)[at].tolist()
                 out = {
                     "doc_id": part["doc_id"].to_numpy(),
                     "n_pieces": np.diff(at),
                     "ids_crc32": [zlib.crc32(x.astype("<i4").tobytes()) for x in each],
                     "n_bytes": [len(r) for r in raw],
-                    "lossless": [v.decode(x.tolist()) == r for x, r in zip(each, raw, strict=True)],
+                    "lossless": [out_bytes[a:b] == r for a, b, r in zip(ends, ends[1:], raw, strict=True)],
                 }
                 yield pd.DataFrame(out | ({"ids": each} if with_ids else {}))
 
@@ -340,7 +353,17 @@ def decoded(pieces: DataFrame, model: str = MODEL) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        v = vocabulary(model, 1.0)
-        return ids.map(lambda x: v.decode(x.tolist()).decode("utf-8", "surrogatepass") if x is not None else None)
+        v, out, at = vocabulary(model, 1.0), [], 0
+        held = [x is not None for x in ids]
+        size = np.array([len(x) if x is not None else 0 for x in ids], dtype=np.int64)
+        while at < len(ids):
+            # some CHUNK pieces at a time
+            to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), CHUNK)) + at)
+            some = [x for x in ids.iloc[at:to] if x is not None and len(x)]
+            made, ends = v.spelled(np.concatenate(some).astype(np.int64) if some else np.zeros(0, dtype=np.int64))
+            made, ends = made.tobytes(), np.append(0, ends)[np.append(0, np.cumsum(size[at:to]))].tolist()
+            out += [made[a:b].decode("utf-8", "surrogatepass") if ok else None for a, b, ok in zip(ends, ends[1:], held[at:to], strict=True)]
+            at = to
+        return pd.Series(out, dtype=object)
 
     return pieces.withColumn("text", text("ids"))
