@@ -337,7 +337,7 @@ def encoded(docs: DataFrame, model: str = MODEL, alpha: float = 1.0, seed: int =
                     "n_pieces": np.diff(at),
                     "ids_crc32": [zlib.crc32(x.astype("<i4").tobytes()) for x in each],
                     "n_bytes": [len(r) for r in raw],
-                    "lossless": [out_bytes[a:b] == r for a, b, r in zip(ends, ends[1:], raw, strict=True)],
+                    "lossless": [out_bytes[a:b] == r for a, b, r in zip(ends[:-1], ends[1:], raw, strict=True)],
                 }
                 yield pd.DataFrame(out | ({"ids": each} if with_ids else {}))
 
@@ -362,7 +362,7 @@ def decoded(pieces: DataFrame, model: str = MODEL) -> DataFrame:
             some = [x for x in ids.iloc[at:to] if x is not None and len(x)]
             made, ends = v.spelled(np.concatenate(some).astype(np.int64) if some else np.zeros(0, dtype=np.int64))
             made, ends = made.tobytes(), np.append(0, ends)[np.append(0, np.cumsum(size[at:to]))].tolist()
-            out += [made[a:b].decode("utf-8", "surrogatepass") if ok else None for a, b, ok in zip(ends, ends[1:], held[at:to], strict=True)]
+            out += [made[a:b].decode("utf-8", "surrogatepass") if ok else None for a, b, ok in zip(ends[:-1], ends[1:], held[at:to], strict=True)]
             at = to
         return pd.Series(out, dtype=object)
 
