@@ -357,8 +357,8 @@ def decoded(pieces: DataFrame, model: str = MODEL) -> DataFrame:
         held = [x is not None for x in ids]
         size = np.array([len(x) if x is not None else 0 for x in ids], dtype=np.int64)
         while at < len(ids):
-            # some CHUNK pieces at a time
-            to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), CHUNK)) + at)
+            # a few texts at a time
+            to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), CHUNK // 8)) + at)
             some = [x for x in ids.iloc[at:to] if x is not None and len(x)]
             made, ends = v.spelled(np.concatenate(some).astype(np.int64) if some else np.zeros(0, dtype=np.int64))
             made, ends = made.tobytes(), np.append(0, ends)[np.append(0, np.cumsum(size[at:to]))].tolist()
