@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, minhash_dedup, quality, sampling, secret_scan, sharding, toxicity, warc
+from . import chat, decontaminate, divergence, fingerprints, minhash_dedup, packing, quality, sampling, secret_scan, sharding, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,24 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings along the four leading components of their distinct vectors, each with unit variance."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of each language from one another, and the terms that tell each from its language."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed_texts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("loss_tokens")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -84,13 +102,16 @@ def queries() -> dict:
             op8_warc,
             op9_minhash_fingerprints,
             op10_toxicity_grammar,
+            op11_embedding_whitening,
+            op12_source_divergence,
+            op13_vector_packing,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express at a bearable cost; the others are tested against brute force."""
-    return {"op3_chat_formatting": OP3, "op7_secret_scan": OP7, "op8_warc": OP8}
+    return {"op3_chat_formatting": OP3, "op7_secret_scan": OP7, "op8_warc": OP8, "op12_source_divergence": OP12}
 
 
 # formatted_chars follows from the template: its marks, and a character for every escaped one
@@ -153,3 +174,24 @@ SELECT d.page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN d.page_id = response THEN NULL ELSE response END AS refers_to
 FROM d JOIN f USING (h) JOIN b32 ON b32.page_id = d.page_id
 """
+
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce("source", '') AS "source", coalesce(text, '') AS text FROM documents),
+w AS (SELECT id, lang, "source", unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+occurs AS (SELECT lang, "source", term, count(*) AS n FROM w GROUP BY ALL),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT id, lang, term FROM w) GROUP BY ALL HAVING count(*) >= 3),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, "source" FROM d),
+cells AS (SELECT g.lang, g."source", k.term, coalesce(o.n, 0) AS n FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN occurs o ON o.lang = g.lang AND o."source" = g."source" AND o.term = k.term),
+p AS (SELECT lang, "source", term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // CAST(sum(n) OVER (PARTITION BY lang, "source") + v AS HUGEINT) AS p FROM cells JOIN size USING (lang)),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // CAST(sum(n) OVER (PARTITION BY lang) + v AS HUGEINT) AS q
+      FROM (SELECT lang, term, sum(n) AS n FROM cells GROUP BY lang, term) JOIN size USING (lang)),
+pairs AS (SELECT a.lang, a."source", b."source" AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a."source" <> b."source" GROUP BY ALL),
+every AS (
+  SELECT a.lang, a."source", 'pair' AS part, b."source" AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a."source" <> b."source" LEFT JOIN pairs ON pairs.lang = a.lang AND pairs."source" = a."source" AND pairs.item = b."source"
+  UNION ALL SELECT lang, "source", 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, "source", part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, "source", part ORDER BY value DESC, encode(item)) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 200
+"""
