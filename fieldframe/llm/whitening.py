@@ -102,6 +102,8 @@ def _covariances(vectors: DataFrame, known: dict, multiplicity: bool) -> dict[in
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for dim, at, x in _matrices(batch.column("x")):
+                if dim not in known:
+                    continue
                 n, sums = known[dim]
                 c = (_centred(x, n, sums) / n).astype(np.float64)
                 held[dim] = held.get(dim, 0.0) + c.T @ (_weights(batch, at, multiplicity)[:, None] * c)
