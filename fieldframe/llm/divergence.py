@@ -29,6 +29,8 @@ TOP = 200
 CHUNK = 512
 #: Postings in one round of numpy work, and distinct (group, term) a counting task holds.
 POSTINGS, HELD = 1 << 18, 1 << 19
+#: Slices in which a group's best terms are picked before they meet.
+SLICES = 16
 #: Postings that a task is planned for.
 PER_TASK = 2_000_000
 
@@ -281,5 +283,9 @@ def divergence(docs: DataFrame) -> DataFrame:
     stream = postings.unionByName(heads, allowMissingColumns=True).repartitionById(slots, "slot").sortWithinPartitions("lang", "a", "b", F.asc_nulls_first("term"))
     parts = stream.mapInArrow(_accumulated, "lang string, source string, part string, item string, value long")
     values = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # the best of each slice of a group's terms hold the best of the group, so few rows of it meet in one task
+    slice_of = F.when(F.col("part") == "term", F.pmod(F.xxhash64("item"), F.lit(SLICES))).otherwise(0)
+    values = values.withColumn("slice", slice_of).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part", "slice").orderBy(F.desc("value"), "item")))
+    values = values.where((F.col("part") == "pair") | (F.col("rank") <= TOP)).drop("slice", "rank")
     place = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     return values.withColumn("rank", F.row_number().over(place).cast("int")).where((F.col("part") == "pair") | (F.col("rank") <= TOP))
