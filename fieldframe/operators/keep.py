@@ -33,13 +33,20 @@ def surface_critical(keys: DataFrame, key: str, value: str, iso: float, critical
     return keys.withColumn("hit", F.coalesce(hit, F.lit(False))).groupBy(key).agg(F.bool_or("hit").alias("critical"))
 
 
-def compatible(pairs: DataFrame, values: DataFrame, key: str, value: str, cutoff: float, band: float) -> DataFrame:
-    """pairs (a, b) with compatible: at no time that both have is one clearly below the cutoff and the other clearly above it."""
-    state = values.select(F.col(key), "t", series.cutoff_state(F.col(value), cutoff, band).alias("s"))
-    side = lambda n: state.select(F.col(key).alias(n), "t", F.col("s").alias(f"s_{n}"))
-    met = pairs.join(side("a"), "a").join(side("b"), ["b", "t"])
-    clash = (F.col("s_a") + F.col("s_b") == 2) & (F.col("s_a") != F.col("s_b"))
-    found = met.groupBy("a", "b").agg((~F.bool_or(clash)).alias("compatible"))
+def compatible(pairs: DataFrame, values: DataFrame, key: str, value: str, frames: int, cutoff: float, band: float) -> DataFrame:
+    """pairs (a, b) with compatible: at no time that one of both has, nor at the ends, is one clearly below the cutoff and the other clearly above it.
+
+    Series are on lines between their own times and constant outside them; a series becomes frames rows.
+    """
+    spots = values.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(frames - 1).cast("long"))).alias("t"))
+    met = spots.join(values.select(key, F.col("t").cast("long").alias("t"), F.col(value).cast("double").alias("v")), [key, "t"], "left")
+    lines = series.interpolated(met, key, "v", F.col("v").isNotNull())
+    seen = F.col("v").isNotNull() | F.col("t").isin(0, frames - 1)
+    state = lines.select(F.col(key), "t", seen.alias("seen"), series.cutoff_state(F.col("p"), cutoff, band).alias("s"))
+    side = lambda n: state.select(F.col(key).alias(n), "t", F.col("seen").alias(f"seen_{n}"), F.col("s").alias(f"s_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), ["b", "t"])
+    clash = (F.col("seen_a") | F.col("seen_b")) & (F.col("s_a") + F.col("s_b") == 2) & (F.col("s_a") != F.col("s_b"))
+    found = both.groupBy("a", "b").agg((~F.bool_or(clash)).alias("compatible"))
     return pairs.join(found, ["a", "b"], "left").withColumn("compatible", F.coalesce("compatible", F.lit(True)))
 
 

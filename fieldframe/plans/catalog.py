@@ -278,11 +278,11 @@ def point_queries(spark, sf_dir):
     return q.join(cells, ["x", "y", "z", "t"], "left").select("qid", "x", "y", "z", "t", fields.leaf_id(W, H, D).alias("leaf_id"), F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-@query(f"""WITH q AS (SELECT o_orderkey AS qid, CAST(floor((o_custkey % 32) / 8.0) * 4 + floor((o_orderkey * 7 % 32) / 8.0) AS BIGINT) AS leaf_id, (o_orderkey * 5 + o_custkey) % 16 AS t FROM orders)
+@query(f"""WITH q AS (SELECT o_orderkey AS qid, CAST(o_orderkey // 8192 * 16 + floor((o_custkey % 32) / 8.0) * 4 + floor((o_orderkey * 7 % 32) / 8.0) AS BIGINT) AS leaf_id, (o_orderkey * 5 + o_custkey) % 16 AS t FROM orders)
 SELECT leaf_id, count(*) AS queries, count(DISTINCT t) AS frames, min(qid) AS first_query FROM q GROUP BY 1""")
 def query_histogram(spark, sf_dir):
     """Queries and frames by leaf of a batch."""
-    q = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), F.expr("o_orderkey * 7 % 32").alias("x"), F.expr("o_custkey % 32").alias("y"), F.lit(0).alias("z"), F.expr("(o_orderkey * 5 + o_custkey) % 16").alias("t"))
+    q = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), F.expr("o_orderkey * 7 % 32").alias("x"), F.expr("o_custkey % 32").alias("y"), fields.slab_z("o_orderkey").alias("z"), F.expr("(o_orderkey * 5 + o_custkey) % 16").alias("t"))
     return q.groupBy(fields.leaf_id(W, H, D).alias("leaf_id")).agg(F.count(F.lit(1)).alias("queries"), F.countDistinct("t").alias("frames"), F.min("qid").alias("first_query"))
 
 

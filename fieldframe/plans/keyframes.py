@@ -65,12 +65,12 @@ def polynomial_fits(spark, sf_dir):
     return fits.polynomial_fit(_cells(spark, sf_dir), ["leaf_id", "t"]).withColumn("c", F.round("c", 6))
 
 
-@query(f"""WITH {CELLS}, s AS (SELECT x, y, t, z, v - 25 AS phi FROM cells WHERE z < 8), e AS (SELECT x, y, t, min(z) FILTER (phi <= 0) AS entry FROM s GROUP BY 1, 2, 3), o AS (SELECT s.x, s.y, s.t, entry, min(z) FILTER (phi > 0 AND z > entry) AS way_out, max(z) AS last FROM s JOIN e USING (x, y, t) WHERE entry IS NOT NULL GROUP BY 1, 2, 3, 4),
+@query(f"""WITH {CELLS}, s AS (SELECT x, y, t, z, v - 25 AS phi FROM cells), e AS (SELECT x, y, t, min(z) FILTER (phi <= 0) AS entry FROM s GROUP BY 1, 2, 3), o AS (SELECT s.x, s.y, s.t, entry, min(z) FILTER (phi > 0 AND z > entry) AS way_out, max(z) AS last FROM s JOIN e USING (x, y, t) WHERE entry IS NOT NULL GROUP BY 1, 2, 3, 4),
 d AS (SELECT o.x, o.y, o.t, entry, coalesce(way_out, last + 1) - entry AS thickness, coalesce(sum(s.v), 0) AS above FROM o LEFT JOIN cells s ON s.x = o.x AND s.y = o.y AND s.t = o.t AND s.z < entry GROUP BY 1, 2, 3, 4, 5)
 SELECT x, y, t, CAST(entry AS BIGINT) AS entry, CAST(thickness AS BIGINT) AS thickness, round(exp(-0.02 * above), 6) AS light FROM d""")
 def ray_marches(spark, sf_dir):
     """Rays along z: where each enters the level set, how far it stays inside, and how much light reaches the entry from above."""
-    s = fields.field_cells(_table(spark, sf_dir, "lineitem")).where("z < 8").select("x", "y", "t", "z", "v", (F.col("v") <= 25).alias("inside"))
+    s = fields.field_cells(_table(spark, sf_dir, "lineitem")).select("x", "y", "t", "z", "v", (F.col("v") <= 25).alias("inside"))
     ray = Window.partitionBy("x", "y", "t")
     s = s.withColumn("entry", F.min(F.when(F.col("inside"), F.col("z"))).over(ray)).where("entry is not null")
     leaves = F.min(F.when(~F.col("inside") & (F.col("z") > F.col("entry")), F.col("z")))

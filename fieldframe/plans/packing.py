@@ -12,14 +12,14 @@ from .catalog import CELLS, PEAK, RESID, H, W, _cells, _paired, _r, _residuals,
 
 
 @query(f"""WITH {RESID}, e AS (SELECT leaf_id, (voxel // 64 // 2 * 4 + voxel // 8 % 8 // 2) * 4 + voxel % 8 // 2 AS tile, sum(r * r) AS energy FROM resid GROUP BY 1, 2), k AS (SELECT *, sum(energy) OVER (PARTITION BY leaf_id) AS total, coalesce(sum(energy) OVER (PARTITION BY leaf_id ORDER BY round(energy, 6) DESC, tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e WHERE energy > 0)
-SELECT leaf_id, count(*) FILTER (before / total < 0.995) AS tiles, bit_or(CASE WHEN before / total < 0.995 THEN CAST(1 AS BIGINT) << CAST(tile AS INT) END) AS mask, round(max(total), 4) AS total FROM k WHERE tile < 63 GROUP BY 1""")
+SELECT leaf_id, count(*) FILTER (before / total < 0.995) AS tiles, coalesce(bit_or(CASE WHEN before / total < 0.995 AND tile < 32 THEN CAST(1 AS BIGINT) << CAST(tile AS INT) END), 0) AS mask_low, coalesce(bit_or(CASE WHEN before / total < 0.995 AND tile >= 32 THEN CAST(1 AS BIGINT) << CAST(tile - 32 AS INT) END), 0) AS mask_high, round(max(total), 4) AS total FROM k GROUP BY 1""")
 def tile_energies(spark, sf_dir):
-    """Tiles of 2 x 2 x 2 voxels by energy until 99.5 % of a leaf's is covered, as a mask of the first 63."""
+    """Tiles of 2 x 2 x 2 voxels by energy until 99.5 % of a leaf's is covered, as a mask of two words of 32 tiles."""
     tile = F.expr("(voxel div 64 div 2 * 4 + voxel div 8 % 8 div 2) * 4 + voxel % 8 div 2").alias("tile")
     e = _residuals(spark, sf_dir).groupBy("leaf_id", tile).agg(F.sum(F.expr("r * r")).alias("energy"))
-    k = codec.covered(e, "leaf_id", "tile", 0.995).where("tile < 63")
-    bit = F.when(F.col("needed"), F.expr("shiftleft(1L, cast(tile as int))"))
-    return k.groupBy("leaf_id").agg(F.count_if(F.col("needed")).alias("tiles"), F.bit_or(bit).alias("mask"), F.round(F.max("total"), 4).alias("total"))
+    k = codec.covered(e, "leaf_id", "tile", 0.995)
+    word = lambda n: F.coalesce(F.bit_or(F.when(F.col("needed") & (F.expr("tile div 32") == n), F.expr("shiftleft(1L, cast(tile % 32 as int))"))), F.lit(0).cast("long"))
+    return k.groupBy("leaf_id").agg(F.count_if(F.col("needed")).alias("tiles"), word(0).alias("mask_low"), word(1).alias("mask_high"), F.round(F.max("total"), 4).alias("total"))
 
 
 @query(f"""WITH {RESID}, n AS (SELECT leaf_id, count(*) FILTER (abs(r) / 50 >= 0.4) AS n, count(DISTINCT voxel) FILTER (abs(r) / 50 >= 0.4) AS tiles FROM resid GROUP BY 1), c AS (SELECT *, CASE WHEN n <= 64 THEN 64 WHEN n <= 256 THEN 256 WHEN n <= 768 THEN 768 ELSE 1024 END AS tier, least(64, tiles) AS active FROM n)

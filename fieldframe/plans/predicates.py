@@ -12,10 +12,10 @@ from .catalog import CELLS, SERIES, _cells, _paired, _r, _series, _table, query
 _CLASS = "CASE WHEN high <= greatest(1e-9, 0.15 * 40) THEN 'elide' WHEN high <= 0.9 * 40 AND high < 40 - 2 AND high - low <= greatest(0.15 * 40, 0.25 * 4.0) THEN 'uniform' ELSE 'keep' END"
 
 
-@query(f"""WITH {CELLS}, c AS (SELECT x, y, z, min(v) AS low, max(v) AS high FROM cells WHERE x % 8 < 2 GROUP BY 1, 2, 3) SELECT x, y, z, low, high, {_CLASS} AS class FROM c""")
+@query(f"""WITH {CELLS}, c AS (SELECT x, y, z, min(v) AS low, max(v) AS high FROM cells GROUP BY 1, 2, 3) SELECT x, y, z, low, high, {_CLASS} AS class FROM c""")
 def background_columns(spark, sf_dir):
     """Columns of cells over time that are background, nearly constant below what is visible, or kept."""
-    c = fields.field_cells(_table(spark, sf_dir, "lineitem")).where("x % 8 < 2").groupBy("x", "y", "z").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    c = fields.field_cells(_table(spark, sf_dir, "lineitem")).groupBy("x", "y", "z").agg(F.min("v").alias("low"), F.max("v").alias("high"))
     return c.withColumn("class", keep.background_class(F.col("low"), F.col("high"), cutoff=40.0, band=2.0, zero_ratio=0.15, const_ratio=0.9))
 
 
@@ -26,23 +26,24 @@ def elided_leaves(spark, sf_dir):
     return keep.elided(s, "leaf_id", 25.0, 26.0)
 
 
-@query(f"""WITH {SERIES}, d AS (SELECT user_id, cents - 15000 AS d, lag(cents) OVER (PARTITION BY user_id ORDER BY t) - 15000 AS b FROM series WHERE t % 9 = 0) SELECT user_id, bool_or(abs(d) <= 500 OR coalesce((b <= 0 AND d >= 0) OR (b >= 0 AND d <= 0), false)) AS critical FROM d GROUP BY 1""")
+@query(f"""WITH {SERIES}, d AS (SELECT user_id, cents - 15000 AS d, lag(cents) OVER (PARTITION BY user_id ORDER BY t) - 15000 AS b FROM series) SELECT user_id, bool_or(abs(d) <= 500 OR coalesce((b <= 0 AND d >= 0) OR (b >= 0 AND d <= 0), false)) AS critical FROM d GROUP BY 1""")
 def surface_critical_series(spark, sf_dir):
     """Series whose keys come near a level or lie on both sides of it."""
-    return keep.surface_critical(_series(spark, sf_dir).where("t % 9 = 0"), "user_id", "cents", 15000, 500)
+    return keep.surface_critical(_series(spark, sf_dir), "user_id", "cents", 15000, 500)
 
 
-_STATE3 = "CASE WHEN cents < 15000 - 8000 THEN 0 WHEN cents > 15000 + 8000 THEN 2 ELSE 1 END"
+_STATE3 = "CASE WHEN v < 15000 - 8000 THEN 0 WHEN v > 15000 + 8000 THEN 2 ELSE 1 END"
 
 
-@query(f"""WITH {SERIES}, s AS (SELECT user_id, t, {_STATE3} AS s FROM series WHERE t % 5 = 0), u AS (SELECT DISTINCT user_id AS a, user_id + 1 AS b FROM series), p AS (SELECT u.* FROM u WHERE b IN (SELECT user_id FROM series)),
-j AS (SELECT p.a, p.b, bool_or((x.s = 0 AND y.s = 2) OR (x.s = 2 AND y.s = 0)) AS clash FROM p JOIN s x ON x.user_id = p.a JOIN s y ON y.user_id = p.b AND y.t = x.t GROUP BY 1, 2) SELECT p.a, p.b, NOT coalesce(clash, false) AS compatible FROM p LEFT JOIN j USING (a, b)""")
+@query(f"""WITH {SERIES}, d AS (SELECT u.user_id, f AS t, max(s.t) FILTER (s.t <= f) AS t0, arg_max(cents, s.t) FILTER (s.t <= f) AS v0, min(s.t) FILTER (s.t >= f) AS t1, arg_min(cents, s.t) FILTER (s.t >= f) AS v1 FROM (SELECT DISTINCT user_id FROM series) u, range(30) r(f), series s WHERE s.user_id = u.user_id GROUP BY 1, 2),
+l AS (SELECT user_id, t, t0 = t1 AS own, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (t - t0) / CAST(t1 - t0 AS DOUBLE) * (v1 - v0) END AS v FROM d), s AS (SELECT user_id, t, coalesce(own, false) OR t IN (0, 29) AS seen, {_STATE3} AS s FROM l), p AS (SELECT DISTINCT user_id AS a, user_id + 1 AS b FROM series WHERE user_id + 1 IN (SELECT user_id FROM series))
+SELECT p.a, p.b, NOT bool_or((x.seen OR y.seen) AND ((x.s = 0 AND y.s = 2) OR (x.s = 2 AND y.s = 0))) AS compatible FROM p JOIN s x ON x.user_id = p.a JOIN s y ON y.user_id = p.b AND y.t = x.t GROUP BY 1, 2""")
 def compatible_series(spark, sf_dir):
-    """Neighbouring series that are never on clearly different sides of a cutoff."""
+    """Neighbouring series that are never on clearly different sides of a cutoff, at any day that one of them has, nor at the ends."""
     s = _series(spark, sf_dir)
     a = s.select(F.col("user_id").alias("a")).distinct()
     pairs = a.withColumn("b", F.col("a") + 1).join(a.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
-    return keep.compatible(pairs, s.where("t % 5 = 0"), "user_id", "cents", 15000, 8000)
+    return keep.compatible(pairs, s, "user_id", "cents", 30, 15000, 8000)
 
 
 @query(f"""WITH {CELLS}, c AS (SELECT leaf_id, t, CASE WHEN avg(v) < 25.4 THEN 'air' WHEN avg(v) < 25.8 THEN 'inside' ELSE 'leaf' END AS value FROM leafed GROUP BY 1, 2), d AS (SELECT *, CASE WHEN count(*) FILTER (value = 'inside') OVER (PARTITION BY t) > count(*) FILTER (value = 'air') OVER (PARTITION BY t) THEN 'inside' ELSE 'air' END AS "default" FROM c)
@@ -65,17 +66,23 @@ def series_sketches(spark, sf_dir):
 @query(f"""WITH {CELLS}, {SERIES}, k AS (SELECT user_id, unnest(range(9)) AS s, user_id % 10 AS grp FROM (SELECT DISTINCT user_id FROM series)), q AS (SELECT *, 29 * s / 8.0::DOUBLE AS tt FROM k), d AS (SELECT user_id, CAST(t AS DOUBLE) AS t, CAST(cents AS DOUBLE) AS v FROM series),
 j AS (SELECT q.*, a.t AS t0, a.v AS v0 FROM q ASOF LEFT JOIN d a ON a.user_id = q.user_id AND q.tt >= a.t), l AS (SELECT j.*, b.t AS t1, b.v AS v1 FROM j ASOF LEFT JOIN d b ON b.user_id = j.user_id AND j.tt <= b.t),
 sk AS (SELECT user_id, s, CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (tt - t0) / (t1 - t0) END AS v FROM l), w AS (SELECT *, v - lag(v) OVER (PARTITION BY user_id ORDER BY s) AS slope FROM sk),
-p AS (SELECT a.user_id AS a, b.user_id AS b, corr(a.v, b.v) AS r, max(abs(a.v - b.v)) AS gap, avg(CASE WHEN a.slope * b.slope < 0 THEN 1.0 ELSE 0.0 END) FILTER (a.slope IS NOT NULL) AS mismatch FROM w a JOIN w b ON b.user_id = a.user_id + 1 AND b.s = a.s GROUP BY 1, 2)
-SELECT a, b, round(coalesce(r, 0), 6) AS correlation, round(gap, 4) AS gap, round(mismatch, 6) AS mismatch, coalesce(r, 0) >= 0.6 AND mismatch <= 0.45 AS alike FROM p""")
+p AS (SELECT a.user_id AS a, b.user_id AS b, corr(a.v, b.v) AS r, max(abs(a.v - b.v)) AS gap, avg(CASE WHEN a.slope * b.slope < 0 THEN 1.0 ELSE 0.0 END) FILTER (a.slope IS NOT NULL) AS mismatch FROM w a JOIN w b ON b.user_id = a.user_id + 1 AND b.s = a.s GROUP BY 1, 2),
+h AS (SELECT user_id, min(v) AS low, max(v) AS high, arg_min(s, {{'v': v, 's': s}}) AS low_at, arg_max(s, {{'v': v, 's': -s}}) AS high_at, greatest(1e-5, stddev_pop(v), max(v) - min(v)) AS scale FROM sk GROUP BY 1)
+SELECT p.a, p.b, round(coalesce(r, 0), 6) AS correlation, round(gap, 4) AS gap, round(mismatch, 6) AS mismatch, round(greatest(abs(x.low - y.low), abs(x.high - y.high)) / x.scale, 6) AS envelope, abs(x.low_at - y.low_at) > 2 AND abs(x.high_at - y.high_at) > 2 AS apart,
+coalesce(r, 0) >= 0.6 AND mismatch <= 0.45 AND greatest(abs(x.low - y.low), abs(x.high - y.high)) / x.scale <= 4.5 AND NOT (abs(x.low_at - y.low_at) > 2 AND abs(x.high_at - y.high_at) > 2) AS alike FROM p JOIN h x ON x.user_id = p.a JOIN h y ON y.user_id = p.b""")
 def sketch_gates(spark, sf_dir):
-    """Neighbouring series compared by their sketches: correlation, largest gap, and how often their slopes differ in sign."""
+    """Neighbouring series compared by their sketches: correlation, largest gap, how often their slopes differ in sign, how far their envelopes and their extrema lie apart, and whether all gates pass."""
     s = keep.sketch(_series(spark, sf_dir), "user_id", "cents", 30)
     w = s.withColumn("slope", F.col("v") - F.lag("v").over(series.Window.partitionBy("user_id").orderBy("s")))
     side = lambda n, by: w.select((F.col("user_id") + by).alias("a"), "s", F.col("v").alias(f"v_{n}"), F.col("slope").alias(f"slope_{n}"))
     met = side("a", 0).join(side("b", -1), ["a", "s"])
     differ = F.when(F.col("slope_a").isNotNull(), F.when(F.col("slope_a") * F.col("slope_b") < 0, 1.0).otherwise(0.0))
-    p = met.groupBy("a").agg(F.coalesce(F.nanvl(F.corr("v_a", "v_b"), F.lit(0.0)), F.lit(0.0)).alias("r"), F.max(F.abs(F.expr("v_a - v_b"))).alias("gap"), F.avg(differ).alias("mismatch"))
-    return p.select("a", (F.col("a") + 1).alias("b"), _r("correlation", "r"), F.round("gap", 4).alias("gap"), _r("mismatch"), F.expr("r >= 0.6 and mismatch <= 0.45").alias("alike"))
+    first = lambda f, c, sign: f(F.struct(c, (sign * F.col("s")).alias("s")))
+    shape = [x for n in "ab" for x in (F.min(f"v_{n}").alias(f"low_{n}"), F.max(f"v_{n}").alias(f"high_{n}"), first(F.min, f"v_{n}", 1)["s"].alias(f"low_at_{n}"), (-first(F.max, f"v_{n}", -1)["s"]).alias(f"high_at_{n}"))]
+    p = met.groupBy("a").agg(F.coalesce(F.nanvl(F.corr("v_a", "v_b"), F.lit(0.0)), F.lit(0.0)).alias("r"), F.max(F.abs(F.expr("v_a - v_b"))).alias("gap"), F.avg(differ).alias("mismatch"), F.stddev_pop("v_a").alias("deviation"), *shape)
+    scale = F.greatest(F.lit(1e-5), F.col("deviation"), F.expr("high_a - low_a"))
+    p = p.withColumns({"envelope": F.greatest(F.abs(F.expr("low_a - low_b")), F.abs(F.expr("high_a - high_b"))) / scale, "apart": F.expr("abs(low_at_a - low_at_b) > 2 and abs(high_at_a - high_at_b) > 2")})
+    return p.select("a", (F.col("a") + 1).alias("b"), _r("correlation", "r"), F.round("gap", 4).alias("gap"), _r("mismatch"), _r("envelope"), "apart", F.expr("r >= 0.6 and mismatch <= 0.45 and envelope <= 4.5 and not apart").alias("alike"))
 
 
 _FIELDS = """f AS (SELECT l_partkey % 32 AS x, l_suppkey % 32 AS y, l_orderkey % 8 + 8 * (l_orderkey // 8192) AS z, CAST((year(l_shipdate) * 12 + month(l_shipdate)) % 16 AS BIGINT) AS t, avg(l_quantity) AS density, avg(l_discount) AS flames, avg(l_tax) AS temperature,

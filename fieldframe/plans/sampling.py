@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fields, lattice
+from ..operators import fields, lattice, ranks
 from .catalog import CELLS, D, H, T, W, _cells, _r, _table, query
 
 _DRAW = "((k % 1000003 + 7919 * {s}) * 48271 + (k * 69621) % 65537) % 2147483647 % {n}"
@@ -14,9 +14,11 @@ def _draw(salt, n, key="o_orderkey"):
     return "(" + _DRAW.format(s=salt, n=n).replace("k ", f"{key} ") + ")"
 
 
-_FREE = [_draw(1, 32), _draw(2, 32), _draw(3, 8), _draw(4, 16)]
-_HELD = [_draw(11 + i, n, "0::BIGINT") for i, n in enumerate((32, 32, 8, 16))]
-_TILE = [f"least({n - 1}, CAST(floor({_FREE[i]} / 8.0) * 8 AS BIGINT) + CAST(floor(o_orderkey / {8**i}.0) AS BIGINT) % 8)" for i, n in enumerate((32, 32, 8))]
+#: The volume's planes: eight for each slab of orders.
+_DEPTH = "(SELECT 8 * (max(o_orderkey) // 8192 + 1) FROM orders)"
+_FREE = [_draw(1, 32), _draw(2, 32), _draw(3, _DEPTH), _draw(4, 16)]
+_HELD = [_draw(11 + i, n, "0::BIGINT") for i, n in enumerate((32, 32, _DEPTH, 16))]
+_TILE = [f"least({n} - 1, CAST(floor({_FREE[i]} / 8.0) * 8 AS BIGINT) + CAST(floor(o_orderkey / {8**i}.0) AS BIGINT) % 8)" for i, n in enumerate((32, 32, _DEPTH))]
 
 
 def _pattern_sql(x, y, z, t):
@@ -24,9 +26,15 @@ def _pattern_sql(x, y, z, t):
 SELECT qid, x, y, z, t, coalesce(v, 0.0) AS v FROM q LEFT JOIN cells USING (x, y, z, t)"""
 
 
+def _depth(spark, sf_dir):
+    """How many planes the orders fill: one number for the driver."""
+    top = _table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return 8 * ((top or 0) // fields.SLAB + 1)
+
+
 def _pattern(spark, sf_dir, name):
     ids = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"))
-    queries = lattice.query_pattern(ids, name, W, H, 8, T)
+    queries = lattice.query_pattern(ids, name, W, H, _depth(spark, sf_dir), T)
     cells = fields.field_cells(_table(spark, sf_dir, "lineitem"))
     return queries.join(cells, ["x", "y", "z", "t"], "left").select("qid", "x", "y", "z", "t", F.coalesce("v", F.lit(0.0)).alias("v"))
 
@@ -57,14 +65,13 @@ def coherent_queries(spark, sf_dir):
 
 @query(f"""WITH {CELLS}, q AS (SELECT o_orderkey AS qid, CAST({_FREE[0]} AS BIGINT) AS x, CAST({_FREE[1]} AS BIGINT) AS y, CAST({_FREE[2]} AS BIGINT) AS z, CAST({_FREE[3]} AS BIGINT) AS t FROM orders),
 l AS (SELECT *, CAST(floor(z / 8.0) * 16 + floor(y / 8.0) * 4 + floor(x / 8.0) AS BIGINT) AS leaf_id FROM q)
-SELECT leaf_id, t, min(z * 1024 + y * 32 + x) AS first_cell, max(z * 1024 + y * 32 + x) AS last_cell, count(*) AS n, count(DISTINCT (x, y, z)) AS places FROM l GROUP BY 1, 2""")
+SELECT *, CAST(sum(n) OVER (ORDER BY leaf_id, t) AS BIGINT) - n AS begins, CAST(sum(n) OVER (ORDER BY leaf_id, t) AS BIGINT) AS ends FROM (SELECT leaf_id, t, min(z * 1024 + y * 32 + x) AS first_cell, max(z * 1024 + y * 32 + x) AS last_cell, count(*) AS n, count(DISTINCT (x, y, z)) AS places FROM l GROUP BY 1, 2)""")
 def query_segments(spark, sf_dir):
-    """Queries in the order leaf, frame, z, y, x: the segment of each leaf and frame. Rows are dealt by leaf and sorted inside their tasks."""
-    ids = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"))
-    q = lattice.query_pattern(ids, "random", W, H, 8, T).withColumn("leaf_id", fields.leaf_id(W, H, 8))
-    cell = F.expr(f"(z * {H} + y) * {W} + x")
-    runs = q.repartition("leaf_id", "t").sortWithinPartitions("leaf_id", "t", "z", "y", "x").withColumn("cell", cell)
-    return runs.groupBy("leaf_id", "t").agg(F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"), F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("places"))
+    """Queries in the order leaf, frame, z, y, x: where the segment of each leaf and frame begins and ends in it, and the cells it spans."""
+    ids, depth = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid")), _depth(spark, sf_dir)
+    q = lattice.query_pattern(ids, "random", W, H, depth, T).withColumn("leaf_id", fields.leaf_id(W, H, depth)).withColumn("cell", F.expr(f"(z * {H} + y) * {W} + x"))
+    runs = q.groupBy("leaf_id", "t").agg(F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"), F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("places"))
+    return ranks.running(runs, [F.col("leaf_id"), F.col("t")], F.col("n"), "begins", "ends")
 
 
 @query(f"""WITH {CELLS} SELECT x, y, z, t, v, (x % 6 = 0 AND y % 6 = 0 AND z % 6 = 0 AND t % 6 = 0) AS metric, (x % 4 = 0 AND y % 4 = 0 AND z % 4 = 0 AND t % 4 = 0) AS route FROM cells
@@ -103,32 +110,32 @@ def padded_edge_leaves(spark, sf_dir):
     return filled.groupBy("bx", "by", "bz", "t").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"), F.max("v").alias("high"), F.round(F.sum(F.col("v") * (F.col("voxel") + 1)), 4).alias("weighted"))
 
 
-@query(f"""WITH {CELLS}, p AS (SELECT o_orderkey AS pid, (o_orderkey * 37 % 331) / 10.0::DOUBLE - 0.5 AS px, (o_orderkey * 53 % 317) / 10.0::DOUBLE AS py, (o_orderkey * 11 % 83) / 10.0::DOUBLE - 0.3 AS pz, o_orderkey % 16 AS t FROM orders),
-c AS (SELECT *, least(31.0::DOUBLE, greatest(0.0::DOUBLE, px)) AS ax, least(31.0::DOUBLE, greatest(0.0::DOUBLE, py)) AS ay, least(7.0::DOUBLE, greatest(0.0::DOUBLE, pz)) AS az FROM p),
-f AS (SELECT *, CAST(least(floor(ax), 30) AS BIGINT) AS lx, CAST(least(floor(ay), 30) AS BIGINT) AS ly, CAST(least(floor(az), 6) AS BIGINT) AS lz, unnest(range(8)) AS k FROM c),
+@query(f"""WITH {CELLS}, p AS (SELECT o_orderkey AS pid, (o_orderkey * 37 % 331) / 10.0::DOUBLE - 0.5 AS px, (o_orderkey * 53 % 317) / 10.0::DOUBLE AS py, (o_orderkey * 11 % 83) / 10.0::DOUBLE - 0.3 + 8 * (o_orderkey // 8192) AS pz, o_orderkey % 16 AS t FROM orders),
+c AS (SELECT *, least(31.0::DOUBLE, greatest(0.0::DOUBLE, px)) AS ax, least(31.0::DOUBLE, greatest(0.0::DOUBLE, py)) AS ay, least(CAST({_DEPTH} - 1 AS DOUBLE), greatest(0.0::DOUBLE, pz)) AS az FROM p),
+f AS (SELECT *, CAST(least(floor(ax), 30) AS BIGINT) AS lx, CAST(least(floor(ay), 30) AS BIGINT) AS ly, CAST(least(floor(az), {_DEPTH} - 2) AS BIGINT) AS lz, unnest(range(8)) AS k FROM c),
 e AS (SELECT *, lx + k % 2 AS x, ly + k // 2 % 2 AS y, lz + k // 4 AS z, (CASE WHEN k % 2 = 1 THEN ax - lx ELSE 1 - (ax - lx) END) * (CASE WHEN k // 2 % 2 = 1 THEN ay - ly ELSE 1 - (ay - ly) END) * (CASE WHEN k // 4 = 1 THEN az - lz ELSE 1 - (az - lz) END) AS w FROM f)
 SELECT pid, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz, t, round(sum(w * coalesce(v, 0.0)), 6) AS v FROM e LEFT JOIN cells USING (x, y, z, t) GROUP BY ALL""")
 def dense_samples(spark, sf_dir):
     """Points between cells, some outside the volume, by trilinear interpolation with clamped edges."""
     e = F.expr
-    p = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), e("(o_orderkey * 37 % 331) / 10.0D - 0.5D").alias("px"), e("(o_orderkey * 53 % 317) / 10.0D").alias("py"), e("(o_orderkey * 11 % 83) / 10.0D - 0.3D").alias("pz"), e("o_orderkey % 16").alias("t"))
-    sampled = lattice.between_cells(p, fields.field_cells(_table(spark, sf_dir, "lineitem")), W, H, 8)
+    p = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), e("(o_orderkey * 37 % 331) / 10.0D - 0.5D").alias("px"), e("(o_orderkey * 53 % 317) / 10.0D").alias("py"), e("(o_orderkey * 11 % 83) / 10.0D - 0.3D + 8 * (o_orderkey div 8192)").alias("pz"), e("o_orderkey % 16").alias("t"))
+    sampled = lattice.between_cells(p, fields.field_cells(_table(spark, sf_dir, "lineitem")), W, H, _depth(spark, sf_dir))
     return sampled.select("pid", _r("px"), _r("py"), _r("pz"), "t", _r("v"))
 
 
-@query(f"""WITH {CELLS}, leaves AS (SELECT DISTINCT leaf_id % 4 AS bx, leaf_id // 4 % 4 AS by_, t FROM leafed WHERE leaf_id < 16), g AS (SELECT bx, by_, t, i, j, k, bx * 8 + i * 7 / 3.0::DOUBLE AS ax, by_ * 8 + j * 7 / 3.0::DOUBLE AS ay, k * 7 / 3.0::DOUBLE AS az FROM leaves, range(4) a(i), range(4) b(j), range(4) c(k)),
-f AS (SELECT *, CAST(least(floor(ax), 30) AS BIGINT) AS lx, CAST(least(floor(ay), 30) AS BIGINT) AS ly, CAST(least(floor(az), 6) AS BIGINT) AS lz, unnest(range(8)) AS q FROM g),
+@query(f"""WITH {CELLS}, leaves AS (SELECT DISTINCT leaf_id % 4 AS bx, leaf_id // 4 % 4 AS by_, leaf_id // 16 AS bz, t FROM leafed), g AS (SELECT bx, by_, bz, t, i, j, k, bx * 8 + i * 7 / 3.0::DOUBLE AS ax, by_ * 8 + j * 7 / 3.0::DOUBLE AS ay, bz * 8 + k * 7 / 3.0::DOUBLE AS az FROM leaves, range(4) a(i), range(4) b(j), range(4) c(k)),
+f AS (SELECT *, CAST(least(floor(ax), 30) AS BIGINT) AS lx, CAST(least(floor(ay), 30) AS BIGINT) AS ly, CAST(least(floor(az), {_DEPTH} - 2) AS BIGINT) AS lz, unnest(range(8)) AS q FROM g),
 e AS (SELECT *, lx + q % 2 AS x, ly + q // 2 % 2 AS y, lz + q // 4 AS z, (CASE WHEN q % 2 = 1 THEN ax - lx ELSE 1 - (ax - lx) END) * (CASE WHEN q // 2 % 2 = 1 THEN ay - ly ELSE 1 - (ay - ly) END) * (CASE WHEN q // 4 = 1 THEN az - lz ELSE 1 - (az - lz) END) AS w FROM f)
-SELECT by_ * 4 + bx AS leaf_id, t, CAST((k * 4 + j) * 4 + i AS BIGINT) AS control, round(sum(w * coalesce(v, 0.0)), 6) AS v FROM e LEFT JOIN cells USING (x, y, z, t) GROUP BY 1, 2, 3""")
+SELECT (bz * 4 + by_) * 4 + bx AS leaf_id, t, CAST((k * 4 + j) * 4 + i AS BIGINT) AS control, round(sum(w * coalesce(v, 0.0)), 6) AS v FROM e LEFT JOIN cells USING (x, y, z, t) GROUP BY 1, 2, 3""")
 def sampled_control_grids(spark, sf_dir):
-    """Control grids of 4 x 4 x 4 points of every leaf of the first slab, sampled at the control points instead of fitted."""
+    """Control grids of 4 x 4 x 4 points of every leaf, sampled at the control points instead of fitted."""
     cells = fields.field_cells(_table(spark, sf_dir, "lineitem"))
-    leaves = _cells(spark, sf_dir).where("leaf_id < 16").select("leaf_id", "t").distinct()
+    leaves = _cells(spark, sf_dir).select("leaf_id", "t").distinct()
     grid = leaves.withColumn("control", F.explode(F.expr("sequence(0L, 63L)")))
     at = lambda block, i: F.col(block) * 8 + F.expr(f"control div {4**i} % 4") * 7 / F.lit(3.0)
-    placed = grid.withColumns({"bx": F.expr("leaf_id % 4"), "by": F.expr("leaf_id div 4 % 4"), "bz": F.lit(0)}).withColumn("pid", F.expr("(leaf_id * 16 + t) * 64 + control"))
+    placed = grid.withColumns({"bx": F.expr("leaf_id % 4"), "by": F.expr("leaf_id div 4 % 4"), "bz": F.expr("leaf_id div 16")}).withColumn("pid", F.expr("(leaf_id * 16 + t) * 64 + control"))
     points = placed.select("pid", "leaf_id", "control", at("bx", 0).alias("px"), at("by", 1).alias("py"), at("bz", 2).alias("pz"), "t")
-    return lattice.between_cells(points, cells, W, H, 8).select("leaf_id", "t", "control", _r("v"))
+    return lattice.between_cells(points, cells, W, H, _depth(spark, sf_dir)).select("leaf_id", "t", "control", _r("v"))
 
 
 @query("""WITH p AS (SELECT o_orderkey AS ray, o_orderkey % 64 AS px, o_orderkey // 64 % 48 AS py, o_custkey % 13 * 0.1::DOUBLE AS yaw, o_custkey % 7 * 0.05::DOUBLE - 0.1 AS pitch, 1.5 + o_custkey % 3 * 0.25::DOUBLE AS distance FROM orders),
@@ -149,11 +156,11 @@ def orbit_rays(spark, sf_dir):
 _BINS = ", ".join(f"round(sum(CASE WHEN bin = {b} THEN v ELSE 0 END), 6) AS bin{b}" for b in range(8))
 
 
-@query(f"""WITH {CELLS}, r AS (SELECT DISTINCT y AS py, z AS pz, t FROM cells WHERE z < 8), s AS (SELECT *, unnest(range(48)) AS i FROM r), a AS (SELECT *, CAST(floor((i + 0.5) * 32 / 48.0) AS BIGINT) AS x, least(i * 8 // 48, 7) AS bin FROM s)
+@query(f"""WITH {CELLS}, r AS (SELECT DISTINCT y AS py, z AS pz, t FROM cells), s AS (SELECT *, unnest(range(48)) AS i FROM r), a AS (SELECT *, CAST(floor((i + 0.5) * 32 / 48.0) AS BIGINT) AS x, least(i * 8 // 48, 7) AS bin FROM s)
 SELECT py, pz, a.t, count(*) AS steps, round(sum(coalesce(v, 0.0)) * 32 / 48, 6) AS integral, {_BINS.replace('v ELSE', 'coalesce(v, 0.0) ELSE')} FROM a LEFT JOIN cells c ON c.x = a.x AND c.y = py AND c.z = pz AND c.t = a.t GROUP BY 1, 2, 3""")
 def depth_bins(spark, sf_dir):
     """Rays along x with 48 midpoint steps: the integral, and the sums of eight depth bins."""
-    cells = fields.field_cells(_table(spark, sf_dir, "lineitem")).where("z < 8")
+    cells = fields.field_cells(_table(spark, sf_dir, "lineitem"))
     steps = cells.select(F.col("y").alias("py"), F.col("z").alias("pz"), "t").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(47))))
     steps = steps.select("py", "pz", "t", F.floor((F.col("i") + 0.5) * W / F.lit(48.0)).alias("x"), F.least(F.expr("i * 8 div 48"), F.lit(7)).alias("bin"))
     hit = steps.join(cells.withColumnRenamed("y", "py").withColumnRenamed("z", "pz"), ["py", "pz", "t", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
