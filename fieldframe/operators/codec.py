@@ -190,3 +190,20 @@ def block_value(code: Column, scale: Column, n_bits: int) -> Column:
     if n_bits <= 2:
         return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), code + 1) * scale
     return (code / float((1 << n_bits) - 1) * 2 - 1) * scale
+
+
+def temporal_bases(residuals: DataFrame, frames: int, keep: int, n_bits: int) -> DataFrame:
+    """residuals (leaf_id, voxel, t, r) with decoded, an array: the residual from the first 1, 2, ... keep cosine coefficients of its voxel's series.
+
+    Absent frames count as 0. All of a leaf's coefficients of one basis share a scale, their
+    largest, and n_bits each. Coefficients are aggregates by voxel that are joined back.
+    """
+    series = residuals.select((F.col("leaf_id") * 512 + F.col("voxel")).alias("series"), "leaf_id", "t", "r")
+    c = dct(series, "series", "r", frames, keep).withColumn("leaf_id", F.expr("series div 512"))
+    scales = c.groupBy("leaf_id", "k").agg(F.max(F.abs("c")).alias("scale"))
+    coded = c.join(scales, ["leaf_id", "k"]).select("series", "k", block_value(block_code(F.col("c"), F.col("scale"), n_bits), F.col("scale"), n_bits).alias("q"))
+    arrays = coded.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("k", "q"))).alias("q"))
+    met = residuals.withColumn("series", F.col("leaf_id") * 512 + F.col("voxel")).join(arrays, "series")
+    terms = F.transform("q", lambda s: s["q"] * F.when(s["k"] == 0, F.sqrt(F.lit(1.0 / frames))).otherwise(F.sqrt(F.lit(2.0 / frames)) * F.cos(F.pi() / frames * (F.col("t") + 0.5) * s["k"])))
+    met = met.withColumn("terms", terms)
+    return met.withColumn("decoded", F.expr("transform(sequence(1, size(terms)), n -> aggregate(slice(terms, 1, n), 0D, (s, x) -> s + x))")).drop("series", "q", "terms")

@@ -79,6 +79,44 @@ def control_fit(cells: DataFrame, r: int) -> DataFrame:
     return fits.select("leaf_id", "t", F.posexplode(F.array(*[f"c{i}" for i in range(r**3)])).alias("control", "c"))
 
 
+PATCH = 4
+
+
+def patch_weights() -> np.ndarray:
+    """(8, 64) weights that fit two controls an axis to a patch of 4 x 4 x 4 voxels by least squares; a product over the axes."""
+    at = np.arange(PATCH) / (PATCH - 1)
+    one = np.linalg.pinv(np.stack([1 - at, at], axis=1))
+    return np.kron(np.kron(one, one), one)
+
+
+def with_patches(cells: DataFrame) -> DataFrame:
+    """cells (leaf_id, voxel, ...) with the patch of 4 x 4 x 4 voxels that each lies in, of eight, and its place inside."""
+    e = F.expr
+    out = cells.withColumns({"ax": e("voxel % 8"), "ay": e("voxel div 8 % 8"), "az": e("voxel div 64")})
+    out = out.withColumns({"patch": e("(az div 4 * 2 + ay div 4) * 2 + ax div 4"), "inside": e("(az % 4 * 4 + ay % 4) * 4 + ax % 4")})
+    return out.drop("ax", "ay", "az")
+
+
+def patch_fit(cells: DataFrame) -> DataFrame:
+    """(leaf_id, t, patch, controls): least-squares grids of 2 x 2 x 2 controls for each patch of cells (leaf_id, t, voxel, v), absent cells counting as 0.
+
+    The weights are 64 rows, broadcast; the sums are partial before the shuffle.
+    """
+    w = patch_weights()
+    rows = cells.sparkSession.createDataFrame([(i, [float(x) for x in w[:, i]]) for i in range(PATCH**3)], "inside long, weights array<double>")
+    sums = F.array(*[F.sum(F.col("v") * F.get("weights", F.lit(c))) for c in range(8)]).alias("controls")
+    return with_patches(cells).join(F.broadcast(rows), "inside").groupBy("leaf_id", "t", "patch").agg(sums)
+
+
+def patch_residuals(cells: DataFrame) -> DataFrame:
+    """cells (leaf_id, t, voxel, v) with patch, fitted, the value of its patch's controls there, and passed_on, what is left for the next stage."""
+    at = {a: F.expr(f"inside div {d} % 4 / 3D") for a, d in (("px", 1), ("py", 4), ("pz", 16))}
+    weight = lambda c: " * ".join(f"p{a}" if c >> i & 1 else f"(1 - p{a})" for i, a in enumerate("xyz"))
+    met = with_patches(cells).join(patch_fit(cells), ["leaf_id", "t", "patch"]).withColumns(at)
+    fitted = F.expr(" + ".join(f"get(controls, {c}) * {weight(c)}" for c in range(8)))
+    return met.withColumn("fitted", fitted).withColumn("passed_on", F.col("v") - F.col("fitted")).drop("px", "py", "pz", "controls", "inside")
+
+
 def cosine_energies(cells: DataFrame) -> DataFrame:
     """Energy of each leaf's frame by 3-D cosine coefficient: (leaf_id, t, total, dc, low, high).
 
