@@ -65,7 +65,7 @@ def calibrated(cells: DataFrame, settings: list[Setting], span: float) -> DataFr
     table = _table(spark, settings)
     kinds = {k: i for i, k in enumerate(dict.fromkeys((s.eps_abs, s.eps_rel, s.gamma) for s in settings))}
     each_kind = F.array(*[F.struct(F.lit(i).alias("tolerance"), *[F.lit(float(x)).alias(c) for c, x in zip(("eps_abs", "eps_rel", "gamma"), k, strict=True)]) for k, i in kinds.items()])
-    met = cells.select("leaf_id", "v", F.expr("v - p").alias("r"), "delta", F.explode(each_kind).alias("s")).select("leaf_id", "v", "r", "delta", "s.*")
+    met = cells.select("leaf_id", "v", F.round(F.expr("v - p"), 9).alias("r"), "delta", F.explode(each_kind).alias("s")).select("leaf_id", "v", "r", "delta", "s.*")
     met = met.withColumn("e", F.greatest(F.lit(LEAST_ABS), F.expr("(eps_abs + eps_rel * abs(v)) / (1 + gamma * delta)"))).withColumn("event", F.expr("abs(r) > e"))
     coded = F.expr("if(event, abs(r - sign(r) * floor(abs(r) / (2 * e) + 0.5) * 2 * e), abs(r))")
     two = F.explode(F.array(F.struct(F.lit("plain").alias("kind"), F.abs("r").alias("err"), F.lit(0).alias("events")), F.struct(F.lit("coded").alias("kind"), coded.alias("err"), F.col("event").cast("int").alias("events"))))

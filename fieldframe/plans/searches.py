@@ -19,7 +19,7 @@ FROM (SELECT unnest({list(search.ABS_FACTORS)}) AS a, unnest(range(5)) AS i), (S
     return f"""SELECT 0 AS place, {NOW.eps_abs} AS eps_abs, {NOW.eps_rel} AS eps_rel, {NOW.gamma} AS gamma, {NOW.cluster} AS cluster UNION ALL SELECT 1, {SPAN} * 6 / 255, {NOW.eps_rel}, {NOW.gamma}, 8.0 / 6 UNION ALL {grid}"""
 
 
-@query(f"""WITH {CELLS}, c AS (SELECT leaf_id, t, v, v - p AS r, coalesce(abs(v - lag(v) OVER (PARTITION BY leaf_id, voxel ORDER BY t)), 0) AS delta FROM paired), settings AS ({_settings_sql()}),
+@query(f"""WITH {CELLS}, c AS (SELECT leaf_id, t, v, round(v - p, 9) AS r, coalesce(abs(v - lag(v) OVER (PARTITION BY leaf_id, voxel ORDER BY t)), 0) AS delta FROM paired), settings AS ({_settings_sql()}),
 m AS (SELECT place, leaf_id, t, abs(r) AS a, greatest(1e-6, (eps_abs + eps_rel * abs(v)) / (1 + gamma * delta)) AS e, cluster FROM c, settings),
 f AS (SELECT *, max(a / e) OVER (PARTITION BY place, leaf_id) <= cluster AS uniform FROM m), g AS (SELECT *, CASE WHEN uniform OR a <= e THEN a ELSE abs(a - floor(a / (2 * e) + 0.5) * 2 * e) END AS err, NOT uniform AND a > e AS event FROM f),
 h AS (SELECT place, sum(4 + 2 * frames) AS head, count(*) FILTER (uniform) AS uniform FROM (SELECT place, leaf_id, count(DISTINCT t) AS frames, bool_and(uniform) AS uniform FROM f GROUP BY 1, 2) GROUP BY 1),
@@ -44,7 +44,7 @@ def calibration_search(spark, sf_dir):
     return ranked.select("place", _r("eps_abs"), "eps_rel", "gamma", _r("cluster"), "bytes", "events", "uniform", *[_r(c) for c in ("mean", "rmse", "max", "p99", "psnr")], "rank", "balanced", "targeted")
 
 
-POLICY = f"""{CELLS}, e AS (SELECT leaf_id, abs(v - p) AS a FROM paired), l AS (SELECT leaf_id, count(*) AS n, sum(a * a) AS sse_plain, sum(CASE WHEN a > 4 THEN (a - floor(a / 8 + 0.5) * 8) ** 2 ELSE a * a END) AS sse_coded, 4 + 3 * count(*) FILTER (a > 4) AS bytes, round(max(a), 6) AS worst FROM e GROUP BY 1),
+POLICY = f"""{CELLS}, e AS (SELECT leaf_id, abs(round(v - p, 9)) AS a FROM paired), l AS (SELECT leaf_id, count(*) AS n, sum(a * a) AS sse_plain, sum(CASE WHEN a > 4 THEN (a - floor(a / 8 + 0.5) * 8) ** 2 ELSE a * a END) AS sse_coded, 4 + 3 * count(*) FILTER (a > 4) AS bytes, round(max(a), 6) AS worst FROM e GROUP BY 1),
 leaves AS (SELECT *, row_number() OVER (ORDER BY worst DESC, leaf_id) AS place, count(*) OVER () AS total FROM l)"""
 
 
@@ -57,7 +57,7 @@ tried AS (SELECT DISTINCT round, unnest([greatest(0, k - step), k, least(total,
 SELECT CAST(tried.round AS INT) AS round, tried.k, tried.step, bytes, round(psnr, 6) AS psnr, tried.k = (SELECT n.k FROM r n WHERE n.round = tried.round + 1) AS chosen FROM tried JOIN known USING (k)""")
 def policy_search(spark, sf_dir):
     """How many of the worst leaves get residuals: rounds of a search for 30 dB at the fewest bytes."""
-    a = F.abs(F.expr("v - p"))
+    a = F.abs(F.round(F.expr("v - p"), 9))
     coded = F.expr("if(a > 4, pow(a - floor(a / 8 + 0.5) * 8, 2), a * a)")
     leaves = _paired(spark, sf_dir).select("leaf_id", a.alias("a")).groupBy("leaf_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.expr("a * a")).alias("sse_plain"), F.sum(coded).alias("sse_coded"), (4 + 3 * F.count_if(F.col("a") > 4)).alias("bytes"), F.round(F.max("a"), 6).alias("worst")
