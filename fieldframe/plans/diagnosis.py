@@ -78,7 +78,7 @@ def leaf_budgets(spark, sf_dir):
     all_ = own.join(at(d, "d", 9, 10, "d90"), "leaf_id", "left").join(at(d, "d", 99, 100, "d99"), "leaf_id", "left").join(at(frames, "w", 9, 10, "f90"), "leaf_id")
     norm = lambda c: F.coalesce(F.col(c) / F.col("range"), F.lit(0.0))
     b = all_.select("leaf_id", "range", norm("te").alias("temporal"), norm("d90").alias("p90"), norm("d99").alias("p99"), norm("f90").alias("frame_span"))
-    threshold = tails.budget_threshold(2.0, F.col("temporal") / 8, F.col("p90"), F.col("p99"), F.col("frame_span"))
+    threshold = tails.budget_threshold(2.0, F.col("temporal") / 8, p90=F.col("p90"), p99=F.col("p99"), span=F.col("frame_span"))
     return b.select("leaf_id", _r("range", "`range`"), _r("temporal"), _r("p90"), _r("p99"), _r("frame_span"), F.round(threshold, 6).alias("threshold"))
 
 
@@ -215,7 +215,7 @@ def length_thresholds(spark, sf_dir):
     k = cents.groupBy(F.expr("user_id % 8").alias("leaf"), "user_id").agg((F.count_if(F.col("cents") > 15000) + 2).alias("n"))
     p90 = metrics.floor_percentile(k, "leaf", "n", 9, 10).withColumnRenamed("percentile", "p90")
     m = k.groupBy("leaf").agg(F.avg("n").alias("mean")).join(p90, "leaf")
-    return m.select("leaf", _r("mean"), "p90", F.round(tails.length_threshold(2.0, F.col("mean"), F.col("p90")), 6).alias("threshold"))
+    return m.select("leaf", _r("mean"), "p90", F.round(tails.length_threshold(2.0, mean=F.col("mean"), p90=F.col("p90")), 6).alias("threshold"))
 
 
 @query(f"""WITH {CELLS}, s AS (SELECT user_id, day(ts) - 1 AS t, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS v FROM events GROUP BY 1, 2), c AS (SELECT user_id, k, sum(v * (CASE WHEN k = 0 THEN sqrt(1 / 30.0) ELSE sqrt(2 / 30.0) END) * cos(pi() / 30 * (t + 0.5) * k)) AS c FROM s, range(24) r(k) GROUP BY 1, 2),
