@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fields, payload, render
+from ..operators import fields, payload, rays, render
 from ..sources.shared import written
 from .catalog import CELLS, T, _cells, _r, _table, query
 
@@ -105,3 +105,25 @@ def render_leaf_frames(spark, sf_dir):
     frames = _cells(spark, sf_dir).where("t = leaf_id % 16").select("leaf_id", "t").distinct()
     cells = render.decoded_leaves(asset, frames, (32, 32, fields.DEEPEST))
     return cells.groupBy("leaf_id", "t").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("value"), 5).alias("total"), F.round(F.max("value"), 6).alias("high"))
+
+
+MARCH = rays.March(level=20.0, longest_step=4.0)
+
+
+@query(None)
+def oblique_hits(spark, sf_dir):
+    """A ray a customer through the volume at any angle: hit, normal, thickness, and whether the hit lies in shadow. Steps follow what was sampled, so SQL has no form for it."""
+    e = F.expr
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("ray"))
+    deepest = _table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    depth = 8 * ((deepest or 0) // fields.SLAB + 1)
+    angle = c.withColumns({"t": e("ray % 16"), "turn": e("ray * 0.61803398875D * 2 * pi()"), "rise": e("(ray % 19 - 9) / 10D")})
+    way = {"dx": e("cos(turn) * sqrt(1 - rise * rise)"), "dy": e("sin(turn) * sqrt(1 - rise * rise)"), "dz": F.col("rise")}
+    cast = angle.withColumns({"ox": e("cast(ray % 32 as double)"), "oy": e("cast(ray * 7 % 32 as double)"), "oz": e(f"cast(ray * 5 % {depth} as double)"), "length": F.lit(24.0)} | way)
+    cast = cast.select("ray", "t", "ox", "oy", "oz", "dx", "dy", "dz", "length")
+    cells = written(fields.field_cells(_table(spark, sf_dir, "lineitem")), "cells")
+    hits = written(rays.surface_hits(cast, cells, MARCH), "hits")
+    light = {"x": 0.48, "y": 0.6, "z": 0.64}
+    off = cast.drop("length").join(hits.where("hit is not null"), "ray").select("ray", "t", *[(F.col(f"o{a}") + F.col("hit") * F.col(f"d{a}") + F.col(f"n{a}")).alias(f"o{a}") for a in "xyz"], *[F.lit(v).alias(f"d{a}") for a, v in light.items()], F.lit(16.0).alias("length"))
+    dark = rays.shadowed(off, cells, MARCH)
+    return hits.join(dark, "ray", "left").select("ray", *[_r(x) for x in ("hit", "nx", "ny", "nz", "facing", "thickness")], "shadow")
