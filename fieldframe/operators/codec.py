@@ -207,3 +207,31 @@ def temporal_bases(residuals: DataFrame, frames: int, keep: int, n_bits: int) ->
     terms = F.transform("q", lambda s: s["q"] * F.when(s["k"] == 0, F.sqrt(F.lit(1.0 / frames))).otherwise(F.sqrt(F.lit(2.0 / frames)) * F.cos(F.pi() / frames * (F.col("t") + 0.5) * s["k"])))
     met = met.withColumn("terms", terms)
     return met.withColumn("decoded", F.expr("transform(sequence(1, size(terms)), n -> aggregate(slice(terms, 1, n), 0D, (s, x) -> s + x))")).drop("series", "q", "terms")
+
+
+#: Bytes of a dense region's head: where it lies or which parts it has, and its frames.
+REGION_HEAD = 8
+
+
+def crossovers(events: DataFrame, n_bits: int, tile: int = 2) -> DataFrame:
+    """Per leaf of events (leaf_id, voxel, t) the smallest of four layouts: leaf_id, n, box corners x0..t1, patches and tiles as masks and counts, bytes of each, layout.
+
+    Events are stored sparsely, or all values of a dense region that covers them: their
+    bounding box in space and time, the patches of 4 x 4 x 4 voxels, or the tiles of tile voxels
+    an axis that have one, over the frames from the first to the last. A later layout wins only if it is
+    smaller. Masks of tiles are two words of 32.
+    """
+    e = F.expr
+    rows = events.withColumns({"x": e("voxel % 8"), "y": e("voxel div 8 % 8"), "z": e("voxel div 64")})
+    side = 8 // tile
+    rows = rows.withColumns({"patch": e("(z div 4 * 2 + y div 4) * 2 + x div 4"), "tile": e(f"(z div {tile} * {side} + y div {tile}) * {side} + x div {tile}")})
+    ends = [f(F.col(a)).cast("int").alias(f"{a}{i}") for a in "xyzt" for i, f in enumerate((F.min, F.max))]
+    word = lambda i: F.coalesce(F.bit_or(F.when(e(f"tile div 32 = {i}"), e("shiftleft(1L, cast(tile % 32 as int))"))), F.lit(0).cast("long"))
+    held = rows.groupBy("leaf_id").agg(F.count(F.lit(1)).alias("n"), *ends, F.bit_or(e("shiftleft(1, cast(patch as int))")).alias("patch_mask"), word(0).alias("tiles_low"), word(1).alias("tiles_high"))
+    held = held.withColumns({"patches": e("bit_count(patch_mask)"), "tiles": e("bit_count(tiles_low) + bit_count(tiles_high)")})
+    frames = e("t1 - t0 + 1")
+    region = lambda values: (REGION_HEAD + dense_bytes(frames, n_bits, values)).cast("long")
+    sizes = {"sparse": sparse_bytes(e(C.tier("n"))).cast("long"), "box": region(e("(x1 - x0 + 1) * (y1 - y0 + 1) * (z1 - z0 + 1)")), "patch": region(F.col("patches") * 64), "tile": region(F.col("tiles") * tile**3)}
+    held = held.withColumns({f"{name}_bytes": size for name, size in sizes.items()})
+    first = F.array_min(F.array(*[F.struct(F.col(f"{name}_bytes").alias("bytes"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, name in enumerate(sizes)]))
+    return held.withColumn("layout", first["name"]).withColumn("bytes", first["bytes"])

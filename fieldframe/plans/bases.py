@@ -76,3 +76,19 @@ SELECT kept.user_id, lineage, CAST(kept.i AS INT) AS place, d.t, d.v FROM kept J
 def keyframe_lineages(spark, sf_dir):
     """Keyframes of every series by bands around a surface, by relative tolerances with protected cutoffs, and by centred ones, side by side."""
     return lineages.lineages(_series(spark, sf_dir), "user_id", "cents", "1 + t % 3", RULES)
+
+
+_DENSE = "CAST(8 + (t1 - t0 + 1) * (2 + ({values} * 3 + 7) // 8) AS BIGINT)"
+
+
+@query(f"""WITH {RESID}, e AS (SELECT leaf_id, t, voxel % 8 AS x, voxel // 8 % 8 AS y, voxel // 64 AS z FROM resid WHERE abs(r) / 50 >= 0.45),
+b AS (SELECT leaf_id, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, min(t) AS t0, max(t) AS t1, count(DISTINCT (x // 4, y // 4, z // 4)) AS patches, count(DISTINCT (x // 2, y // 2, z // 2)) AS tiles FROM e GROUP BY 1),
+s AS (SELECT *, CASE WHEN n <= 64 THEN 64 WHEN n <= 256 THEN 256 WHEN n <= 768 THEN 768 ELSE 1024 END AS tier FROM b),
+c AS (SELECT *, CAST(100 + tier * 2 + (tier + 1) // 2 AS BIGINT) AS sparse_bytes, {_DENSE.format(values='(x1 - x0 + 1) * (y1 - y0 + 1) * (z1 - z0 + 1)')} AS box_bytes, {_DENSE.format(values='patches * 64')} AS patch_bytes, {_DENSE.format(values='tiles * 8')} AS tile_bytes FROM s)
+SELECT leaf_id, n, CAST((x1 - x0 + 1) * (y1 - y0 + 1) * (z1 - z0 + 1) AS INT) AS box_cells, CAST(t0 AS INT) AS t0, CAST(t1 AS INT) AS t1, CAST(patches AS INT) AS patches, CAST(tiles AS INT) AS tiles, sparse_bytes, box_bytes, patch_bytes, tile_bytes,
+CASE least(sparse_bytes, box_bytes, patch_bytes, tile_bytes) WHEN sparse_bytes THEN 'sparse' WHEN box_bytes THEN 'box' WHEN patch_bytes THEN 'patch' ELSE 'tile' END AS layout FROM c""")
+def byte_crossovers(spark, sf_dir):
+    """For each leaf's large residuals what events, a bounding box, patches and tiles would take, and the smallest."""
+    events = _residuals(spark, sf_dir).where("abs(r) / norm >= 0.45").select("leaf_id", "voxel", "t")
+    c = codec.crossovers(events, 3)
+    return c.select("leaf_id", "n", F.expr("(x1 - x0 + 1) * (y1 - y0 + 1) * (z1 - z0 + 1)").alias("box_cells"), "t0", "t1", *[F.col(x).cast("int").alias(x) for x in ("patches", "tiles")], "sparse_bytes", "box_bytes", "patch_bytes", "tile_bytes", "layout")

@@ -102,3 +102,24 @@ def test_lineages_by_recursion(rule, deepest):
     line = np.linspace(0, 30, 12)
     assert lineages.key_frames(line, rule, np.ones(12)) == [0, 11] and lineages.key_frames(np.full(5, 3.0), rule, np.ones(5)) == [0]
     assert lineages.key_frames(np.zeros(0), rule, np.zeros(0)) == []
+
+
+def test_regions_cover_all_events(spark):
+    draw = np.random.default_rng(4)
+    spots = {1: [(3, 2)], 2: [(int(v), int(t)) for v, t in zip(draw.integers(0, 512, 90), draw.integers(4, 9, 90), strict=True)], 3: [(x + 8 * y + 64 * z, t) for x in (2, 3) for y in (4, 5, 6) for z in (0, 1) for t in range(16)], 4: [(v, t) for v in (0, 511) for t in range(16)] * 9}
+    spots[5] = [(int(v), int(t)) for v, t in zip(draw.integers(0, 512, 60), draw.integers(0, 16, 60), strict=True)]
+    rows = [(leaf, v, t) for leaf, some in spots.items() for v, t in some]
+    got = {r.leaf_id: r for r in codec.crossovers(spark.createDataFrame(rows, "leaf_id long, voxel long, t long"), 3).collect()}
+    for leaf, some in spots.items():
+        r = got[leaf]
+        x, y, z, t = ([f(v, t) for v, t in some] for f in (lambda v, t: v % 8, lambda v, t: v // 8 % 8, lambda v, t: v // 64, lambda v, t: t))
+        assert [(r[f"{a}0"], r[f"{a}1"]) for a in "xyzt"] == [(min(c), max(c)) for c in (x, y, z, t)] and r.n == len(some)
+        patches = {(c // 4 * 2 + b // 4) * 2 + a // 4 for a, b, c in zip(x, y, z, strict=True)}
+        tiles = {(c // 2 * 4 + b // 2) * 4 + a // 2 for a, b, c in zip(x, y, z, strict=True)}
+        assert r.patch_mask == sum(1 << p for p in patches) and r.tiles_low + (r.tiles_high << 32) == sum(1 << p for p in tiles)
+        dense = lambda values: 8 + (max(t) - min(t) + 1) * (2 + (values * 3 + 7) // 8)  # noqa: B023, E731
+        box = (max(x) - min(x) + 1) * (max(y) - min(y) + 1) * (max(z) - min(z) + 1)
+        sizes = {"sparse": r.sparse_bytes, "box": dense(box), "patch": dense(64 * len(patches)), "tile": dense(8 * len(tiles))}
+        assert (r.box_bytes, r.patch_bytes, r.tile_bytes) == (sizes["box"], sizes["patch"], sizes["tile"])
+        assert r.layout == min(sizes, key=sizes.get) and r.bytes == min(sizes.values())
+    assert {r.layout for r in got.values()} == {"box", "sparse", "tile"}
