@@ -10,11 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Groups a shard's rows are numbered in; a group is a task's unit of work, 16 * 1024 groups hold 3e10 rows at 2e6 rows each.
+from ..operators.ranks import running
+from . import common
+
+#: Groups of hashed keys that a shard's rows are ordered by first.
 NUMBERING_GROUPS = 1024
+#: Equal rows that one task unrolls at a time.
+UNROLLED = 100_000
 
 
 def uniform(key: Column, shard: int) -> Column:
@@ -38,9 +43,10 @@ def sharded(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16) -> DataFram
     of none, 0). shard is the rendezvous choice among the weights, grown_shard the choice
     with one more shard of weight 1. slot numbers a shard's rows from 0 without gaps,
     by group of hashed keys and then doc_id, size and text_crc32; equal rows differ by
-    their slots only. Rows are numbered within 1024 groups a shard and shifted by the
-    groups before, so no task holds a shard. A null doc_id is a key of its own. Other
-    columns are ignored; an empty table gives no rows.
+    their slots only. Equal rows are counted before they are shuffled and unrolled again
+    in stretches; the distinct ones go to tasks by ranges of that order, each shifted by
+    the ranges before, so no task holds a shard, or the rows of one frequent doc_id. A null
+    doc_id is a key of its own. Other columns are ignored; an empty table gives no rows.
     """
     key = F.col("doc_id")
     group = F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit("null"))), F.lit(NUMBERING_GROUPS)).cast("int")
@@ -52,10 +58,15 @@ def sharded(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16) -> DataFram
         rendezvous(key, [*weights, 1.0]).alias("grown_shard"),
         group.alias("group"),
     )
-    held = docs.select(rendezvous(key, weights).alias("shard"), group.alias("group")).groupBy("shard", "group").agg(F.count(F.lit(1)).alias("held"))
-    before = Window.partitionBy("shard").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    base = held.select("shard", "group", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("shard", "group").orderBy("doc_id", "size", "text_crc32")) - 1
-    # base has len(weights) * NUMBERING_GROUPS rows at most, whatever the data
-    numbered = placed.withColumn("inside", inside).join(F.broadcast(base), ["shard", "group"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("inside")).alias("slot"), "grown_shard")
+    order = ["shard", "group", "doc_id", "size", "text_crc32"]
+    counted = placed.groupBy(*order, "grown_shard").agg(F.count(F.lit(1)).alias("held"))
+    laid = common.written(running(counted, [F.col(c) for c in order], F.col("held"), "begin", "end"), "laid")
+    # one row a shard
+    first = laid.groupBy("shard").agg(F.min("begin").alias("first"))
+    laid = laid.join(F.broadcast(first), "shard").withColumn("begin", F.col("begin") - F.col("first")).drop("first", "end", "group")
+    few = laid.where(F.col("held") <= UNROLLED).withColumn("at", F.col("begin"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("held") - 1) / UNROLLED)))
+    many = laid.where(F.col("held") > UNROLLED).withColumn("part", parts).repartition("shard", "doc_id", "begin", "part")
+    many = many.withColumn("at", F.col("begin") + F.col("part") * UNROLLED).withColumn("held", F.least(F.lit(UNROLLED), F.col("held") - F.col("part") * UNROLLED)).drop("part")
+    each = few.unionByName(many).withColumn("slot", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("held") - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
