@@ -1,7 +1,8 @@
 """Operator 6, benchmark decontamination by template windows, in DataFrame functions only.
 
-Texts become templates: numbers, units behind numbers and names inside sentences turn
-into typed placeholders, everything else into lower-case words. Windows of 8 template
+Texts become templates: numbers, units behind numbers and names turn into typed
+placeholders, everything else into lower-case words. With sentence_names a capitalised
+word that opens a sentence is a name too, if the benchmark never has it in lower case. Windows of 8 template
 words are hash-joined with those of the benchmark; those of the benchmark with too few
 words that are no placeholders are joined on their words as they stand, in lower case. A matched window says which value of
 the document stands where the item has which; a question with other values put in is
@@ -30,45 +31,90 @@ BROADCAST_WINDOWS = 500_000
 #: Parts that a window's items are met in where they are joined by a shuffle.
 PARTS = 16
 
-# Units of measure and currency signs that may follow a number.
-UNITS = (
-    "mm cm km kg mg ml kb mb gb tb hz khz mhz ghz kw kwh mph kmh lb lbs oz ft inch inches foot feet yard yards mile miles "
-    "meter meters metre metres gram grams liter liters litre litres second seconds minute minutes hour hours day days week weeks "
-    "month months year years dollar dollars euro euros cent cents percent degree degrees"
+# Units of measure and currencies that may follow a number, as alternatives of an expression without regard to case.
+UNITS = [
+    "(?:kilo|hecto|deca|deci|centi|milli|micro|nano|mega|giga|tera)?(?:meter|metre|gram|liter|litre|watt|joule|volt|amp|ampere|byte|bit|hertz|calorie|pascal|newton|ohm|tonne)s?",
+    "[kcmn]?[mgl]",
+    "[kmgt]b",
+    "[kmgt]?hz",
+    "[km]wh?",
+    *"mph kmh lb lbs oz ft inch inches foot feet".split(),
+    "(?:yard|mile|acre|hectare|gallon|pint|quart|cup|ounce|pound|ton|knot|degree|dozen)s?",
+    "(?:nano|micro|milli)?seconds?",
+    "(?:minute|hour|day|week|month|year|decade)s?",
+    "(?:dollar|euro|cent|franc|peso|rupee|ruble)s?",
+    *"pence yen yuan percent".split(),
+]
+
+# Words that open sentences and are no names, in whatever case the benchmark has them.
+OPENERS = (
+    "a about after all also although an and any are as assume at because before between both but by calculate can compute consider could describe determine did do does each estimate "
+    "evaluate every explain find first for from give given had has have he her here his how i if in is it its just let list look most my name no not now of on once one or our please "
+    "read say select she should show since so solve some suppose tell that the their then there these they this those though thus to two use was we were what when where whether which "
+    "while who whose why will with without would write yes yet you your"
 ).split()
+#: Bits of the table of words that the benchmark has in lower case (or that open sentences): 32 kB whatever the benchmark. A name whose bit another word has set stays a word.
+WORD_BITS = 18
 
-# Sentinels of one character each, from the private use area.
-NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+# Sentinels of one character each, from the private use area; START stands before a capitalised word that opens a sentence.
+NUMBER, UNIT, NAME, START = "\ue000", "\ue001", "\ue002", "\ue003"
 
 
-def template_words(text: Column) -> tuple[Column, Column]:
+def template_words(text: Column, plain: bytes | None) -> tuple[Column, Column]:
     """Words of a text as they stand, and their template forms, one for one.
 
     A word is a run of letters, digits and marks, also with . , : / or - between two
     digits. A number is a word that starts with a digit; a unit is one of UNITS right
     behind a number; a name is a capitalised word right behind a lower-case word, a
-    comma or another name's word on the same line.
+    comma or another name's word on the same line, or, given the plain words (the bits of
+    _plain_words), one that opens a sentence or line and is none of them in lower case.
     """
-    clean = F.coalesce(F.translate(text, NUMBER + UNIT + NAME, ""), F.lit(""))
+    clean = F.coalesce(F.translate(text, NUMBER + UNIT + NAME + START, ""), F.lit(""))
     # marks in front of names and units survive the split as part of the word
     marked = F.regexp_replace(clean, r"([\p{Ll},] )(?=\p{Lu}\p{Ll})", "$1" + NAME)
+    if plain is not None:
+        marked = F.regexp_replace(marked, r"(^|\n|[.!?:] )(?=\p{Lu}\p{Ll})", "$1" + START)
     marked = F.regexp_replace(marked, rf"(?i)(\d ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\d]))", "$1" + UNIT)
-    word = F.lit(rf"[{NAME}{UNIT}]?(?:\d+(?:[.,:/-]\d+)*|[\p{{L}}\p{{M}}]+)")
-    raw = F.transform(F.regexp_extract_all(marked, word, F.lit(0)), lambda w: F.translate(w, NAME + UNIT, ""))
-    return raw, F.transform(F.regexp_extract_all(F.lower(marked), word, F.lit(0)), _form)
+    word = F.lit(rf"[{NAME}{UNIT}{START}]?(?:\d+(?:[.,:/-]\d+)*|[\p{{L}}\p{{M}}]+)")
+    raw = F.transform(F.regexp_extract_all(marked, word, F.lit(0)), lambda w: F.translate(w, NAME + UNIT + START, ""))
+    return raw, F.transform(F.regexp_extract_all(F.lower(marked), word, F.lit(0)), lambda w: _form(w, plain))
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(1 << WORD_BITS))
 
 
-def _form(word: Column) -> Column:
+def _form(word: Column, plain: bytes | None) -> Column:
     first = F.ascii(word)
-    return F.when(first.between(48, 57), NUMBER).when(first == ord(NAME), NAME).when(first == ord(UNIT), UNIT).otherwise(word)
+    inside = F.when(first.between(48, 57), NUMBER).when(first == ord(NAME), NAME).when(first == ord(UNIT), UNIT)
+    if plain is None:
+        return inside.otherwise(word)
+    bare = word.substr(F.lit(2), F.length(word))
+    slot = _slot(bare)
+    byte = F.conv(F.hex(F.lit(plain).substr(F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(slot, F.lit(8)))), F.lit(2)) == 1
+    return inside.when(first == ord(START), F.when(known, bare).otherwise(NAME)).otherwise(word)
+
+
+def _plain_words(items: DataFrame) -> bytes:
+    """The bits of words that the benchmark has in lower case, and of OPENERS: gathered by byte, 2 ** WORD_BITS / 8 numbers at most."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))
+    rows = items.select(F.explode(words).alias("w")).where(F.col("w") == F.lower("w"))
+    openers = items.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in OPENERS])).alias("w"))
+    slots = rows.unionByName(openers).select(_slot(F.col("w")).alias("slot"))
+    held = slots.groupBy(F.floor(F.col("slot") / 8).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("mask"))
+    bits = bytearray((1 << WORD_BITS) // 8)
+    for r in held.collect():
+        bits[r["byte"]] = r["mask"]
+    return bytes(bits)
 
 
-def _windows(rows: DataFrame, key: str, kinds: list[tuple[int, bool]]) -> DataFrame:
+def _windows(rows: DataFrame, key: str, kinds: list[tuple[int, bool]], plain: bytes | None) -> DataFrame:
     """Rows (key, size, exact, at, h): every window of a text's words for each of some (size, exact), from one split of the text.
 
     h is the hash of the window's template, or with exact that of its words in lower case.
     """
-    raw, form = template_words(F.col("text"))
+    raw, form = template_words(F.col("text"), plain)
     some = {exact for _, exact in kinds}
     split = rows.select(key, *([form.alias("form")] if False in some else []), *([raw.alias("raw")] if True in some else []))
     codes = {False: ("codes", lambda: F.transform("form", lambda w: F.xxhash64(w))), True: ("plain", lambda: F.transform("raw", lambda w: F.xxhash64(F.lower(w))))}
@@ -88,9 +134,9 @@ def _window_at(size: int, codes: str, *more: Column):
     return lambda i: F.struct(*more, i.alias("at"), F.xxhash64(F.slice(F.col(codes), i + 1, F.lit(size))).alias("h"))
 
 
-def _item_windows(items: DataFrame) -> DataFrame:
+def _item_windows(items: DataFrame, plain: bytes | None) -> DataFrame:
     """Rows (item_id, size, exact, at, h, form, raw): the windows of a benchmark's items, of WINDOW words or of all that an item has."""
-    raw, form = template_words(F.col("text"))
+    raw, form = template_words(F.col("text"), plain)
     split = items.select("item_id", form.alias("form"), raw.alias("raw")).withColumn("n", F.size("form"))
     split = split.withColumn("codes", F.transform("form", lambda w: F.xxhash64(w))).withColumn("plain", F.transform("raw", lambda w: F.xxhash64(F.lower(w))))
     size = F.least(F.col("n"), F.lit(WINDOW))
@@ -102,7 +148,7 @@ def _item_windows(items: DataFrame) -> DataFrame:
     return windows.select("item_id", "size", "exact", "at", F.when(F.col("exact"), F.col("x")).otherwise(F.col("t")).alias("h"), "form", "raw")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, sentence_names: bool = False) -> DataFrame:
     """Per document and benchmark item that share template windows: doc_id, item_id, n_windows, item_windows, coverage, n_slots, n_changed, consistent, kind, contaminated.
 
     n_windows counts the item's windows that the document has, of item_windows; coverage
@@ -126,7 +172,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     schema = (
         "doc_id long, item_id long, n_windows long, item_windows long, coverage double, n_slots long, n_changed long, consistent boolean, kind string, contaminated boolean"
     )
-    of_items = _item_windows(items)
+    plain = _plain_words(items) if sentence_names else None
+    of_items = _item_windows(items, plain)
     template_at = lambda c: F.countDistinct(F.when(~F.col("exact"), F.col(c)))
     item_windows = of_items.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"), template_at("at").alias("item_templates"))
     known = of_items.select("item_id", "size", "exact", F.col("at").alias("item_at"), "h", F.col("form").alias("item_form"), F.col("raw").alias("item_raw"))
@@ -136,13 +183,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     kinds = sorted((r["size"], r["exact"]) for r in keys.select("exact", "size").distinct().collect())
     if not kinds:
         return docs.sparkSession.createDataFrame([], schema)
-    windows = _windows(rows, "doc_id", kinds)
+    windows = _windows(rows, "doc_id", kinds, plain)
     hits = windows.join(F.broadcast(keys) if small else keys, ["h", "size", "exact"], "left_semi")
     of_docs = common.written(hits.select("doc_id", "size", "exact", "at", "h"), "hits")
     # the slot values are read again from the texts of the few documents with hits, at the hits
     places = of_docs.groupBy("doc_id").agg(F.collect_set(F.struct("size", "exact", "at", "h")).alias("places"))
     texts = common.rows_with(rows, of_docs.select("doc_id").distinct()).join(places, "doc_id")
-    raw, form = template_words(F.col("text"))
+    raw, form = template_words(F.col("text"), plain)
     words_at = lambda c, x: F.slice(F.col(c), x["at"] + 1, x["size"])
     at_hits = F.transform("places", lambda x: F.struct(x["size"].alias("size"), x["exact"].alias("exact"), x["at"].alias("at"), x["h"].alias("h"), words_at("form", x).alias("form"), words_at("raw", x).alias("raw")))
     hit = texts.select("doc_id", "places", raw.alias("raw"), form.alias("form")).select("doc_id", F.explode(at_hits).alias("w")).select("doc_id", "w.*")
@@ -210,7 +257,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, sentence_names: bool = False) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns; rows without doc_id stay."""
-    bad = common.written(matches(docs, benchmark, coverage).where("contaminated").select("doc_id").distinct(), "contaminated")
+    bad = common.written(matches(docs, benchmark, coverage, sentence_names).where("contaminated").select("doc_id").distinct(), "contaminated")
     return common.rows_without(docs, bad)

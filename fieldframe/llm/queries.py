@@ -46,7 +46,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that share template windows, judged by their slots."""
-    return decontaminate.matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), sentence_names=True)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
