@@ -71,9 +71,10 @@ def template_words(text: Column, plain: bytes | None) -> tuple[Column, Column]:
     """
     clean = F.coalesce(F.translate(text, NUMBER + UNIT + NAME + START, ""), F.lit(""))
     # marks in front of names and units survive the split as part of the word
-    marked = F.regexp_replace(clean, r"([\p{Ll},] )(?=\p{Lu}\p{Ll})", "$1" + NAME)
+    # looking for the capital first is quick, most places have none
+    marked = F.regexp_replace(clean, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll},] )", NAME)
     if plain is not None:
-        marked = F.regexp_replace(marked, r"(^|\n|[.!?:] )(?=\p{Lu}\p{Ll})", "$1" + START)
+        marked = F.regexp_replace(marked, r"(?=\p{Lu}\p{Ll})(?:(?<![^\n])|(?<=[.!?:] ))", START)
     marked = F.regexp_replace(marked, rf"(?i)(\d ?)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\d]))", "$1" + UNIT)
     word = F.lit(rf"[{NAME}{UNIT}{START}]?(?:\d+(?:[.,:/-]\d+)*|[\p{{L}}\p{{M}}]+)")
     raw = F.transform(F.regexp_extract_all(marked, word, F.lit(0)), lambda w: F.translate(w, NAME + UNIT + START, ""))
