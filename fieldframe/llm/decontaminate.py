@@ -86,15 +86,14 @@ def _slot(word: Column) -> Column:
 
 
 def _form(word: Column, plain: bytes | None) -> Column:
-    first = F.ascii(word)
-    inside = F.when(first.between(48, 57), NUMBER).when(first == ord(NAME), NAME).when(first == ord(UNIT), UNIT)
+    inside = F.when((word >= "0") & (word < ":"), NUMBER).when(word.startswith(NAME), NAME).when(word.startswith(UNIT), UNIT)
     if plain is None:
         return inside.otherwise(word)
     bare = word.substr(F.lit(2), F.length(word))
     slot = _slot(bare)
     byte = F.conv(F.hex(F.lit(plain).substr(F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     known = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(slot, F.lit(8)))), F.lit(2)) == 1
-    return inside.when(first == ord(START), F.when(known, bare).otherwise(NAME)).otherwise(word)
+    return inside.when(word.startswith(START), F.when(known, bare).otherwise(NAME)).otherwise(word)
 
 
 def _plain_words(items: DataFrame) -> bytes:
@@ -123,8 +122,9 @@ def _windows(rows: DataFrame, key: str, kinds: list[tuple[int, bool]], plain: by
     n = F.size("form" if False in some else "raw")
     if len(kinds) == 1:
         ((size, exact),) = kinds
-        windows = F.transform(F.sequence(F.lit(0), n - size), _window_at(size, codes[exact][0]))
-        return hashed.where(n >= size).select(key, F.explode(windows).alias("w")).select(key, F.lit(size).alias("size"), F.lit(exact).alias("exact"), "w.*")
+        # no condition on rows here: the optimiser would move it below the split and split every text once more for it
+        windows = F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), _window_at(size, codes[exact][0])))
+        return hashed.select(key, F.explode(windows).alias("w")).select(key, F.lit(size).alias("size"), F.lit(exact).alias("exact"), "w.*")
     named = lambda size, exact: (F.lit(size).alias("size"), F.lit(exact).alias("exact"))
     each = [F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), _window_at(size, codes[exact][0], *named(size, exact)))) for size, exact in kinds]
     none = F.array().cast("array<struct<size:int,exact:boolean,at:int,h:bigint>>")

@@ -50,6 +50,17 @@ def test_units_and_no_units(spark, docs):
     assert got[100][3] == "kites" and got[101][3] == "ago" and decontaminate.UNIT not in got[103]
 
 
+@pytest.mark.parametrize("size", [1, 3, decontaminate.WINDOW])
+def test_texts_are_split_once(spark, docs, size):
+    """The optimiser makes no second split of each text, and texts shorter than a window have none."""
+    d = docs([(1, "Ann has 12 kg of it"), (2, "so it is"), (3, "word"), (4, ""), (5, None)])
+    plain = decontaminate._plain_words(spark.createDataFrame([(1, "x")], "item_id long, text string"))
+    windows = decontaminate._windows(d, "doc_id", [(size, False)], plain)
+    assert windows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    got = sorted((r.doc_id, r["size"], r.exact, r["at"]) for r in windows.collect())
+    assert got == [(i, size, False, k) for i, n in ((1, 6), (2, 3), (3, 1)) for k in range(n - size + 1)]
+
+
 def test_templates_recalled_with_other_names_and_numbers(spark, docs):
     """Of ten templates with five fills each every one is found; clean prose is not."""
     rng = random.Random(5)
