@@ -28,6 +28,8 @@ BYTE = -24
 LONG, TOGETHER, STRETCH = 64, 25, 1 << 15
 #: Bytes of words that are worked on at a time.
 CHUNK = 1 << 19
+#: Codes of pieces are looked up by their bits above this one.
+TOP = U(44)
 
 
 class Vocabulary:
@@ -80,8 +82,23 @@ class Vocabulary:
         self.factor_of = np.zeros(n + 1)
         self.factor_of[plain] = factor
         self.factor_of[self.byte_ids] = byte
-        self.maybe = np.zeros(1 << 22, dtype=bool)  # by the top bits of a code: no piece at all
-        self.maybe[self.codes >> U(42)] = True
+        # by the top bits of a code: the first piece with them, or len(codes) for none; self.shared is the most pieces that have the same
+        top = (self.codes >> TOP).astype(np.int64)
+        self.first = np.full(1 << 64 - int(TOP), len(top), dtype=np.uint16 if len(top) < 65536 else np.int32)
+        self.first[top[::-1]] = np.arange(len(top))[::-1]
+        self.shared = int(np.bincount(top).max(initial=0))
+
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the codes are those of pieces, and these pieces' ids."""
+        hit = self.first[code >> TOP]
+        some = np.flatnonzero(hit < len(self.codes))
+        hit, code = hit[some].astype(np.int64), code[some]
+        ok = self.codes[hit] == code
+        for _ in range(self.shared - 1):
+            missed = np.flatnonzero(~ok)
+            hit[missed] = np.minimum(hit[missed] + 1, len(self.codes) - 1)
+            ok[missed] = self.codes[hit[missed]] == code[missed]
+        return some[ok], self.ids[hit[ok]]
 
     def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids end to end, and where each id's end."""
@@ -108,13 +125,8 @@ def _spelled(data: np.ndarray, left: np.ndarray, v: Vocabulary):
     hashed = common.Hasher(data)
     for length in v.sizes[::-1]:
         pos = np.flatnonzero(left >= length)
-        code = hashed(pos, pos + length)
-        some = v.maybe[code >> U(42)]
-        pos, code = pos[some], code[some]
-        hit = np.searchsorted(v.codes, code)
-        hit[hit == len(v.codes)] = 0
-        ok = v.codes[hit] == code
-        yield int(length), pos[ok], v.ids[hit[ok]]
+        some, ids = v.find(hashed(pos, pos + length))
+        yield int(length), pos[some], ids
 
 
 def _chances(end: np.ndarray, value: np.ndarray, exponent: np.ndarray) -> np.ndarray:
@@ -142,37 +154,37 @@ def _forward(data: np.ndarray, size: np.ndarray, v: Vocabulary):
 
     A state is a place between two bytes of a word; those of one depth of all words lie
     next to each other, so states at a distance are slices. Returns where each depth
-    starts, the lengths, and of each state and length the piece and the chance that a
-    draw takes this length or a longer one, in 2**-24ths.
+    starts, the lengths that any piece of these words has, longest first, and by length and
+    state the piece and the chance that a draw takes this length or a longer one, in 2**-24ths.
     """
     held = np.searchsorted(-size, -np.arange(size[0] + 1), side="right")
     off = np.concatenate(([0], np.cumsum(held)))
-    lengths = [int(n) for n in v.sizes[::-1] if n <= size[0] or n == 1]
-    piece = np.full((len(lengths), off[-1]), v.none, dtype=np.uint16 if v.none < 65536 else np.int32)
     word = np.repeat(np.arange(len(size)), size)
     after = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    spelled = [s for s in _spelled(data, size[word] - after, v) if s[0] == 1 or len(s[1])]
+    lengths = np.array([length for length, _, _ in spelled])
+    piece = np.full((len(lengths), off[-1]), v.none, dtype=np.uint16 if v.none < 65536 else np.int32)
     piece[-1, off[after + 1] + word] = v.byte_ids[data]
-    for length, pos, ids in _spelled(data, size[word] - after, v):
-        if length in lengths:
-            piece[lengths.index(length), off[after[pos] + length] + word[pos]] = ids
+    for j, (length, pos, ids) in enumerate(spelled):
+        piece[j, off[after[pos] + length] + word[pos]] = ids
     total = np.ones(off[-1])
-    chance = np.zeros((off[-1], len(lengths)), dtype=np.int32)
+    chance = np.zeros((len(lengths), off[-1]), dtype=np.int32)
     for d in range(1, size[0] + 1):
         n, here = held[d], slice(off[d], off[d + 1])
-        run = np.zeros((len(lengths) + 1, n))
-        for j, length in enumerate(lengths):
-            if length > d:
-                continue
+        # longer pieces don't end here
+        least = int((lengths > d).sum())
+        run = np.zeros((len(lengths) - least + 1, n))
+        for j, length in enumerate(lengths[least:].tolist()):
             start = off[d - length]
-            np.multiply(total[start : start + n], v.factor_of[piece[j, here]], out=run[j + 1])
+            np.multiply(total[start : start + n], v.factor_of[piece[least + j, here]], out=run[j + 1])
             run[j + 1] += run[j]
         total[here] = run[-1]
-        chance[here] = np.ceil(run[1:] / run[-1] * 2.0**24).T
+        chance[least:, here] = np.ceil(run[1:] / run[-1] * 2.0**24)
         if d % 4 == 0:
             scale = np.ldexp(1.0, -np.frexp(run[-1])[1])
-            for back in range(min(d, int(v.sizes[-1])) + 1):
+            for back in range(min(d, int(lengths[0])) + 1):
                 total[off[d - back] : off[d - back] + n] *= scale
-    return off, np.array(lengths), piece, chance
+    return off, lengths, piece, chance
 
 
 def _uniform(stream: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -252,7 +264,7 @@ def _short_words(data: np.ndarray, begin: np.ndarray, size: np.ndarray, stream:
     live, depth, steps = np.arange(len(begin)), size, []
     while len(live):
         state = off[depth] + kind[live]
-        which = (chance[state] <= _uniform(stream[live], depth)[:, None]).sum(axis=1)
+        which = (chance[:, state] <= _uniform(stream[live], depth).astype(np.int32)).sum(axis=0)
         steps.append((live, piece[which, state]))
         depth = depth - lengths[which]
         live, depth = live[depth > 0], depth[depth > 0]
