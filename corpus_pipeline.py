@@ -7,15 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldframe.llm import decontaminate, minhash_dedup, sampling, secret_scan, toxicity
 from fieldframe.llm.common import written
 
+#: What Arrow may bring to a Python worker at once, in bytes, and one row more: 10,000 whole texts are some 30 MB, held by Spark, Arrow and pandas each.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "256k"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless the session has a bound of its own. No result depends on it."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, BATCH)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that score 0.7 or more for toxicity go. The lexicon is learnt from the table of labels."""
+    small_batches(spark)
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, lexicon)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: of each group of near duplicates (five-word shingles, 0.8) the document with the smallest doc_id stays."""
+    small_batches(spark)
     return minhash_dedup.deduplicated(docs)
 
 
@@ -31,6 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: every document as sampled SentencePiece ids, with the proof that they decode to its text."""
+    small_batches(spark)
     return sampling.encoded(docs)
 
 
