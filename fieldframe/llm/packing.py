@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,13 +208,16 @@ def packed_texts(docs: DataFrame, vocabulary: str, end: int = END, limits: Limit
     def read(batch: pa.RecordBatch):
         encoder = tokens(vocabulary)
         texts = batch.column("text")
+        sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
         at, held = 0, 0
         for i in range(len(batch) + 1):
             if i == len(batch) or held > 1 << 20:
                 for j, ids in enumerate(encoder.encode(texts.slice(at, i - at).to_pylist()), at):
-                    yield batch.column("doc_id").slice(j, 1), (np.append(ids, np.uint32(end)).astype("<u4"), None)
+                    whole = np.full(len(ids) + 1, end, dtype="<u4")
+                    whole[:-1] = ids
+                    yield batch.column("doc_id").slice(j, 1), (whole, None)
                 at, held = i, 0
             if i < len(batch):
-                held += len(texts[i].as_py() or "")
+                held += sizes[i]
 
     return _packed(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id", read, limits, True)
