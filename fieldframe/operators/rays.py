@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 LEAF = 8
 _AXIS = 1 << 20  # cells an axis, at most
+#: Side of the tiles whose rays share their cells, and how many places along rays (one every four cells) a group of them has, about.
+_TILE, _PLACES = 64, 4096
 
 
 @dataclass(frozen=True)
@@ -34,61 +36,50 @@ class March:
 
 
 class _Field:
-    """The cells that some rays can meet: trilinear values at any of their points, absent cells 0."""
-
-    def __init__(self, addresses: list[np.ndarray], values: list[np.ndarray], level: float):
-        ray = np.repeat(np.arange(len(addresses), dtype=np.int64), [len(a) for a in addresses])
-        address = np.concatenate(addresses) if addresses else np.zeros(0, dtype=np.int64)
-        order = np.lexsort((address, ray))
-        self.ray, self.address = ray[order], address[order]
-        self.value = (np.concatenate(values) if values else np.zeros(0))[order]
-        self.begin = np.searchsorted(self.ray, np.arange(len(addresses) + 1))
-        # one number orders rays and cells: the cells' rank among all, behind the ray
-        self.cells, rank = np.unique(self.address, return_inverse=True)
-        self.key = self.ray * (len(self.cells) + 1) + rank
+    """The cells that a group of rays can meet: trilinear values at any of their points, absent cells 0."""
+
+    def __init__(self, address: np.ndarray, value: np.ndarray, level: float):
+        self.address, first = np.unique(address, return_index=True)
+        self.value = value[first]
         self.level = level
 
-    def _at(self, rays: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    def _at(self, cell: np.ndarray) -> np.ndarray:
         inside = ((cell >= 0) & (cell < _AXIS)).all(axis=1)
         address = (cell[:, 2] * _AXIS + cell[:, 1]) * _AXIS + cell[:, 0]
-        rank = np.searchsorted(self.cells, address)
-        known = inside & (rank < len(self.cells))
-        known[known] = self.cells[rank[known]] == address[known]
-        key = rays * (len(self.cells) + 1) + rank
-        at = np.searchsorted(self.key, key)
-        known &= at < len(self.key)
-        known[known] = self.key[at[known]] == key[known]
-        out = np.zeros(len(rays))
-        out[known] = self.value[at[known]]
+        rank = np.searchsorted(self.address, address)
+        known = inside & (rank < len(self.address))
+        known[known] = self.address[rank[known]] == address[known]
+        out = np.zeros(len(cell))
+        out[known] = self.value[rank[known]]
         return out
 
-    def phi(self, rays: np.ndarray, points: np.ndarray) -> np.ndarray:
+    def phi(self, points: np.ndarray) -> np.ndarray:
         low = np.floor(points)
         part, low = points - low, low.astype(np.int64)
-        total = np.zeros(len(rays))
+        total = np.zeros(len(points))
         for k in range(8):
             step = np.array([k & 1, k >> 1 & 1, k >> 2])
-            total += np.where(step, part, 1 - part).prod(axis=1) * self._at(rays, low + step)
+            total += np.where(step, part, 1 - part).prod(axis=1) * self._at(low + step)
         return self.level - total
 
 
-def _crossings(field: _Field, m: March, rays, origin, way, length, rule) -> tuple[np.ndarray, ...]:
+def _crossings(field: _Field, m: March, origin, way, length, rule) -> tuple[np.ndarray, ...]:
     """For each ray the last step before its first supported change of sign: (found, from, to, phi at from)."""
     factor, least, most = rule
-    n = len(rays)
+    n = len(origin)
     t, end, start, stop = np.zeros(n), length, np.full(n, np.nan), np.full(n, np.nan)
-    before, first = field.phi(rays, origin), np.zeros(n)
+    before, first = field.phi(origin), np.zeros(n)
     live = np.flatnonzero(end > 0)
     for _ in range(m.steps):
         if not len(live):
             break
-        o, w, r = origin[live], way[live], rays[live]
+        o, w = origin[live], way[live]
         now = np.minimum(t[live] + np.clip(np.abs(before[live]) * factor, least, max(most, least)), end[live])
-        phi = field.phi(r, o + w * now[:, None])
+        phi = field.phi(o + w * now[:, None])
         crossed = (before[live] < 0) != (phi < 0)
         inside = phi < 0
         beyond = np.where(inside, np.minimum(now + m.support, end[live]), np.maximum(t[live] - m.support, 0.0))
-        held = field.phi(r, o + w * beyond[:, None])
+        held = field.phi(o + w * beyond[:, None])
         sound = crossed & ((np.where(inside, phi, before[live]) <= -m.surface * m.deep[0]) | (held <= -m.surface * m.deep[1]))
         hit = live[sound]
         start[hit], stop[hit], first[hit] = t[hit], now[sound], before[hit]
@@ -102,38 +93,37 @@ def _crossings(field: _Field, m: March, rays, origin, way, length, rule) -> tupl
 def march(field: _Field, m: March, origin: np.ndarray, way: np.ndarray, length: np.ndarray) -> dict[str, np.ndarray]:
     """hit (nan without one), the normal there, facing (how much it looks at the ray's origin) and thickness of each ray."""
     n = len(origin)
-    rays = np.arange(n)
-    found, low, high, before = _crossings(field, m, rays, origin, way, length, (*m.hit, m.longest_step))
+    found, low, high, before = _crossings(field, m, origin, way, length, (*m.hit, m.longest_step))
     at = np.flatnonzero(found)
     o, w, lo, hi, lo_phi = origin[at], way[at], low[at], high[at], before[at]
     for _ in range(m.halvings):
         middle = 0.5 * (lo + hi)
-        phi = field.phi(at, o + w * middle[:, None])
+        phi = field.phi(o + w * middle[:, None])
         crossed = (lo_phi < 0) != (phi < 0)
         hi, lo, lo_phi = np.where(crossed, middle, hi), np.where(crossed, lo, middle), np.where(crossed, lo_phi, phi)
     hit = 0.5 * (lo + hi)
     point, h = o + w * hit[:, None], max(m.normal_step, 0.25)
-    gradient = np.stack([field.phi(at, point + h * e) - field.phi(at, point - h * e) for e in np.eye(3)], axis=1)
+    gradient = np.stack([field.phi(point + h * e) - field.phi(point - h * e) for e in np.eye(3)], axis=1)
     size = np.linalg.norm(gradient, axis=1)
     normal = np.where(size[:, None] > 1e-6, gradient / np.maximum(size, 1e-300)[:, None], -w)
     out = {c: np.full(n, np.nan) for c in ("hit", "nx", "ny", "nz", "facing", "thickness")}
-    out["hit"][at], out["facing"][at], out["thickness"][at] = hit, np.abs((normal * w).sum(axis=1)), _thickness(field, m, at, o, w, hit, length[at])
+    out["hit"][at], out["facing"][at], out["thickness"][at] = hit, np.abs((normal * w).sum(axis=1)), _thickness(field, m, o, w, hit, length[at])
     for k, c in enumerate(("nx", "ny", "nz")):
         out[c][at] = normal[:, k]
     return out
 
 
-def _thickness(field: _Field, m: March, rays, o, w, hit, end) -> np.ndarray:
+def _thickness(field: _Field, m: March, o, w, hit, end) -> np.ndarray:
     """From the hit to where the ray leaves the inside again; a fixed value if it doesn't."""
-    out = np.full(len(rays), m.unknown_thickness)
+    out = np.full(len(o), m.unknown_thickness)
     t = np.minimum(hit + m.support, end)
-    before = field.phi(rays, o + w * t[:, None])
-    entered, live = before < -m.deep[2] * m.surface, np.arange(len(rays))
+    before = field.phi(o + w * t[:, None])
+    entered, live = before < -m.deep[2] * m.surface, np.arange(len(o))
     for _ in range(min(m.steps, 160)):
         if not len(live):
             break
         now = np.minimum(t[live] + np.clip(np.abs(before[live]) * m.inner[0], *m.inner[1:]), end[live])
-        phi = field.phi(rays[live], o[live] + w[live] * now[:, None])
+        phi = field.phi(o[live] + w[live] * now[:, None])
         entered[live] |= phi < -m.deep[2] * m.surface
         left = entered[live] & (before[live] < 0) & (phi >= 0)
         out[live[left]] = np.maximum(now[left] - hit[live[left]], m.least_thickness)
@@ -144,31 +134,47 @@ def _thickness(field: _Field, m: March, rays, o, w, hit, end) -> np.ndarray:
     return out
 
 
-def _with_cells(rays: DataFrame, cells: DataFrame) -> DataFrame:
-    """rays with the blocks of cells (x, y, z, t, v) that they pass or that lie beside, as arrays: the reach of samples and normals is within a block.
+_GROUP = ["t", "tx", "ty", "tz", "part"]
+_RAY = ["ray", "ox", "oy", "oz", "dx", "dy", "dz", "length"]
+
+
+def _grouped(rays: DataFrame) -> DataFrame:
+    """rays with the group they are marched in: their frame, the tile of their origins, and a part of its rays if there are many."""
+    tiles = rays.withColumns({f"t{a}": F.floor(F.col(f"o{a}") / float(_TILE)).cast("long") for a in "xyz"})
+    places = F.sum(F.ceil(F.col("length") / (LEAF / 2)) + 1)
+    many = tiles.groupBy("t", "tx", "ty", "tz").agg(F.greatest(F.lit(1), F.ceil(places / _PLACES)).cast("long").alias("parts")).where("parts > 1")
+    out = tiles.join(many, ["t", "tx", "ty", "tz"], "left")
+    return out.select(*_RAY, "t", "tx", "ty", "tz", F.expr("if(parts is null, 0L, pmod(xxhash64(ray), parts))").alias("part"))
 
-    What comes together in a row is bounded by a ray's length, not by the volume.
+
+def _with_cells(rays: DataFrame, cells: DataFrame, level: float, run, schema: str) -> DataFrame:
+    """run(rays, field) over groups of rays that start in one tile, with the blocks of cells (x, y, z, t, v) that they pass or that lie beside: the reach of samples and normals is within a block.
+
+    A block goes once to each group that meets it, not to each ray, so what is shuffled follows the cells; what comes together
+    in a task is bounded by a tile, the length of its rays and their number in a group, not by the volume.
     """
     block = lambda c: F.floor(c / float(LEAF)).cast("long")
     address = ((F.col("z") * _AXIS + F.col("y")) * _AXIS + F.col("x")).cast("long")
     held = cells.groupBy("t", *[block(F.col(a)).alias(f"b{a}") for a in "xyz"]).agg(F.collect_list(F.struct(address.alias("a"), F.col("v").cast("double").alias("v"))).alias("cells"))
+    held = held.select("t", "bx", "by", "bz", F.col("cells.a").alias("cell_address"), F.col("cells.v").alias("cell_value"))
+    grouped = _grouped(rays)
+    spots = grouped.withColumn("s", F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / (LEAF / 2)).cast("int"))))
+    spots = spots.select(*_GROUP, *[block(F.col(f"o{a}") + F.col("s") * (LEAF / 2) * F.col(f"d{a}")).alias(f"b{a}") for a in "xyz"]).distinct()
     near = F.sequence(F.lit(-1), F.lit(1))
-    spots = rays.select("ray", "t", "ox", "oy", "oz", "dx", "dy", "dz", F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / (LEAF / 2)).cast("int"))).alias("s"))
     for a in "xyz":
-        spots = spots.withColumn("near", F.explode(near)).withColumn(f"b{a}", block(F.col(f"o{a}") + F.col("s") * (LEAF / 2) * F.col(f"d{a}")) + F.col("near")).drop("near")
-    met = spots.select("ray", "t", "bx", "by", "bz").distinct().join(held, ["t", "bx", "by", "bz"]).groupBy("ray").agg(F.flatten(F.collect_list("cells")).alias("cells"))
-    return rays.join(met, "ray", "left").select(*rays.columns, F.col("cells.a").alias("cell_address"), F.col("cells.v").alias("cell_value"))
+        spots = spots.withColumn("near", F.explode(near)).withColumn(f"b{a}", F.col(f"b{a}") + F.col("near")).drop("near").distinct()
+    met = spots.join(held, ["t", "bx", "by", "bz"]).select(*[F.col(c).alias(f"of_{c}") for c in _GROUP], "cell_address", "cell_value")
+
+    def group(some: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        address, value = np.concatenate([np.zeros(0, dtype=np.int64), *blocks["cell_address"]]), np.concatenate([np.zeros(0), *blocks["cell_value"]])
+        return run(some, _Field(address, value, level))
+
+    return grouped.groupBy(*_GROUP).cogroup(met.groupBy(*[f"of_{c}" for c in _GROUP])).applyInPandas(group, schema)
 
 
-def _fields(pdf: pd.DataFrame, level: float):
-    """(rows, field, origin, way, length) of a batch, some rays at a time, so that the cells of a round stay few."""
-    size = np.array([0 if a is None else len(a) for a in pdf["cell_address"]])
-    cuts = np.unique(np.append(np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, 500_000), side="left"), [0, len(pdf)]))
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        part = pdf.iloc[i:j]
-        none = np.zeros(0)
-        field = _Field([none.astype(np.int64) if a is None else a for a in part["cell_address"]], [none if v is None else v for v in part["cell_value"]], level)
-        yield part, field, part[["ox", "oy", "oz"]].to_numpy(float), part[["dx", "dy", "dz"]].to_numpy(float), part["length"].to_numpy(float)
+def _paths(pdf: pd.DataFrame):
+    """(origin, way, length) of rays."""
+    return pdf[["ox", "oy", "oz"]].to_numpy(float), pdf[["dx", "dy", "dz"]].to_numpy(float), pdf["length"].to_numpy(float)
 
 
 def surface_hits(rays: DataFrame, cells: DataFrame, m: March) -> DataFrame:
@@ -178,22 +184,18 @@ def surface_hits(rays: DataFrame, cells: DataFrame, m: March) -> DataFrame:
     halved; normals are central differences. Values between cells are trilinear, absent cells 0.
     """
 
-    def run(batches):
-        for pdf in batches:
-            for part, field, origin, way, length in _fields(pdf, m.level):
-                yield pd.DataFrame({"ray": part["ray"].to_numpy()} | march(field, m, origin, way, length))
+    def run(some: pd.DataFrame, field: _Field) -> pd.DataFrame:
+        return pd.DataFrame({"ray": some["ray"].to_numpy()} | march(field, m, *_paths(some)))
 
-    out = _with_cells(rays, cells).mapInPandas(run, "ray long, hit double, nx double, ny double, nz double, facing double, thickness double")
+    out = _with_cells(rays, cells, m.level, run, "ray long, hit double, nx double, ny double, nz double, facing double, thickness double")
     return out.select("ray", *[F.nanvl(c, F.lit(None)).alias(c) for c in out.columns[1:]])
 
 
 def shadowed(rays: DataFrame, cells: DataFrame, m: March) -> DataFrame:
     """(ray, shadow) of rays towards a light: whether a supported surface lies on the way."""
 
-    def run(batches):
-        for pdf in batches:
-            for part, field, origin, way, length in _fields(pdf, m.level):
-                found, *_ = _crossings(field, m, np.arange(len(part)), origin, way, length, m.shadow)
-                yield pd.DataFrame({"ray": part["ray"].to_numpy(), "shadow": found})
+    def run(some: pd.DataFrame, field: _Field) -> pd.DataFrame:
+        found, *_ = _crossings(field, m, *_paths(some), m.shadow)
+        return pd.DataFrame({"ray": some["ray"].to_numpy(), "shadow": found})
 
-    return _with_cells(rays, cells).mapInPandas(run, "ray long, shadow boolean")
+    return _with_cells(rays, cells, m.level, run, "ray long, shadow boolean")

@@ -114,3 +114,19 @@ def test_shadows(scene):
     by_frame = {t: {(x, y, z): v for x, y, z, f, v in cells if f == t} for t in (0, 3, 5)}
     got = {r.ray: r.shadow for r in rays.shadowed(given, field, m).collect()}
     assert got == {i: end > 0 and plain(by_frame[t], m, od[:3], od[3:], end, True) for i, t, *od, end in cast} and 10 < sum(got.values()) < 70
+
+
+def test_rays_of_a_tile_share_their_cells(scene, monkeypatch):
+    import pandas as pd
+
+    cells, cast, field, given = scene
+    m = rays.March(level=4.0, longest_step=2.0)
+    sent = lambda: rays._with_cells(given, field, 4.0, lambda some, f: pd.DataFrame({"rays": [len(some)], "cells": [len(f.address)]}), "rays long, cells long").collect()
+    groups = sent()
+    # 80 rays start in a few tiles; each tile's group has the scene's cells once
+    assert sum(r.rays for r in groups) == len(cast) and sum(r.cells for r in groups) <= len(groups) * len(cells) and len(groups) < 25
+    whole = {r.ray: r for r in rays.surface_hits(given, field, m).collect()}
+    monkeypatch.setattr(rays, "_PLACES", 8)
+    parts = sent()
+    assert len(parts) > len(groups) and sum(r.rays for r in parts) == len(cast)
+    assert {r.ray: r for r in rays.surface_hits(given, field, m).collect()} == whole
