@@ -163,7 +163,8 @@ def _with_cells(rays: DataFrame, cells: DataFrame, level: float, run, schema: st
     near = F.sequence(F.lit(-1), F.lit(1))
     for a in "xyz":
         spots = spots.withColumn("near", F.explode(near)).withColumn(f"b{a}", F.col(f"b{a}") + F.col("near")).drop("near").distinct()
-    met = spots.join(held, ["t", "bx", "by", "bz"]).select(*[F.col(c).alias(f"of_{c}") for c in _GROUP], "cell_address", "cell_value")
+    # places times 27 blocks are far more than Spark takes them for: not to be broadcast
+    met = spots.hint("merge").join(held, ["t", "bx", "by", "bz"]).select(*[F.col(c).alias(f"of_{c}") for c in _GROUP], "cell_address", "cell_value")
 
     def group(some: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         address, value = np.concatenate([np.zeros(0, dtype=np.int64), *blocks["cell_address"]]), np.concatenate([np.zeros(0), *blocks["cell_value"]])

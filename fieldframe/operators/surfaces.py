@@ -70,9 +70,10 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, extent: int) -> Dat
     Points look into the 27 blocks around them, of size 2, then 4, and so on; one whose
     best distance is within the block size is done, as all other targets are farther off. So near
     points cost little, and only lonely ones look into wide, sparse blocks. Points
-    without any target of their key are left out.
+    without any target of their key are left out. Spark takes points times 27 blocks for as few as the points
+    themselves, so it is told not to broadcast them.
     """
-    open_, done, size = points, None, 2
+    open_, done, size = points.join(targets.select(key).distinct(), key, "left_semi"), None, 2
     while True:
         block = lambda a: F.floor(F.col(a) / float(size)).cast("long")  # noqa: E731, B023
         around = F.sequence(F.lit(-1), F.lit(1))
@@ -81,7 +82,7 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, extent: int) -> Dat
             spread = spread.withColumn("d", F.explode(around)).withColumn(f"b{a}", F.col(f"b{a}") + F.col("d")).drop("d")
         aims = targets.select(F.col(key), *[F.col(a).alias(f"{a}_") for a in "xyz"], *[block(a).alias(f"b{a}") for a in "xyz"])
         gap = sum((F.col(a) - F.col(f"{a}_")) * (F.col(a) - F.col(f"{a}_")) for a in "xyz")
-        best = spread.join(aims, [key, "bx", "by", "bz"]).groupBy(key, "id").agg(F.min(gap).alias("d2"))
+        best = spread.hint("merge").join(aims, [key, "bx", "by", "bz"]).groupBy(key, "id").agg(F.min(gap).alias("d2"))
         found = written(open_.join(best, [key, "id"], "left"), "nearest")
         last = size >= extent
         settled = found.where(F.col("d2").isNotNull() if last else F.col("d2") <= size * size).select(key, "id", "d2")
@@ -89,6 +90,8 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, extent: int) -> Dat
         if last:
             return done
         open_, size = found.where(f"d2 is null or d2 > {size * size}").drop("d2"), size * 2
+        if open_.isEmpty():
+            return done
 
 
 def image_likeness(pixels: DataFrame, key: str, block: int, peak: float) -> DataFrame:

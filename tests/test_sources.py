@@ -1,6 +1,7 @@
 """Raw volumes and packed assets: both layouts, pushed conditions, broken files; fits and clusters against plain code."""
 
 import json
+import re
 import struct
 
 import numpy as np
@@ -121,3 +122,14 @@ def test_nearest_of_lonely_points(spark):
     points = spark.createDataFrame([(1, 0, 0, 0, 0), (1, 1, 30, 30, 7), (2, 2, 1, 1, 1)], "t long, id long, x long, y long, z long")
     targets = spark.createDataFrame([(1, 3, 4, 0), (1, 0, 9, 0)], "t long, x long, y long, z long")
     assert {r.id: r.d2 for r in surfaces.nearest(points, targets, "t", 32).collect()} == {0: 25, 1: 27 * 27 + 26 * 26 + 49 if 27 * 27 + 26 * 26 < 30 * 30 + 21 * 21 else 30 * 30 + 21 * 21 + 49}
+
+
+def test_nearest_never_broadcasts_the_places_around_points(spark, monkeypatch):
+    plans, real = [], surfaces.written
+    monkeypatch.setattr(surfaces, "written", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label))
+    points = spark.createDataFrame([(k, 10 * k + i, i, 0, 0) for k in (0, 1) for i in range(10)], "t long, id long, x long, y long, z long")
+    targets = real(points.where("t = 0").select("t", "x", "y", "z"), "targets")
+    got = surfaces.nearest(real(points, "points"), targets, "t", 1 << 20).collect()
+    assert sorted((r.t, r.id, r.d2) for r in got) == [(0, i, 0) for i in range(10)]
+    # key 1 has no target, so one round does; its join of 27 blocks a point sorts
+    assert len(plans) == 1 and re.search(r"SortMergeJoin \[t#\d+L, bx", plans[0])
