@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from . import metrics
 #: Steps of a two-dimensional sequence of low discrepancy: powers of the plastic number's inverse.
 STEP_U, STEP_V = 0.7548776662466927, 0.5698402909980532
 CORNERS = [f"{c}{a}" for c in "abc" for a in "xyz"]
+#: Triangles and samples of a mesh that one task holds; a key with a larger mesh is spread over tasks. Pairs that are looked at together.
+HELD, _PAIRS = 1 << 16, 1 << 18
 
 
 def height_mesh(points: DataFrame, key: str) -> DataFrame:
@@ -116,18 +120,117 @@ def direction_metrics(met: DataFrame, key: str) -> DataFrame:
     return sums.join(places.groupBy(F.col(f"k.{key}").alias(key)).agg(*named), key)
 
 
+def _gaps(p: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """point_to_triangle's d2 of pairs of points (n, 3) and corners (n, 3, 3)."""
+    dot = lambda u, v: (u * v).sum(axis=1)
+    a, u, v = c[:, 0], c[:, 1] - c[:, 0], c[:, 2] - c[:, 0]
+    e1, e2, e3, e4, e5, e6 = (dot(w, p - c[:, o]) for o in range(3) for w in (u, v))
+    va, vb, vc = e3 * e6 - e5 * e4, e5 * e2 - e1 * e6, e1 * e4 - e3 * e2
+    cells = [(e1 <= 0) & (e2 <= 0), (e3 >= 0) & (e4 <= e3), (e6 >= 0) & (e5 <= e6), (vc <= 0) & (e1 >= 0) & (e3 <= 0), (vb <= 0) & (e2 >= 0) & (e6 <= 0), (va <= 0) & (e4 - e3 >= 0) & (e5 - e6 >= 0)]
+    zero, one = np.zeros(len(p)), np.ones(len(p))
+    with np.errstate(all="ignore"):
+        edge = (e4 - e3) / ((e4 - e3) + (e5 - e6))
+        s = np.select(cells, [zero, one, zero, e1 / (e1 - e3), zero, 1 - edge], vb / (va + vb + vc))
+        t = np.select(cells, [zero, zero, one, zero, e2 / (e2 - e6), edge], vc / (va + vb + vc))
+    gap = p - a - s[:, None] * u - t[:, None] * v
+    return dot(gap, gap)
+
+
+def _nearest_held(p: np.ndarray, c: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, d2) of each point's nearest triangle, of equals to nine places the lowest number. Blocks of triangles whose box is farther than a corner seen are left out."""
+    centre = c.mean(axis=1)
+    side = max(float(np.ptp(centre, axis=0).max()) / len(c) ** 0.25, 1e-9)
+    _, block = np.unique(np.floor((centre - centre.min(axis=0)) / side).astype(np.int64), axis=0, return_inverse=True)
+    order = np.lexsort((tri, block.ravel()))
+    c, tri, held = c[order], tri[order], np.bincount(block.ravel())
+    first = np.cumsum(held) - held
+    low, high, seen = np.minimum.reduceat(c.min(axis=1), first), np.maximum.reduceat(c.max(axis=1), first), c[first, 0]
+    place, d2 = np.zeros(len(p), dtype=np.int64), np.zeros(len(p))
+    some = max(1, _PAIRS // len(held))
+    for at in range(0, len(p), some):
+        q = p[at : at + some]
+        out = np.maximum(np.maximum(low - q[:, None], q[:, None] - high), 0.0)
+        bound = ((q[:, None] - seen) ** 2).sum(axis=2).min(axis=1)
+        of, met = np.nonzero((out**2).sum(axis=2) <= bound[:, None] * (1 + 1e-12))
+        pairs = np.bincount(of, weights=held[met], minlength=len(q))
+        cuts = np.unique(np.append(np.searchsorted(np.cumsum(pairs), np.arange(0, pairs.sum() + 1, _PAIRS), side="left"), [0, len(q)]))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = slice(*np.searchsorted(of, [i, j]))
+            n = held[met[mine]]
+            point = np.repeat(of[mine], n)
+            face = np.repeat(first[met[mine]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            gap = _gaps(q[point], c[face])
+            best = np.lexsort((tri[face], np.floor(gap * 1e9 + 0.5), point))
+            best = best[np.searchsorted(point[best], np.arange(i, j))]
+            place[at + i : at + j], d2[at + i : at + j] = order[face[best]], gap[best]
+    return place, d2
+
+
+def _held_way(mine: tuple, other: tuple, density: float) -> list[float]:
+    """direction_metrics' numbers, in the order of _MEASURES, of samples of one mesh (corners, numbers, areas, normals) to another's triangles."""
+    c, _, area, normal = mine
+    n = np.maximum(1, np.floor(area * density)).astype(np.int64)
+    face = np.repeat(np.arange(len(c)), n)
+    j = np.arange(len(face)) - np.repeat(np.cumsum(n) - n, n) + 1
+    u, w = 0.5 + j * STEP_U, 0.5 + j * STEP_V
+    u, w = u - np.floor(u), w - np.floor(w)
+    out = u + w > 1
+    u, w = np.where(out, 1 - u, u)[:, None], np.where(out, 1 - w, w)[:, None]
+    a = c[face, 0]
+    place, d2 = _nearest_held(a + u * (c[face, 1] - a) + w * (c[face, 2] - a), other[0], other[1])
+    d, cosine = np.sqrt(d2), np.clip((normal[face] * other[3][place]).sum(axis=1), -1, 1)
+    angle, plain = np.degrees(np.arccos(cosine)), np.degrees(np.arccos(np.abs(cosine)))
+    return [len(d), d.mean(), d2.mean(), d.max(), angle.mean(), plain.mean(), *np.percentile(d, [95, 99]), np.percentile(angle, 95), np.percentile(plain, 95)]
+
+
+_MEASURES = ("n", "mean", "mean2", "largest", "angle", "plain_angle", "p95", "p99", "p95_angle", "p95_plain_angle")
+
+
+def _held_distances(left: DataFrame, right: DataFrame, key: str, density: float) -> DataFrame:
+    """Both directions' _MEASURES by key of triangles with normals; a key's two meshes meet in one task and nothing but them is shuffled."""
+    names = [f"{c}_{way}" for c in _MEASURES for way in ("there", "back")]
+    kind = {"n": "long"}
+    schema = ", ".join([f"`{key}` {left.schema[key].dataType.simpleString()}", *[f"{n} {kind.get(n.partition('_')[0], 'double')}" for n in names]])
+
+    def run(there: pa.Table, back: pa.Table) -> pa.Table:
+        if not len(there) or not len(back):
+            return there.select([key]).slice(0, 0)
+        column = lambda t, cs: np.stack([t[c].to_numpy() for c in cs], axis=1)
+        two = [(column(t, CORNERS).reshape(-1, 3, 3), t["tri"].to_numpy(), t["area"].to_numpy(), column(t, ["nx", "ny", "nz"])) for t in (there, back)]
+        ways = [_held_way(two[0], two[1], density), _held_way(two[1], two[0], density)]
+        values = [pa.array([ways[i][k]], pa.int64() if c == "n" else pa.float64()) for k, c in enumerate(_MEASURES) for i in (0, 1)]
+        return pa.table([there[key].slice(0, 1).combine_chunks(), *values], names=[key, *names])
+
+    def rows(there: pa.Table, back: pa.Table) -> pa.Table:
+        out = run(there, back)
+        return out if out.num_columns > 1 else pa.table({key: out[key]} | {n: pa.array([], pa.int64() if n.startswith("n_") else pa.float64()) for n in names})
+
+    # under a name of its own, as both meshes may come from one table
+    return left.groupBy(key).cogroup(right.withColumn("__key", F.col(key)).drop(key).groupBy("__key")).applyInArrow(rows, schema)
+
+
 def mesh_distances(left: DataFrame, right: DataFrame, key: str, density: float, size: float, levels: int) -> DataFrame:
     """direction_metrics of samples of two meshes' triangles to each other's by key, and both directions' means: chamfer_l1, chamfer_l2, hausdorff (of the samples), unoriented_angle.
 
-    Both directions run as one, the direction being part of the key.
+    Keys whose meshes have up to HELD triangles and samples are one task's work each; only larger
+    ones are spread over tasks, block by block, both directions as one with the direction as part of the key.
     """
-    way = lambda mesh, side: mesh.withColumn("way", F.struct(F.col(key).alias("k"), F.lit(side).alias("side"))).drop(key)
     left, right = with_normals(left), with_normals(right)
+    points = F.sum(F.greatest(F.lit(1), F.floor(F.col("area") * density)))
+    sizes = left.unionByName(right).groupBy(key).agg((points + F.count(F.lit(1))).alias("size"))
+    large = written(sizes.where(f"size > {HELD}").select(key), "large")
+    found = _held_distances(left.join(large, key, "left_anti"), right.join(large, key, "left_anti"), key, density)
+    if not large.isEmpty():
+        found = found.unionByName(_spread_distances(left.join(large, key, "left_semi"), right.join(large, key, "left_semi"), key, density, size, levels))
+    half = lambda c: (F.col(f"{c}_there") + F.col(f"{c}_back")) / 2
+    return found.withColumns({"chamfer_l1": half("mean"), "chamfer_l2": half("mean2"), "hausdorff": F.greatest("largest_there", "largest_back"), "unoriented_angle": half("plain_angle")})
+
+
+def _spread_distances(left: DataFrame, right: DataFrame, key: str, density: float, size: float, levels: int) -> DataFrame:
+    """_held_distances of meshes of any size."""
+    way = lambda mesh, side: mesh.withColumn("way", F.struct(F.col(key).alias("k"), F.lit(side).alias("side"))).drop(key)
     points = surface_samples(way(left, 0).unionByName(way(right, 1)), "way", density)
     met = written(nearest_triangle(points, way(right, 0).unionByName(way(left, 1)), "way", size, levels), "nearest")
     found = direction_metrics(met, "way")
-    names = [c for c in found.columns if c != "way"]
-    sides = [F.max(F.when(F.col("way.side") == i, F.col(c))).alias(f"{c}_{name}") for c in names for i, name in enumerate(("there", "back"))]
-    both = found.groupBy(F.col("way.k").alias(key)).agg(*sides).where("n_there is not null and n_back is not null")
-    half = lambda c: (F.col(f"{c}_there") + F.col(f"{c}_back")) / 2
-    return both.withColumns({"chamfer_l1": half("mean"), "chamfer_l2": half("mean2"), "hausdorff": F.greatest("largest_there", "largest_back"), "unoriented_angle": half("plain_angle")})
+    sides = [F.max(F.when(F.col("way.side") == i, F.col(c))).alias(f"{c}_{name}") for c in _MEASURES for i, name in enumerate(("there", "back"))]
+    return found.groupBy(F.col("way.k").alias(key)).agg(*sides).where("n_there is not null and n_back is not null")

@@ -164,3 +164,24 @@ def test_policy_rounds_reach_the_target(spark):
     psnr = lambda k: 20 * math.log10(10 / math.sqrt((k + sum(1000.0 / i for i in range(k + 1, 65))) / 640))
     assert picked.psnr == pytest.approx(psnr(picked.k)) and picked.psnr >= 19 > psnr(picked.k - 1) and picked.bytes == 7 * picked.k
     assert [r.chosen for r in search.policy_rounds(leaves.limit(0), 10.0, 19.0).collect()] == [True]
+
+
+def test_meshes_held_by_a_task_and_spread_over_tasks(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    grid = spark.createDataFrame([(k, x, y, float(a), float(b)) for k in range(3) for x in range(9) for y in range(7 + k) for a, b in [draw.normal(0, 2, 2)]], "k long, x long, y long, a double, b double")
+    only = spark.createDataFrame([(7, x, y, 0.0) for x in range(3) for y in range(3)], "k long, x long, y long, h double")
+    mesh = lambda c: meshes.height_mesh(grid.select("k", "x", "y", F.col(c).alias("h")).unionByName(only if c == "a" else only.limit(0)), "k")
+    real, steps = meshes.nearest_triangle, []
+    monkeypatch.setattr(meshes, "nearest_triangle", lambda *a: steps.append(a) or real(*a))
+    compared = lambda: {r.k: r.asDict() for r in meshes.mesh_distances(mesh("a"), mesh("b"), "k", 2.5, 1.0, 4).collect()}
+    held = compared()
+    # meshes of this size are one task's work: no pairs of points and blocks are shuffled
+    assert not steps and sorted(held) == [0, 1, 2]
+    monkeypatch.setattr(meshes, "_PAIRS", 50)
+    assert compared() == held
+    for most in (0, 900):
+        monkeypatch.setattr(meshes, "HELD", most)
+        spread = compared()
+        assert steps and sorted(spread) == [0, 1, 2]
+        for k, row in held.items():
+            assert row == pytest.approx(spread[k], abs=1e-9), (k, most)
