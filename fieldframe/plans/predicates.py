@@ -50,7 +50,8 @@ def compatible_series(spark, sf_dir):
 SELECT t, leaf_id, value, "default", row_number() OVER (PARTITION BY t ORDER BY leaf_id) - 1 AS place FROM d WHERE value <> "default" """)
 def compacted_children(spark, sf_dir):
     """Children stored as exceptions from their parent's default."""
-    c = _cells(spark, sf_dir).groupBy("leaf_id", "t").agg(F.avg("v").alias("m"))
+    # to nine places: a mean that lies on a bound is on it in whatever order it was summed
+    c = _cells(spark, sf_dir).groupBy("leaf_id", "t").agg(F.round(F.avg("v"), 9).alias("m"))
     value = F.when(F.col("m") < 25.4, "air").when(F.col("m") < 25.8, "inside").otherwise("leaf")
     return keep.compacted(c.select("t", F.col("leaf_id").alias("child"), value.alias("value")), "t").select("t", F.col("child").alias("leaf_id"), "value", "default", "place")
 
