@@ -40,3 +40,10 @@ def test_children_on_the_bound_of_a_class(spark, tied, tmp_path):
     tied(lambda draw, first: Fraction("25.4"), 15)
     # all are inside, which is the default then
     assert catalog.queries()["compacted_children"](spark, str(tmp_path)).collect() == []
+
+
+def test_errors_on_the_bound_of_a_bucket(spark, tied, tmp_path):
+    leaves = tied(lambda draw, first: first + draw.choice((-5, 5)))
+    errors = [abs(v - sum(means) / CELLS) for means in leaves.values() for v in means]
+    total = {r["mode"]: r for r in catalog.queries()["mode_summary"](spark, str(tmp_path)).collect()}["TOTAL"]
+    assert (total.n, total.within_5, total.within_15, total.beyond) == (len(errors), sum(e <= 5 for e in errors), sum(5 < e <= 15 for e in errors), sum(e > 15 for e in errors))
