@@ -31,7 +31,8 @@ def _asset(spark, sf_dir):
     heads = cells.select("leaf_id").distinct().select("leaf_id", F.expr(_MODE).alias("mode"))
     heads = heads.withColumns({"coarse_codec": F.lit(payload.SINGLE), "fine_codec": F.lit(payload.HALF), "coarse_resolution": F.lit(2), "fine_resolution": F.when(F.col("mode") >= payload.SHELL, 3).otherwise(0)})
     parts = cells.join(heads.select("leaf_id", "mode"), "leaf_id").where("mode <> 0").withColumns({"lx": F.expr("voxel % 8"), "ly": F.expr("voxel div 8 % 8"), "lz": F.expr("voxel div 64")})
-    mean = lambda stream, control, shift: parts.groupBy("leaf_id", "t", F.expr(control).alias("control")).agg((F.round(F.avg("v") * 8) / 8 - shift).alias("v")).select("leaf_id", F.lit(stream).alias("stream"), "control", "t", "v")
+    # to nine places first: a mean halfway between eighths is there in whatever order it was summed
+    mean = lambda stream, control, shift: parts.groupBy("leaf_id", "t", F.expr(control).alias("control")).agg((F.round(F.round(F.avg("v") * 8, 9)) / 8 - shift).alias("v")).select("leaf_id", F.lit(stream).alias("stream"), "control", "t", "v")
     coarse = mean("coarse", "(lz div 4 * 2 + ly div 4) * 2 + lx div 4", 0)
     fine = mean("fine", "(lz * 3 div 8 * 3 + ly * 3 div 8) * 3 + lx * 3 div 8", 25).join(heads.where(f"mode = {payload.FINE}").select("leaf_id"), "leaf_id", "left_semi")
     shell = parts.where(f"mode = {payload.SHELL} and v >= 40").select("leaf_id", F.lit("shell").alias("stream"), F.col("voxel").alias("control"), "t", (F.round(F.col("v") * 8) / 8 - 40).alias("v"))

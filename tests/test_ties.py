@@ -47,3 +47,9 @@ def test_errors_on_the_bound_of_a_bucket(spark, tied, tmp_path):
     errors = [abs(v - sum(means) / CELLS) for means in leaves.values() for v in means]
     total = {r["mode"]: r for r in catalog.queries()["mode_summary"](spark, str(tmp_path)).collect()}["TOTAL"]
     assert (total.n, total.within_5, total.within_15, total.beyond) == (len(errors), sum(e <= 5 for e in errors), sum(5 < e <= 15 for e in errors), sum(e > 15 for e in errors))
+
+
+def test_controls_halfway_between_eighths(spark, tied, tmp_path):
+    leaves = tied(lambda draw, first: Fraction(2 * draw.randint(160, 240) + 1, 16))
+    got = {r.leaf_id: r.v for r in catalog.queries()["payload_keys"](spark, str(tmp_path)).collect()}
+    assert got == {leaf: float((sum(means) / CELLS * 8 + Fraction(1, 2)) / 8) for leaf, means in leaves.items()}
