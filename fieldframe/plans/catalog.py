@@ -249,9 +249,9 @@ def time_bin_index(spark, sf_dir):
 @query(f"""WITH {CELLS}, m AS (SELECT leaf_id, x, y, z, max(v) AS top, bool_or(abs(v - 25) <= 2) AS near_iso, bool_or((v >= 25) <> (p >= 25)) AS flips, bool_or(v >= 0.35 * 50) AS shell FROM paired GROUP BY 1, 2, 3, 4)
 SELECT leaf_id, count(*) AS voxels, count(*) FILTER (top < 30) AS background, count(*) FILTER (near_iso) AS near_iso, count(*) FILTER (flips) AS flips, count(*) FILTER (near_iso OR flips) AS surface, count(*) FILTER (shell) AS shell, max(top) < 30 AS is_empty FROM m GROUP BY 1""")
 def voxel_activity(spark, sf_dir):
-    """Background, surface and shell voxels of each leaf, over all frames."""
+    """Background, surface and shell voxels of each leaf, over all frames. Means count to nine places, as the order in which they are summed decides those behind."""
     m = _paired(spark, sf_dir).groupBy("leaf_id", "x", "y", "z").agg(
-        F.max("v").alias("top"), F.bool_or(F.abs(F.col("v") - 25) <= 2).alias("near_iso"), F.bool_or((F.col("v") >= 25) != (F.col("p") >= 25)).alias("flips"), F.bool_or(F.col("v") >= 0.35 * PEAK).alias("shell")
+        F.max("v").alias("top"), F.bool_or(F.abs(F.col("v") - 25) <= 2).alias("near_iso"), F.bool_or((F.col("v") >= 25) != (F.round("p", 9) >= 25)).alias("flips"), F.bool_or(F.col("v") >= 0.35 * PEAK).alias("shell")
     )
     count = lambda c, n: F.count_if(c).alias(n)
     return m.groupBy("leaf_id").agg(

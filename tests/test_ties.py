@@ -53,3 +53,9 @@ def test_controls_halfway_between_eighths(spark, tied, tmp_path):
     leaves = tied(lambda draw, first: Fraction(2 * draw.randint(160, 240) + 1, 16))
     got = {r.leaf_id: r.v for r in catalog.queries()["payload_keys"](spark, str(tmp_path)).collect()}
     assert got == {leaf: float((sum(means) / CELLS * 8 + Fraction(1, 2)) / 8) for leaf, means in leaves.items()}
+
+
+def test_predictions_on_the_level(spark, tied, tmp_path):
+    leaves = tied(lambda draw, first: Fraction(25))
+    got = {r.leaf_id: r.flips for r in catalog.queries()["voxel_activity"](spark, str(tmp_path)).collect()}
+    assert got == {leaf: sum(v < 25 for v in means) for leaf, means in leaves.items()}
