@@ -25,6 +25,13 @@ def field_cells(lineitem: DataFrame) -> DataFrame:
     return lineitem.groupBy((F.col("l_partkey") % 32).alias("x"), (F.col("l_suppkey") % 32).alias("y"), slab_z("l_orderkey").alias("z"), month.cast("long").alias("t")).agg(F.avg("l_quantity").alias("v"))
 
 
+def leaf_cells(lineitem: DataFrame, leaf: Column) -> DataFrame:
+    """field_cells with leaf_id and voxel, laid out by leaf in one shuffle of the rows: what is grouped by leaf and more afterwards stays where it is."""
+    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")) % 16
+    rows = lineitem.select((F.col("l_partkey") % 32).alias("x"), (F.col("l_suppkey") % 32).alias("y"), slab_z("l_orderkey").alias("z"), month.cast("long").alias("t"), F.col("l_quantity").alias("v"))
+    return rows.withColumn("leaf_id", leaf).repartition("leaf_id").groupBy("leaf_id", "x", "y", "z", "t").agg(F.avg("v").alias("v")).withColumn("voxel", local_voxel())
+
+
 def event_series(events: DataFrame) -> DataFrame:
     """Per user and day of month (from 0) the sum of values in whole cents."""
     return events.groupBy("user_id", (F.day("ts") - 1).cast("long").alias("t")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
 from . import metrics
 
 # fixed values of the calibration grid: multipliers of the present settings, and seeds
@@ -59,33 +58,35 @@ def calibrated(cells: DataFrame, settings: list[Setting], span: float) -> DataFr
     within cluster tolerances keeps the prediction; elsewhere an error beyond its
     tolerance is an event, kept in steps of two tolerances. One scan of the cells serves
     all settings: each cell meets the settings of other tolerances in memory and is
-    summed by leaf, tolerance, kind of error and bin before anything is shuffled; cluster thresholds only choose among those sums.
+    summed by leaf, tolerance, kind of error and bin; cluster thresholds only choose among those sums. Cells that
+    are laid out by leaf (fields.leaf_cells) are shuffled no more.
     """
     spark = cells.sparkSession
     table = _table(spark, settings)
     kinds = {k: i for i, k in enumerate(dict.fromkeys((s.eps_abs, s.eps_rel, s.gamma) for s in settings))}
     each_kind = F.array(*[F.struct(F.lit(i).alias("tolerance"), *[F.lit(float(x)).alias(c) for c, x in zip(("eps_abs", "eps_rel", "gamma"), k, strict=True)]) for k, i in kinds.items()])
-    met = cells.select("leaf_id", "v", F.round(F.expr("v - p"), 9).alias("r"), "delta", F.explode(each_kind).alias("s")).select("leaf_id", "v", "r", "delta", "s.*")
+    met = cells.withColumn("frames", F.size(F.collect_set("t").over(Window.partitionBy("leaf_id")))).select("leaf_id", "frames", "v", F.round(F.expr("v - p"), 9).alias("r"), "delta", F.explode(each_kind).alias("s")).select("leaf_id", "frames", "v", "r", "delta", "s.*")
     met = met.withColumn("e", F.greatest(F.lit(LEAST_ABS), F.expr("(eps_abs + eps_rel * abs(v)) / (1 + gamma * delta)"))).withColumn("event", F.expr("abs(r) > e"))
     coded = F.expr("if(event, abs(r - sign(r) * floor(abs(r) / (2 * e) + 0.5) * 2 * e), abs(r))")
     two = F.explode(F.array(F.struct(F.lit("plain").alias("kind"), F.abs("r").alias("err"), F.lit(0).alias("events")), F.struct(F.lit("coded").alias("kind"), coded.alias("err"), F.col("event").cast("int").alias("events"))))
-    each = met.select("leaf_id", "tolerance", (F.abs("r") / F.col("e")).alias("ratio"), two.alias("s")).select("leaf_id", "tolerance", "ratio", "s.*")
+    each = met.select("leaf_id", "frames", "tolerance", (F.abs("r") / F.col("e")).alias("ratio"), two.alias("s")).select("leaf_id", "frames", "tolerance", "ratio", "s.*")
     binned = F.least(F.lit(BINS - 1), F.floor(F.col("err") / span * BINS)).cast("int").alias("bin")
     sums = each.groupBy("leaf_id", "tolerance", "kind", binned).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("events").alias("events"), F.sum("err").alias("sum"), F.sum(F.expr("err * err")).alias("sse"), F.max("err").alias("max"), F.max("ratio").alias("ratio")
+        F.count(F.lit(1)).alias("n"), F.sum("events").alias("events"), F.sum("err").alias("sum"), F.sum(F.expr("err * err")).alias("sse"), F.max("err").alias("max"), F.max("ratio").alias("ratio"), F.max("frames").alias("frames")
     )
-    sums = written(sums, "calibration")
-    leaves = sums.groupBy("leaf_id", "tolerance").agg(F.max("ratio").alias("worst"))
-    frames = cells.groupBy("leaf_id").agg(F.countDistinct("t").alias("frames"))
-    # leaves by settings: which kind of error counts
-    chosen = leaves.join(frames, "leaf_id").join(F.broadcast(table.select("place", "tolerance", "cluster")), "tolerance")
-    chosen = chosen.select("place", "leaf_id", "tolerance", "frames", F.when(F.expr("worst <= cluster"), "plain").otherwise("coded").alias("kind"))
-    heads = chosen.groupBy("place").agg(F.sum(LEAF_BYTES + FRAME_BYTES * F.col("frames")).alias("head"), F.count_if(F.col("kind") == "plain").alias("uniform"))
-    bins = chosen.join(sums, ["leaf_id", "tolerance", "kind"]).groupBy("place", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "events", "sum", "sse")], F.max("max").alias("max"))
-    whole = bins.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("n", "events", "sum", "sse")], F.max("max").alias("max"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+    # which kind of error counts follows from a leaf's sums, so they stay where they are; settings only add up bins
+    leaf = Window.partitionBy("leaf_id", "tolerance")
+    sums = sums.withColumns({"worst": F.max("ratio").over(leaf), "once": F.row_number().over(leaf.orderBy("kind", "bin")) == 1})
+    clusters = F.create_map(*[x for k, i in kinds.items() for x in (F.lit(i), F.array(*[F.struct(F.lit(place).alias("place"), F.lit(float(s.cluster)).alias("cluster")) for place, s in enumerate(settings) if (s.eps_abs, s.eps_rel, s.gamma) == k]))])
+    chosen = sums.withColumn("s", F.explode(F.element_at(clusters, F.col("tolerance")))).select("*", "s.place", F.expr("worst <= s.cluster").alias("plain")).withColumn("counts", (F.col("kind") == "plain") == F.col("plain"))
+    mine = lambda c: F.when(F.col("counts"), F.col(c))
+    heads = {"head": F.sum(F.when(F.col("once"), LEAF_BYTES + FRAME_BYTES * F.col("frames"))), "uniform": F.count_if(F.col("once") & F.col("plain"))}
+    bins = chosen.groupBy("place", "bin").agg(*[F.sum(mine(c)).alias(c) for c in ("n", "events", "sum", "sse")], F.max(mine("max")).alias("max"), *[x.alias(c) for c, x in heads.items()])
+    counted = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("bin", "n"))))
+    whole = bins.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("n", "events", "sum", "sse", "head", "uniform")], F.max("max").alias("max"), counted.alias("bins"))
     # at most BINS counts a setting
     reached = F.expr("aggregate(bins, named_struct('run', 0L, 'bin', -1), (s, b) -> named_struct('run', s.run + b.n, 'bin', if(s.bin < 0 and s.run + b.n >= ceil(0.99D * n), b.bin, s.bin))).bin")
-    out = whole.join(heads, "place").select(
+    out = whole.select(
         "place", (F.col("head") + EVENT_BYTES * F.col("events")).alias("bytes"), "events", "uniform", F.expr("sum / n").alias("mean"), F.expr("sqrt(sse / n)").alias("rmse"), "max", ((reached + 1) * span / BINS).alias("p99")
     )
     return out.withColumn("psnr", metrics.psnr(F.col("rmse"), F.lit(max(1e-6, span)))).join(F.broadcast(table.drop("tolerance")), "place")

@@ -47,6 +47,12 @@ def _paired(spark, sf_dir):
     return cells.join(means, ["leaf_id", "t"])
 
 
+def _leafwise(spark, sf_dir):
+    """Cells with the mean of leaf and frame, laid out by leaf. The window holds a leaf's frame, 512 cells at most."""
+    cells = fields.leaf_cells(_table(spark, sf_dir, "lineitem"), fields.leaf_id(W, H, D))
+    return cells.withColumn("p", F.avg("v").over(Window.partitionBy("leaf_id", "t")))
+
+
 def _series(spark, sf_dir):
     return fields.event_series(_table(spark, sf_dir, "events")).withColumn("cents", F.col("cents").cast("long"))
 

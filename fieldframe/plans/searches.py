@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranks, search
 from ..sources.shared import written
-from .catalog import CELLS, PEAK, _paired, _r, query
+from .catalog import CELLS, PEAK, _leafwise, _paired, _r, query
 
 NOW = search.Setting(eps_abs=2.0, eps_rel=0.05, gamma=0.1, cluster=4.0)
 SPAN = 50.0
@@ -33,7 +33,7 @@ place = min(CASE WHEN psnr + 0.25 >= (SELECT max(psnr) FROM z) AND bytes = fewes
 def calibration_search(spark, sf_dir):
     """All 152 settings of the calibration grid over all cells: bytes, errors, rank by bytes, and which one is recommended, with targets and without."""
     before = F.lag("v").over(Window.partitionBy("leaf_id", "voxel").orderBy("t"))
-    cells = _paired(spark, sf_dir).withColumn("delta", F.coalesce(F.abs(F.col("v") - before), F.lit(0.0)))
+    cells = _leafwise(spark, sf_dir).withColumn("delta", F.coalesce(F.abs(F.col("v") - before), F.lit(0.0)))
     found = written(search.calibrated(cells, search.calibration_grid(SPAN, NOW), SPAN), "settings")
     # as many rows as settings, whatever the data: one task may rank them
     whole = Window.partitionBy()

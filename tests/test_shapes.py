@@ -185,3 +185,13 @@ def test_meshes_held_by_a_task_and_spread_over_tasks(spark, monkeypatch):
         assert steps and sorted(spread) == [0, 1, 2]
         for k, row in held.items():
             assert row == pytest.approx(spread[k], abs=1e-9), (k, most)
+
+
+def test_calibration_shuffles_cells_once(spark, monkeypatch):
+    from fieldframe.plans import searches
+
+    plans = []
+    monkeypatch.setattr(searches, "written", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    searches.calibration_search(spark, "/root/testdata/sf0.001")
+    # the rows by leaf, then settings' bins and settings: all but the first hold some rows a setting
+    assert plans[0].count("Exchange hashpartitioning(") == 3 and plans[0].count("Scan parquet") == 1
