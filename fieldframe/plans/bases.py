@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import codec, fits, lineages
-from .catalog import CELLS, RESID, SERIES, T, _paired, _r, _residuals, _series, query
+from .catalog import CELLS, RESID, SERIES, T, _leafwise, _paired, _r, _residuals, _series, query
 
 _ENDS = "[0.7::DOUBLE, 0.4, 0.1, -0.2]"
 _AXIS = {"x": "voxel % 4", "y": "voxel // 8 % 4", "z": "voxel // 64 % 4"}
@@ -46,7 +46,7 @@ d AS (SELECT leaf_id, voxel, t, r, k + 1 AS held, sum(q * {_B}) OVER (PARTITION
 SELECT leaf_id, CAST(held AS INT) AS keep, CAST(held * (2 + (512 * {BITS} + 7) // 8) AS BIGINT) AS bytes, round(sqrt(avg((r - decoded) * (r - decoded))), 6) AS rmse, round(max(abs(r - decoded)), 6) AS worst FROM d GROUP BY leaf_id, held""")
 def temporal_basis_residuals(spark, sf_dir):
     """Every voxel's residual series as 1 to 6 cosine coefficients of four bits under a scale by leaf and basis: bytes and errors by how many are kept."""
-    rows = codec.temporal_bases(_residuals(spark, sf_dir).select("leaf_id", "voxel", "t", "r"), T, KEEP, BITS)
+    rows = codec.temporal_bases(_leafwise(spark, sf_dir).select("leaf_id", "voxel", "t", F.round(F.expr("v - p"), 9).alias("r")), T, KEEP, BITS)
     each = rows.select("leaf_id", "r", F.posexplode("decoded").alias("place", "decoded")).withColumn("e", F.abs(F.expr("r - decoded")))
     size = codec.dense_bytes(F.col("keep"), BITS, F.lit(512)).cast("long").alias("bytes")
     sums = each.groupBy("leaf_id", (F.col("place") + 1).alias("keep")).agg(F.round(F.sqrt(F.avg(F.expr("e * e"))), 6).alias("rmse"), F.round(F.max("e"), 6).alias("worst"))

@@ -123,3 +123,11 @@ def test_regions_cover_all_events(spark):
         assert (r.box_bytes, r.patch_bytes, r.tile_bytes) == (sizes["box"], sizes["patch"], sizes["tile"])
         assert r.layout == min(sizes, key=sizes.get) and r.bytes == min(sizes.values())
     assert {r.layout for r in got.values()} == {"box", "sparse", "tile"}
+
+
+def test_temporal_bases_shuffle_cells_once(spark):
+    from fieldframe.plans import catalog
+
+    plan = catalog.queries()["temporal_basis_residuals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # the rows by leaf; the sums by leaf and keep lie there already
+    assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1
